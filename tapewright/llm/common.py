@@ -48,12 +48,12 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def md5_long(*parts: Column) -> Column:
+def md5_long(*parts: Column | str) -> Column:
     """60 bits of the MD5 of the parts joined by '/', as a long: the same in any SQL engine that has MD5.
 
     A null part counts as the text 'null', so that equal rows always get equal values.
     """
-    joined = F.concat_ws("/", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
+    joined = F.concat_ws("/", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("null")) for p in parts])
     return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 15), 16, 10).cast("long")
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import packing, tokens
+from tapewright.llm import mixing, packing, quality, sharding, tokens
+from tapewright.llm.sql import SQL
 
 
 def tokenizer(name: str) -> str:
@@ -26,6 +27,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = quality.apply_rules(documents(spark, sf_dir).select("doc_id", "text"))
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     counted = tokens.over_limit(tokens.count_tokens(docs, tokenizer("piece_bpe_32k.model")), 4096)
@@ -33,9 +39,27 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", size, "n_tokens", "over_limit")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    sized = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"))
+    dealt = sharding.assign_shards(sized, sharding.topology(16))
+    dealt = sharding.assign_shards(dealt, sharding.topology(17), out="grown_shard")
+    return sharding.number_slots(dealt).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir), only_ids=True)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
+    "op6_sharding": op6_sharding,
+    "op8_mixing": op8_mixing,
 }
 
-SQL: dict[str, str] = {}
+
+__all__ = ["QUERIES", "SQL"]
