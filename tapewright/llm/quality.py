@@ -46,7 +46,7 @@ RULES = (
     Rule("exclamations", "n_exclamations", "n_words", most=30),
     Rule("letters", "n_letters", "word_chars", least=60),
     Rule("stop_words", "n_stop_words", "n_words", least=4),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", most=30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", most=50),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", most=30),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", most=90),
 )
