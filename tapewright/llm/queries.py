@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import mixing, packing, quality, sharding, tokens
+from tapewright.llm import ann, mixing, packing, quality, sharding, tokens, warc
+from tapewright.llm.common import ensure_checkpoint_dir
 from tapewright.llm.sql import SQL
 
 
@@ -48,17 +50,29 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.number_slots(dealt).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir), only_ids=True)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder, least_bytes=0)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
     "op6_sharding": op6_sharding,
+    "op7_nearest": op7_nearest,
     "op8_mixing": op8_mixing,
+    "op9_warc": op9_warc,
 }
 
 

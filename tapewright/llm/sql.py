@@ -75,4 +75,19 @@ SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
 FROM x"""
 
 
-SQL = {"op3_quality_rules": op3(), "op8_mixing": op8()}
+def op9() -> str:
+    # base32 of the 20 bytes of a SHA-1: five bits at a time of its bit string
+    return """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h, n) AS first, row_number() OVER (PARTITION BY h, n ORDER BY page_id) AS place FROM d),
+x AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+          (CAST('0x' || substr(h, 1 + (g * 5) // 4, 2) || '' AS BIGINT) >> (8 - 5 - (g * 5) % 4)) & 31 AS INTEGER), 1), '' ORDER BY g) AS payload_digest
+      FROM (SELECT DISTINCT h || '0' AS h FROM d), range(32) AS r(g) GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN place = 1 OR page_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place = 1 OR page_id IS NULL THEN NULL ELSE first END AS refers_to
+FROM f JOIN x ON x.h = f.h || '0'"""
+
+
+SQL = {"op3_quality_rules": op3(), "op8_mixing": op8(), "op9_warc": op9()}
