@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import ann, mixing, packing, quality, sharding, tokens, warc
+from tapewright.llm import ann, mixing, packing, pii, quality, sharding, tokens, warc
 from tapewright.llm.common import ensure_checkpoint_dir
 from tapewright.llm.sql import SQL
 
@@ -29,6 +29,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    counts = [F.expr(f"CAST(size(filter(base_spans, s -> s.kind = '{k}')) AS BIGINT) AS n_{k}") for k in pii.BASE_KINDS]
+    base_sha256 = F.sha2(F.expr(pii.listing("base_spans")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base_sha256, F.expr(pii.listing("spans")).alias("spans"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = quality.apply_rules(documents(spark, sf_dir).select("doc_id", "text"))
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -67,6 +75,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
     "op6_sharding": op6_sharding,
