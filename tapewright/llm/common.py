@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -72,3 +73,10 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(package.parent))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: like :func:`cut`, and read by column."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

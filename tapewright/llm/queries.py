@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import ann, mixing, packing, pii, quality, sharding, tokens, warc
+from tapewright.llm import ann, mixing, near_dup, packing, pii, quality, sharding, tokens, warc
 from tapewright.llm.common import ensure_checkpoint_dir
 from tapewright.llm.sql import SQL
 
@@ -49,6 +49,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", size, "n_tokens", "over_limit")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
     "op8_mixing": op8_mixing,
