@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import ann, mixing, near_dup, packing, pii, quality, sharding, tokens, warc
+from tapewright.llm import ann, lm, mixing, near_dup, packing, pii, quality, sharding, tokens, warc
 from tapewright.llm.common import ensure_checkpoint_dir
 from tapewright.llm.sql import SQL
 
@@ -77,6 +77,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.fit_and_score(documents(spark, sf_dir).select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_nearest": op7_nearest,
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 
