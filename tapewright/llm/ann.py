@@ -84,31 +84,35 @@ class Unit:
         orders = self.pivots.of_queries(queries)
         weights, probed = self.pivots.weights(orders), np.zeros((len(queries), len(self.pivots.pivots)), dtype=bool)
         np.put_along_axis(probed, orders[:, :probes], True, axis=1)
-        found = []
+        seen = np.full((len(queries), len(self.ids)), -np.inf)  # by place in the files
         for pivot in range(len(self.pivots.pivots)):
-            own, asked = self.posted[self.starts[pivot] : self.starts[pivot + 1]], np.flatnonzero(probed[:, pivot])
-            if not len(own) or not len(asked):
+            a, b = self.starts[pivot], self.starts[pivot + 1]
+            own, asked = self.posted[a:b], np.flatnonzero(probed[:, pivot])
+            if a == b or not len(asked):
                 continue
-            vectors = self.vectors[own]
-            scores = queries[asked] @ vectors.T
+            scores = queries[asked] @ self.vectors[own].T
             compared = int(np.ceil(max(least, share * len(own))))
             if compared < len(own):
-                near = np.zeros(scores.shape, dtype="i2")
-                for place in range(self.pivots.depth):
-                    near += np.minimum(weights[asked][:, self.orders[own, place]], np.int16(self.pivots.depth - place))
-                bound = -np.partition(-near, compared - 1, axis=1)[:, compared - 1]
+                by_pivot, near = np.ascontiguousarray(weights[asked].T), np.zeros(scores.shape[::-1], dtype="i2")
+                for place in range(self.pivots.depth):  # rows of the pivots' weights are copied as a whole
+                    part = by_pivot[self.orders[own, place]]
+                    near += np.minimum(part, np.int16(self.pivots.depth - place), out=part)
+                near = np.ascontiguousarray(near.T)
+                bound = np.partition(near, len(own) - compared, axis=1)[:, len(own) - compared]
                 scores[near < bound[:, None]] = -np.inf
-            scores[self.ids[own][None, :] == query_ids[asked][:, None]] = -np.inf
-            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if scores.shape[1] > k else np.full(len(asked), -np.inf)
-            # products of equal vectors may differ in their last bits here; all near the k-th are multiplied again
-            rows, places = np.nonzero((scores >= (kth - 1e-9 * np.maximum(1, np.abs(kth)))[:, None]) & (scores > -np.inf))
-            exact = (queries[asked[rows]] * vectors[places]).sum(axis=1)
-            found.append((asked[rows], self.ids[own[places]], exact))
-        if not found:
-            return np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0)
-        rows, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
-        best = _nearest(rows, ids, scores, k)
-        return rows[best], ids[best], scores[best]
+            seen[asked, a:b] = scores
+        ids = self.ids[self.posted]
+        by_id = np.argsort(ids, kind="stable")
+        same = ids[by_id]
+        for i, query in enumerate(query_ids.tolist()):  # a query is no candidate of its own
+            a, b = np.searchsorted(same, query, "left"), np.searchsorted(same, query, "right")
+            seen[i, by_id[a:b]] = -np.inf
+        kth = -np.partition(-seen, k - 1, axis=1)[:, k - 1] if seen.shape[1] > k else np.full(len(seen), -np.inf)
+        # products of equal vectors may differ in their last bits here; all near the k-th are multiplied again
+        rows, places = np.nonzero((seen >= (kth - 1e-9 * np.maximum(1, np.abs(kth)))[:, None]) & (seen > -np.inf))
+        exact = (queries[rows] * self.vectors[self.posted[places]]).sum(axis=1)
+        best = _nearest(rows, ids[places], exact, k)
+        return rows[best], ids[places[best]], exact[best]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -136,7 +140,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     rows = rows.where(F.size("vector") == length)
     sample = rows.select("vector").distinct().orderBy(md5_long(F.xxhash64("vector")), "vector").limit(pivots).collect()
     index = spark.sparkContext.broadcast((np.array([r["vector"] for r in sample]).reshape(-1, length), float(facts["longest"] or 1.0) ** 0.5))
-    units = max(-(-facts["n"] // unit_rows), min(spark.sparkContext.defaultParallelism, facts["n"] // 4096), 1)
+    units = max(-(-facts["n"] // unit_rows), min(spark.sparkContext.defaultParallelism, facts["n"] // 8192), 1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = PivotOrders(*index.value, depth)
