@@ -10,12 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_DATE = Window.partitionBy("ticker").orderBy("date")
+def by_date():
+    """Rows of a ticker in order of date. (Window specifications need a running session, so they are made when used.)"""
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def rows(first: int, last: int):
     """The frame from ``first`` to ``last`` rows after the current one."""
-    return BY_DATE.rowsBetween(first, last)
+    return by_date().rowsBetween(first, last)
 
 
 def rolling(agg: Callable[[Column], Column], value: str | Column, n: int, least: int | None = None, back: int = 0) -> Column:
@@ -63,7 +65,7 @@ def slope(value: str | Column, n: int) -> Column:
 
 
 def lag(value: str, k: int = 1) -> Column:
-    return F.lag(value, k).over(BY_DATE)
+    return F.lag(value, k).over(by_date())
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:
@@ -79,7 +81,7 @@ def clip(x: Column, least: float, most: float) -> Column:
 
 def prepared(bars: DataFrame) -> DataFrame:
     """Bars with the row number in their ticker (rn, from 1), previous close (pc), simple return and true range."""
-    df = bars.withColumns({"rn": F.row_number().over(BY_DATE), "pc": lag("close")})
+    df = bars.withColumns({"rn": F.row_number().over(by_date()), "pc": lag("close")})
     true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("pc")), F.abs(F.col("low") - F.col("pc")))
     return df.withColumns({"ret": ratio("close", "pc") - 1, "tr": F.when(F.col("pc").isNotNull(), true_range)})
 
@@ -94,14 +96,14 @@ def ewm(df: DataFrame, values: dict[str, tuple[str, float]]) -> DataFrame:
     for name, (column, alpha) in values.items():
         block = max(2, int(-37.0 / _ln(1 - alpha)))
         x = F.col(column)
-        seen = F.count(x).over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0))
-        df = df.withColumn("__k", F.when(x.isNotNull() | (seen > 0), F.sum(F.when(seen > 0, 1).otherwise(0)).over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0)) - 1))
+        seen = F.count(x).over(by_date().rowsBetween(Window.unboundedPreceding, 0))
+        df = df.withColumn("__k", F.when(x.isNotNull() | (seen > 0), F.sum(F.when(seen > 0, 1).otherwise(0)).over(by_date().rowsBetween(Window.unboundedPreceding, 0)) - 1))
         df = df.withColumn("__block", F.floor(F.col("__k") / block)).withColumn("__at", (F.col("__k") % block).cast("double"))
         weight = F.when(F.col("__k") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
         inside = Window.partitionBy("ticker", "__block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
         powered = F.sum(weight * x * F.pow(F.lit(1 - alpha), -F.col("__at"))).over(inside)
         df = df.withColumn("__in", powered * F.pow(F.lit(1 - alpha), F.col("__at")))
-        last = F.last(F.when(F.col("__at") == block - 1, F.col("__in")), ignorenulls=True).over(BY_DATE.rowsBetween(Window.unboundedPreceding, -1))
+        last = F.last(F.when(F.col("__at") == block - 1, F.col("__in")), ignorenulls=True).over(by_date().rowsBetween(Window.unboundedPreceding, -1))
         carried = F.when(F.col("__block") > 0, F.pow(F.lit(1 - alpha), F.col("__at") + 1) * last).otherwise(0.0)
         df = df.withColumn(name, F.when(F.col("__k").isNotNull(), F.col("__in") + carried)).drop("__k", "__block", "__at", "__in")
     return df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.rolling import BY_DATE, deviation, lag, mean, ratio
+from tapewright.functions.rolling import by_date, deviation, lag, mean, ratio
 
 #: Names that mean the same as a standard column, lower-cased and without blanks.
 ALIASES = {"timestamp": "date", "datetime": "date", "time": "date", "index": "date", "adj close": "adj_close", "adjclose": "adj_close", "symbol": "ticker", "vol": "volume", "o": "open", "h": "high", "l": "low", "c": "close", "v": "volume"}
@@ -50,7 +50,7 @@ def unit_jumps(bars: DataFrame, low: float = 95, high: float = 105, factor: floa
     """
     move = ratio("close", lag("close"))
     jump = move.between(low, high) | (1 / F.nullif(move, F.lit(0.0))).between(low, high)
-    df = bars.withColumn("segment", F.sum(F.when(jump, 1).otherwise(0)).over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0)))
+    df = bars.withColumn("segment", F.sum(F.when(jump, 1).otherwise(0)).over(by_date().rowsBetween(Window.unboundedPreceding, 0)))
     segments = df.groupBy("ticker", "segment").agg(F.percentile("close", F.lit(0.5)).alias("median"), F.count("*").alias("n"))
     base = segments.groupBy("ticker").agg(F.max_by("median", F.struct(F.col("n"), -F.col("segment"))).alias("base"))
     off = segments.join(base, "ticker").withColumn("off", ratio("median", "base"))
@@ -61,10 +61,10 @@ def unit_jumps(bars: DataFrame, low: float = 95, high: float = 105, factor: floa
 
 def spikes(bars: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows that move by more than ``least`` and back as far get their neighbours' mean in each price."""
-    into, out = ratio("close", lag("close")) - 1, ratio(F.lead("close").over(BY_DATE), "close") - 1
+    into, out = ratio("close", lag("close")) - 1, ratio(F.lead("close").over(by_date()), "close") - 1
     spike = (F.abs(into) > least) & (F.abs(out) > least) & (F.signum(into) != F.signum(out))
     df = bars.withColumn("spike", F.coalesce(spike, F.lit(False)))
-    return df.withColumns({c: F.when(F.col("spike"), (lag(c) + F.lead(c).over(BY_DATE)) / 2).otherwise(F.col(c)) for c in PRICES})
+    return df.withColumns({c: F.when(F.col("spike"), (lag(c) + F.lead(c).over(by_date())) / 2).otherwise(F.col(c)) for c in PRICES})
 
 
 def quality(bars: DataFrame, zero_share: float = 0.5, least_rows: int = 100) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.rolling import BY_DATE, high, low, mean, quantile, ratio, rolling, rows, total
+from tapewright.functions.rolling import by_date, high, low, mean, quantile, ratio, rolling, rows, total
+
+def whole():
+    """All rows of a ticker."""
+    return Window.partitionBy("ticker")
 
-WHOLE = Window.partitionBy("ticker")
 METHODS = ("method1", "method2", "method3", "method4")
 
 
@@ -23,7 +26,7 @@ def four_methods(bars: DataFrame, share: float = 0.3, range_ratio: float = 0.65,
         "bbw": ratio(2 * F.stddev_samp("close").over(w20), F.avg("close").over(w20)), "atr_share": ratio(F.avg(true_range).over(w14), "close"),
         "range_ratio": ratio(F.col("high") - F.col("low"), F.avg(F.col("high") - F.col("low")).over(w20)), "volume_ratio": ratio("volume", F.avg("volume").over(w20)),
     })
-    df = df.withColumns({"bbw_cut": F.percentile("bbw", F.lit(share)).over(WHOLE), "atr_cut": F.percentile("atr_share", F.lit(share)).over(WHOLE)})
+    df = df.withColumns({"bbw_cut": F.percentile("bbw", F.lit(share)).over(whole()), "atr_cut": F.percentile("atr_share", F.lit(share)).over(whole())})
     flags = {
         "method1": F.col("bbw") < F.col("bbw_cut"), "method2": (F.col("range_ratio") < range_ratio) & (F.col("atr_share") < atr_share),
         "method3": F.col("volume_ratio") < volume_ratio, "method4": F.col("atr_share") < F.col("atr_cut"),
@@ -36,14 +39,14 @@ def forward_metrics(bars: DataFrame, horizons=(20, 40)) -> DataFrame:
     """Close at a horizon, largest gain and loss up to it; null where it is past the last row."""
     out = {}
     for n in horizons:
-        ahead = F.lead("close", n).over(BY_DATE)
+        ahead = F.lead("close", n).over(by_date())
         out |= {f"fwd_close_{n}": ahead, f"fwd_max_{n}": F.when(ahead.isNotNull(), ratio(F.max("high").over(rows(1, n)), "close") - 1), f"fwd_min_{n}": F.when(ahead.isNotNull(), ratio(F.min("low").over(rows(1, n)), "close") - 1)}
     return bars.withColumns(out)
 
 
 def islands(flagged: DataFrame, flag: str, least: int = 5) -> DataFrame:
     """Runs of at least ``least`` flagged rows: start, end, length, bounds and mean volume."""
-    group = F.col("rn") - F.sum(F.col(flag).cast("int")).over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0))
+    group = F.col("rn") - F.sum(F.col(flag).cast("int")).over(by_date().rowsBetween(Window.unboundedPreceding, 0))
     runs = flagged.withColumn("__g", group).where(F.col(flag)).groupBy("ticker", "__g")
     out = runs.agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.max("rn").alias("end_rn"), F.count("*").alias("days"), F.max("high").alias("upper"), F.min("low").alias("lower"), F.avg("volume").alias("mean_volume"))
     return out.where(F.col("days") >= least).drop("__g")
@@ -51,7 +54,7 @@ def islands(flagged: DataFrame, flag: str, least: int = 5) -> DataFrame:
 
 def latest_status(flagged: DataFrame, flag: str, n: int = 30) -> DataFrame:
     """Each ticker's last row: whether it is flagged, and how many of its last n rows are."""
-    df = flagged.withColumns({"__last": F.row_number().over(WHOLE.orderBy(F.desc("date"))), "days": F.sum(F.col(flag).cast("int")).over(rows(1 - n, 0))})
+    df = flagged.withColumns({"__last": F.row_number().over(whole().orderBy(F.desc("date"))), "days": F.sum(F.col(flag).cast("int")).over(rows(1 - n, 0))})
     return df.where("__last = 1").select("ticker", "date", F.col(flag).alias("now"), "days", "close")
 
 
@@ -60,9 +63,9 @@ def grid_patterns(bars: DataFrame, n: int = 20, every: int = 10, share: float =
 
     Gives pattern_id, ticker, start and end, upper, lower and trigger price, box width, mean volume and money.
     """
-    df = bars.withColumns({"upper": high("high", n), "lower": low("low", n), "start_date": F.lag("date", n - 1).over(BY_DATE), "mean_volume": mean("volume", n), "money": mean(F.col("close") * F.col("volume"), n)})
+    df = bars.withColumns({"upper": high("high", n), "lower": low("low", n), "start_date": F.lag("date", n - 1).over(by_date()), "mean_volume": mean("volume", n), "money": mean(F.col("close") * F.col("volume"), n)})
     df = df.where((F.col("rn") >= warm_up) & (F.col("rn") % every == 0)).withColumn("box_width", ratio(F.col("upper") - F.col("lower"), "lower"))
-    narrow = df.withColumn("__cut", F.percentile("box_width", F.lit(share)).over(WHOLE)).where("box_width <= __cut")
+    narrow = df.withColumn("__cut", F.percentile("box_width", F.lit(share)).over(whole())).where("box_width <= __cut")
     return narrow.select(F.concat_ws("-", "ticker", "rn").alias("pattern_id"), "ticker", "start_date", F.col("date").alias("end_date"), F.col("rn").alias("end_rn"), "upper", "lower", "box_width", "close", "mean_volume", "money")
 
 
@@ -102,7 +105,7 @@ def accumulation_score(bars: DataFrame) -> DataFrame:
     df = bars.withColumns({
         "__c": ratio(mean(span, 10), rolling(F.avg, span, 10, back=10)), "__up": total(F.when(F.col("ret") > 0, F.col("volume")).otherwise(0.0), 20), "__dn": total(F.when(F.col("ret") < 0, F.col("volume")).otherwise(0.0), 20),
         "__strong": mean(F.when(F.col("close") >= F.col("high") - 0.4 * span, 1.0).otherwise(0.0), 20), "__far": ratio("close", F.min("low").over(rows(-251, 0))) - 1,
-        "__last": F.row_number().over(WHOLE.orderBy(F.desc("date"))),
+        "__last": F.row_number().over(whole().orderBy(F.desc("date"))),
     }).where("__last = 1")
     buying = F.when(F.col("__dn") > 0, F.col("__up") / F.col("__dn")).otherwise(10.0)
     points = F.when(F.col("__c") < 0.6, 30).otherwise(0) + F.when(buying > 1.5, 25).otherwise(0) + F.when(F.col("__strong") > 0.6, 25).otherwise(0) + F.when(F.col("__far") < 0.5, 20).otherwise(0)

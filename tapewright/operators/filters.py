@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-OF_TICKER = Window.partitionBy("ticker")
 #: What a filing of an issuer in trouble speaks of.
 FILING_PATTERNS = {
     "toxic": r"(?i)convertible (?:note|debenture)|equity line|at-the-market|death spiral|floorless",
@@ -16,7 +15,7 @@ FILING_PATTERNS = {
 
 def chained(patterns: DataFrame, days: int = 10) -> DataFrame:
     """Patterns with the number of their cluster: a start more than ``days`` after the one before opens a new one."""
-    order = OF_TICKER.orderBy("start_date", "pattern_id")
+    order = Window.partitionBy("ticker").orderBy("start_date", "pattern_id")
     new = F.coalesce(F.datediff("start_date", F.lag("start_date").over(order)) > days, F.lit(True))
     return patterns.withColumn("__new", new.cast("int")).withColumn("cluster", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.rolling import BY_DATE, clip, deviation, ewm, high, lag, low, mean, quantile, ratio, rolling, rows, slope, spread, total
+from tapewright.functions.rolling import by_date, clip, deviation, ewm, high, lag, low, mean, quantile, ratio, rolling, rows, slope, spread, total
 
 SOFT = 1e-10
 
@@ -88,7 +88,7 @@ def cci(bars: DataFrame, n: int = 20) -> DataFrame:
 
 def volume_lines(bars: DataFrame) -> DataFrame:
     """On-balance volume, accumulation/distribution, volume-price trend: running sums."""
-    sofar = BY_DATE.rowsBetween(Window.unboundedPreceding, 0)
+    sofar = by_date().rowsBetween(Window.unboundedPreceding, 0)
     span = F.col("high") - F.col("low")
     flow = F.when(span > 0, ((F.col("close") - F.col("low")) - (F.col("high") - F.col("close"))) / span).otherwise(0.0) * F.col("volume")
     signed = F.coalesce(F.signum(F.col("close") - F.col("pc")), F.lit(0.0)) * F.col("volume")
@@ -133,7 +133,7 @@ def aroon(bars: DataFrame, n: int = 14) -> DataFrame:
 def vwap(bars: DataFrame) -> DataFrame:
     tp = (F.col("high") + F.col("low") + F.col("close")) / 3
     df = bars.withColumns({"__cv": F.col("close") * F.col("volume"), "__tv": tp * F.col("volume")})
-    sofar = BY_DATE.rowsBetween(Window.unboundedPreceding, 0)
+    sofar = by_date().rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({"vwap_20": ratio(total("__cv", 20), total("volume", 20)), "vwap_tp_5": ratio(total("__tv", 5), total("volume", 5)), "vwap_all": ratio(F.sum("__tv").over(sofar), F.sum("volume").over(sofar))}).drop("__cv", "__tv")
 
 

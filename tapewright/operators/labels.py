@@ -24,9 +24,9 @@ def after(patterns: DataFrame, bars: DataFrame, n: int, first: int = 1) -> DataF
 
 
 def _order():
-    from tapewright.functions.rolling import BY_DATE
+    from tapewright.functions.rolling import by_date
 
-    return BY_DATE
+    return by_date()
 
 
 def first_day(condition: Column) -> Column:
