@@ -139,7 +139,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     length = facts["length"] or 0
     rows = rows.where(F.size("vector") == length)
     sample = rows.select("vector").distinct().orderBy(md5_long(F.xxhash64("vector")), "vector").limit(pivots).collect()
-    index = spark.sparkContext.broadcast((np.array([r["vector"] for r in sample]).reshape(-1, length), float(facts["longest"] or 1.0) ** 0.5))
+    index = spark.sparkContext.broadcast((np.array([r["vector"] for r in sample]).reshape(len(sample), length), float(facts["longest"] or 1.0) ** 0.5))
     units = max(-(-facts["n"] // unit_rows), min(spark.sparkContext.defaultParallelism, facts["n"] // 8192), 1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
