@@ -24,7 +24,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass all quality rules; null and empty texts don't."""
-    return quality.apply_rules(docs.select(COLUMNS)).where("kept").select(COLUMNS)
+    return quality.keep(quality.apply_rules(docs.select(COLUMNS))).select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

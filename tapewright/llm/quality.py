@@ -115,3 +115,9 @@ def verdict(measured: DataFrame, base: tuple[Rule, ...] = BASE_RULES, rules: tup
 def apply_rules(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_RULES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with all measures and the verdict. See :func:`measures` for nulls, empty texts and clashing names."""
     return verdict(measures(docs, text), base, rules)
+
+
+def keep(ruled: DataFrame) -> DataFrame:
+    """The kept rows of ``ruled``. A condition on the verdict would have the optimizer write every rule's expressions
+    into it, each as often as they are referred to; a generator of one or no row leaves them where they are."""
+    return ruled.withColumn("__one", F.explode(F.when(F.col("kept"), F.array(F.lit(1))))).drop("__one")
