@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.common import ship
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Words up to this length are remembered with their ids, this many at most.
-REMEMBER_LENGTH, REMEMBER = 48, 1_200_000
+REMEMBER_LENGTH, REMEMBER = 48, 300_000
 #: The letters, digits and signs into which the tokenizer splits a lower-cased word of ASCII signs and Latin letters;
 #: such words are their own normal form.
 LATIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
