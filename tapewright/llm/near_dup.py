@@ -198,6 +198,154 @@ def verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
 
 
 PARTS = 8
+#: Words of one slice of texts whose shingles are ordered at once.
+SLICE_WORDS = 1 << 20
+#: Texts of one shingle that are compared with each other in one group; more are dealt over several.
+GROUP = 4096
+CHUNK = 1 << 14
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, end, labelled shingles, number of each text's) of slices of a batch whose last column is seq."""
+    seqs = batch.column(batch.num_columns - 1)
+    sizes, begin = np.cumsum(pc.binary_length(seqs).to_numpy(zero_copy_only=False).astype("i8")) // 2, 0
+    while begin < len(seqs):
+        end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + SLICE_WORDS)))
+        words = np.frombuffer(b"".join(seqs[begin:end].to_pylist()), "<u2").astype("u8")
+        shingles, n = _shingles(words, np.diff(sizes[begin:end], prepend=sizes[begin - 1] if begin else 0))
+        yield begin, end, _labelled(shingles, np.repeat(np.arange(len(n)), n)), n
+        begin = end
+
+
+def _frequencies(texts: DataFrame, bits: int) -> np.ndarray:
+    """How many texts have a labelled shingle of each value of the first ``bits`` bits."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, "i8")
+        for batch in batches:
+            for *_, labelled, _n in _slices(batch):
+                np.add.at(seen, (labelled >> U64(64 - bits)).astype("i8"), 1)
+        some = [i for i in range(0, len(seen), CHUNK) if seen[i : i + CHUNK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([seen[i : i + CHUNK].tobytes() for i in some], pa.binary())], names=["at", "seen"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(seen, "i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["at", "seen"])
+
+    schema, out = "at long, seen binary", np.zeros(1 << bits, "i8")
+    for row in texts.select("seq").mapInArrow(count, schema).repartition("at").mapInArrow(add, schema).collect():
+        part = np.frombuffer(row["seen"], "i8")
+        out[row["at"] : row["at"] + len(part)] = part
+    return out
+
+
+def _matches(group: np.ndarray, n: np.ndarray, rest: np.ndarray, comp: np.ndarray, dealt: np.ndarray, cells: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of entries of the same group and of different classes whose lengths and rests allow alike texts.
+
+    Entries of a group's largest class are only looked up by those of others, by length: no pair of one class that is
+    large is looked at, nor any whose lengths rule it out.
+    """
+    order = np.lexsort((n, group))
+    group, n, comp, dealt, cells = (x[order] for x in (group, n, comp, dealt, cells))
+    most = np.floor(rest[order] * (1 + least) / least + 1e-6).astype("i8") - n  # length of the longest partner
+    by = np.lexsort((comp, group))
+    heads = np.flatnonzero(np.concatenate([[True], (np.diff(group[by]) != 0) | (np.diff(comp[by]) != 0)]))
+    sizes = np.diff(np.append(heads, len(by)))
+    largest = np.zeros(len(n), bool)
+    last = np.lexsort((sizes, group[by][heads]))
+    last = last[np.concatenate([np.diff(group[by][heads][last]) != 0, [True]])]
+    of = np.repeat(np.arange(len(heads)), sizes)
+    largest[by] = np.isin(of, last)
+    asking = np.flatnonzero(~largest)
+    key = group * (1 << 32) + n
+    low = np.searchsorted(key, group[asking] * (1 << 32) + np.ceil(n[asking] * least - 1e-6).astype("i8"), "left")
+    high = np.searchsorted(key, group[asking] * (1 << 32) + np.maximum(most[asking], -1), "right")
+    width = np.maximum(high - low, 0)
+    ends, begin = np.cumsum(width), 0
+    while begin < len(asking):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << 20))))
+        w = width[begin:end]
+        i = np.repeat(asking[begin:end], w)
+        j = np.repeat(low[begin:end] - (np.cumsum(w) - w), w) + np.arange(w.sum())
+        fit = (comp[i] != comp[j]) & (most[j] >= n[i]) & (largest[j] | (i < j))
+        i, j = i[fit], j[fit]
+        # texts dealt to several cells of a grid meet in only one
+        once = cells[i] == (np.minimum(dealt[i], dealt[j]) << 16) + np.maximum(dealt[i], dealt[j])
+        yield order[i[once]], order[j[once]]
+        begin = end
+
+
+def possible_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """(a, b, ca, cb): all pairs of ``texts`` (fp, comp, seq) of different classes that can be alike, and the classes.
+
+    Texts of n and m shingles that are alike share t = least * (n + m) / (1 + least) labelled ones at least. With all
+    shingles in one order, the first that both have is followed in each text by t - 1 others or more. So texts meet by
+    the shingles with which at least ``least`` of a text is left, and a pair is ruled out by what is left there. Rare
+    shingles come first: a passage that thousands of texts have brings together only those that are alike by it. The
+    order rests on counts of hashed shingles, whose collisions cost time only.
+    """
+    tokens = texts.agg(F.sum(F.length("seq"))).first()[0] or 0
+    bits = min(max(int(tokens).bit_length(), 14), 22)
+    shared = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, bits).astype("i4"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            for begin, end, labelled, n in _slices(batch):
+                of = np.repeat(np.arange(len(n)), n)
+                count = often[(labelled >> U64(64 - bits)).astype("i8")]
+                order = np.lexsort((labelled, count, of))
+                left = n[of] - (np.arange(len(of)) - (np.cumsum(n) - n)[of])
+                chosen = (left >= least * n[of] - 1e-6) & (count[order] > 1)
+                order, left, of = order[chosen], left[chosen], of[chosen]
+                grid = np.minimum(-(-count[order].astype("i8") // GROUP), 1 << 15)
+                own = np.fromiter((xxhash.xxh3_64_intdigest(x) >> 1 for x in batch.column(0)[begin:end].to_pylist()), "i8", end - begin)[of] % grid
+                for a in range(0, len(of), 1 << 16):
+                    part = slice(a, a + (1 << 16))
+                    at = np.repeat(np.arange(len(of[part])), grid[part])
+                    other = np.arange(len(at)) - np.repeat(np.cumsum(grid[part]) - grid[part], grid[part])
+                    mine = own[part][at]
+                    columns = [labelled[order][part][at].view("i8"), (np.minimum(mine, other) << 16) + np.maximum(mine, other), mine, n[of[part]][at], left[part][at]]
+                    names = ["token", "cell", "dealt", "n", "rest"]
+                    rows = pa.array(begin + of[part][at])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column(0).take(rows), batch.column(1).take(rows)], names=[*names, "fp", "comp"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            token, cell, dealt, n, rest = (table.column(k).to_numpy() for k in range(5))
+            group = np.cumsum(np.concatenate([[False], (np.diff(token) != 0) | (np.diff(cell) != 0)])).astype("i8")
+            fp, comp = (table.column(k).combine_chunks().dictionary_encode() for k in (5, 6))
+            text, cls = (x.indices.to_numpy().astype("i8") for x in (fp, comp))
+            for i, j in _matches(group, n, rest, cls, dealt, cell, least):
+                pairs = np.unique(np.stack([np.minimum(text[i], text[j]), np.maximum(text[i], text[j])]), axis=1) if len(i) else np.zeros((2, 0), "i8")
+                class_of = np.zeros(len(fp.dictionary), "i8")
+                class_of[text] = cls
+                for a in range(0, pairs.shape[1], 1 << 16):
+                    x, y = pairs[:, a : a + (1 << 16)]
+                    ends = [fp.dictionary.take(pa.array(x)), fp.dictionary.take(pa.array(y)), comp.dictionary.take(pa.array(class_of[x])), comp.dictionary.take(pa.array(class_of[y]))]
+                    yield pa.RecordBatch.from_arrays(ends, names=["a", "b", "ca", "cb"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 1 << 16:
+                table = pa.Table.from_batches(held)
+                token, cell = table.column(0).to_numpy(), table.column(1).to_numpy()
+                new = np.flatnonzero((np.diff(token) != 0) | (np.diff(cell) != 0))
+                if len(new):
+                    yield from found(table.slice(0, int(new[-1]) + 1))
+                    held = table.slice(int(new[-1]) + 1).to_batches()
+        if held:
+            yield from found(pa.Table.from_batches(held))
+
+    entries = texts.select("fp", "comp", "seq").mapInArrow(deal, "token long, cell long, dealt long, n long, rest long, fp binary, comp binary")
+    met = entries.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInArrow(meet, "a binary, b binary, ca binary, cb binary")
+    swap = F.col("a") > F.col("b")
+    ordered = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ca", "cb"), ("cb", "ca"))]
+    return met.select(*ordered).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,9 +378,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Texts of the same lower-cased words are copies and form one node; null and blank texts are copies of each other.
     Each sketch of a node puts it in a bucket. In each round every bucket that holds nodes of several classes draws two
     leaders, other ones each time, and its nodes of other classes are compared with them; what is alike merges. A
-    round's comparisons are in proportion to the nodes, however large a bucket is, and rounds end when none merges any.
-    At last neighbours by length of different classes are compared in buckets of one sketch and of two. Two texts of
-    similarity 0.8 share at least one of 12 sketches of length 2 but once in some 200,000 times. n_links counts the
+    round's comparisons are in proportion to the nodes, however large a bucket is. The rounds, which end after the first
+    that merges none, only save comparisons: of the nodes of all buckets that still hold several classes, every pair of
+    different classes is then ruled out by :func:`possible_pairs` or verified. Two texts of similarity 0.8 share at
+    least one of 12 sketches of length 2 but once in some 200,000 times. n_links counts the
     node's verified links to other nodes. Rows of null id take no part in naming a class.
     """
     spark: SparkSession = docs.sparkSession
@@ -272,13 +421,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not merge(asked.select(F.col("lead.fp").alias("a"), F.col("fp").alias("b")).distinct()):
             break
         rows = cut(contested(rows))
-    adjacent = F.transform(F.col("keys"), lambda key, j: F.struct((j + count).alias("j"), F.xxhash64(key, F.get("keys", (j + 1) % count)).alias("key")))
-    double = _classed(nodes.join(rows.select("fp").distinct(), "fp", "left_semi").select("fp", "n", F.explode(adjacent).alias("x")).select("fp", "n", "x.j", "x.key"), comps)
-    by_length = Window.partitionBy("j", "key").orderBy("n", "comp", "fp")
-    before = F.lag(F.struct("fp", "n", "comp")).over(by_length)
-    chain = rows.select("fp", "n", "j", "key", "comp").unionByName(double.select("fp", "n", "j", "key", "comp")).withColumn("near", before)
-    chain = chain.where((F.col("comp") != F.col("near.comp")) & near(F.col("n"), F.col("near.n")))
-    merge(chain.select(F.least("near.fp", "fp").alias("a"), F.greatest("near.fp", "fp").alias("b")).distinct())
+    left = cut_table(_classed(rows.select("fp").distinct(), comps).join(active, "fp").select("fp", "comp", "seq"))
+    pairs, most = cut(possible_pairs(left, least)), 4
+    while not pairs.isEmpty():
+        # of two classes a few pairs first: what these merge need not be compared
+        place = F.row_number().over(Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.xxhash64("a", "b"), "a", "b"))
+        placed = cut(pairs.withColumn("place", place))
+        merge(placed.where(F.col("place") <= most).select("a", "b"))
+        pairs, most = placed.where(F.col("place") > most).select("a", "b"), most * 8
+        for end in ("a", "b"):
+            now = _classed(pairs.select(F.col(end).alias("fp")).distinct(), comps).select(F.col("fp").alias(end), F.col("comp").alias("c" + end))
+            pairs = pairs.join(now, end)
+        pairs = cut(pairs.where("ca != cb"))
     if links is None:
         return table.select("doc_id", "fp").join(nodes.select("fp", F.col("first").alias("class_id")), "fp").select("doc_id", "class_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
     pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -72,6 +72,43 @@ def test_near_duplicates_are_brute_forces(spark, corpus):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_copies_among_thousands_with_one_long_passage(spark):
+    rng, passage = random.Random(17), [f"p{i}" for i in range(120)]
+    own = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    texts = []
+    for _ in range(1500):
+        both = own(12)
+        texts += [" ".join(passage + both + own(13)) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # each text is alike to its pair (128 of 154 shingles) and not to any other (116 of 166)
+    assert all(r.class_id == r.doc_id // 2 * 2 for r in near_dup.near_duplicates(df).collect())
+
+
+def test_possible_pairs_miss_none(spark):
+    rng = random.Random(23)
+    base = [rng.randrange(1 << 16) for _ in range(120)]
+    texts = []
+    for _ in range(300):
+        words = base[: rng.randint(80, 120)] + [rng.randrange(1 << 16) for _ in range(rng.randint(0, 40))]
+        words[rng.randrange(20) : rng.randrange(20)] = [7] * rng.randint(0, 3)
+        texts.append(np.array(words, "<u2").tobytes())
+    rows = [(bytes([i // 256, i % 256]), bytes([i % 7]), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "fp binary, comp binary, seq binary")
+    shingles = [near_dup._rolled(t) for t in texts]
+    alike = {(rows[i][0], rows[j][0]) for j in range(300) for i in range(j) if i % 7 != j % 7 and near_dup.similarity(shingles[i], shingles[j], 0.8)}
+    possible = near_dup.possible_pairs(df, 0.8).collect()
+    assert 100 < len(alike) and alike <= {(r.a, r.b) for r in possible}
+    assert all(r.ca != r.cb and r.ca == bytes([int.from_bytes(r.a) % 7]) for r in possible)
+    i, j = np.triu_indices(300, 1)
+    n, comp = np.array([len(s) for s in shingles]), np.arange(300) % 7
+    dealt = np.arange(300) % 3
+    for x, y in ((0, 0), (0, 1), (1, 2)):  # a cell of a grid compares only what is dealt to its two sides
+        sides = np.isin(dealt, (x, y))
+        got = {tuple(sorted(p)) for a, b in near_dup._matches(np.zeros(sides.sum(), "i8"), n[sides], n[sides], comp[sides], dealt[sides], np.full(sides.sum(), (x << 16) + y), 0.8) for p in zip(np.flatnonzero(sides)[a], np.flatnonzero(sides)[b])}
+        want = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= 0.8 * np.maximum(n[i], n[j])) & (np.minimum(dealt[i], dealt[j]) == x) & (np.maximum(dealt[i], dealt[j]) == y)
+        assert got == set(zip(i[want], j[want]))
+
+
 def test_alignment_is_the_longest_common_subsequence():
     random.seed(0)
     for _ in range(1500):
