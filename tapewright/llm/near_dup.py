@@ -373,7 +373,7 @@ def _classed(texts: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, count: int = 12, length: int = 2, rounds: int = 5) -> DataFrame:
-    """(doc_id, class_id, n_links, representative): a row per row of ``docs``; the class is its least doc_id.
+    """(doc_id, class_id, n_spanning_links, representative): a row per row of ``docs``; the class is its least doc_id.
 
     Texts of the same lower-cased words are copies and form one node; null and blank texts are copies of each other.
     Each sketch of a node puts it in a bucket. In each round every bucket that holds nodes of several classes draws two
@@ -381,8 +381,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     round's comparisons are in proportion to the nodes, however large a bucket is. The rounds, which end after the first
     that merges none, only save comparisons: of the nodes of all buckets that still hold several classes, every pair of
     different classes is then ruled out by :func:`possible_pairs` or verified. Two texts of similarity 0.8 share at
-    least one of 12 sketches of length 2 but once in some 200,000 times. n_links counts the
-    node's verified links to other nodes. Rows of null id take no part in naming a class.
+    least one of 12 sketches of length 2 but once in some 200,000 times. n_spanning_links counts
+    the node's verified links to nodes that were of another class when compared, and not all that it is alike to.
+    Rows of null id take no part in naming a class.
     """
     spark: SparkSession = docs.sparkSession
     ship(spark)
@@ -434,12 +435,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             pairs = pairs.join(now, end)
         pairs = cut(pairs.where("ca != cb"))
     if links is None:
-        return table.select("doc_id", "fp").join(nodes.select("fp", F.col("first").alias("class_id")), "fp").select("doc_id", "class_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
+        return table.select("doc_id", "fp").join(nodes.select("fp", F.col("first").alias("class_id")), "fp").select("doc_id", "class_id", F.lit(0).cast("long").alias("n_spanning_links"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
     pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    ends_of = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
+    ends_of = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_spanning_links"))
     named = _classed(nodes.select("fp", "first"), comps)
     names = named.join(comps.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("first").alias("class"))
     by_node = named.join(names, "comp", "left").join(ends_of, "fp", "left")
-    by_node = by_node.select("fp", F.coalesce("class", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    by_node = by_node.select("fp", F.coalesce("class", "first").alias("class_id"), F.coalesce("n_spanning_links", F.lit(0)).cast("long").alias("n_spanning_links"))
     out = table.select("doc_id", "fp").join(by_node, "fp")
-    return out.select("doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
+    return out.select("doc_id", "class_id", "n_spanning_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))

@@ -84,6 +84,11 @@ def test_near_copies_among_thousands_with_one_long_passage(spark):
     assert all(r.class_id == r.doc_id // 2 * 2 for r in near_dup.near_duplicates(df).collect())
 
 
+def test_links_are_named_as_spanning_ones(spark):
+    df = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    assert near_dup.near_duplicates(df).columns == ["doc_id", "class_id", "n_spanning_links", "representative"]
+
+
 def test_possible_pairs_miss_none(spark):
     rng = random.Random(23)
     base = [rng.randrange(1 << 16) for _ in range(120)]
