@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch that is sent to a Python worker.
+ARROW_BYTES = 8 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -38,6 +40,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Named intermediate tables in the shared checkpoint folder, deleted as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.made = spark, f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}", {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` as a written table. An earlier one of this name, which ``df`` may read, is deleted afterwards."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.free(name)
+        self.made[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def free(self, *names: str) -> None:
+        """Deletes tables that no later job reads."""
+        for path in filter(None, (self.made.pop(name, None) for name in names)):
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none for null, empty or blank texts."""
     trimmed = F.btrim(text, F.lit(BLANKS))
@@ -62,8 +85,12 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable by the Python workers of ``spark``, once per application."""
+    """Makes this package importable by the Python workers of ``spark``, once per application.
+
+    Batches that go to the workers are bounded by bytes, so that 10,000 long texts don't meet in one.
+    """
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parents[1]

@@ -17,9 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import cut, cut_table, ship
+from tapewright.llm.common import Scratch, ship
 
 SHINGLE = 5
+WORD_BYTES = 3
 SLICE_BYTES = 8 << 20
 U64 = np.uint64
 _ODD = np.random.default_rng(20240229).integers(1 << 62, size=256, dtype="u8") * U64(2) + U64(1)
@@ -104,13 +105,13 @@ def _sketch_udf(count: int, length: int):
             hashes, counts = _word_hashes(texts[begin:end])
             shingles, n = _shingles(hashes, counts)
             keys = sketches(shingles, n, count, length)
-            small, ends = hashes.astype("<u2"), np.cumsum(counts)
+            ends = np.cumsum(counts)
             words = [hashes[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
             has = np.cumsum(np.concatenate([[0], n > 0])) * count
             columns = [
                 pa.array([xxhash.xxh3_128_digest(w) for w in words], pa.binary()),
                 pa.array(n),
-                pa.array([small[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)], pa.binary()),
+                pa.array([_packed(hashes[e - c : e]) for e, c in zip(ends, counts, strict=True)], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(has, pa.int32()), pa.array(keys.reshape(-1).view("i8"))),
             ]
             out.append(pa.StructArray.from_arrays(columns, names=["fp", "n", "seq", "keys"]))
@@ -120,17 +121,61 @@ def _sketch_udf(count: int, length: int):
     return sketch
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """Three bytes of each word's hash: two different words are told apart but once in 16.7 million times."""
+    return np.ascontiguousarray(hashes.astype("<u4").view("u1").reshape(-1, 4)[:, :WORD_BYTES]).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // WORD_BYTES, 4), "u1")
+    out[:, :WORD_BYTES] = np.frombuffer(packed, "u1").reshape(-1, WORD_BYTES)
+    return out.reshape(-1).view("<u4").astype("u8")
+
+
 def _rolled(seq: bytes) -> np.ndarray:
     """Shingles of a text from its words' short hashes."""
-    words = np.frombuffer(seq, "<u2").astype("u8")
+    words = _unpacked(seq)
     return _shingles(words, np.array([len(words)]))[0]
 
 
+def _banded(x: np.ndarray, y: np.ndarray, band: int) -> int:
+    """Length of the longest common subsequence of x and y that strays from the diagonal by ``band`` at most.
+
+    A row of the alignment is a bit vector of the 2 * band + 1 places around the diagonal, as in Crochemore's and
+    others' algorithm; a place that leaves the band has got its last value.
+    """
+    places: dict[int, list[int]] = {}
+    for i, s in enumerate(x.tolist()):
+        places.setdefault(s, []).append(i)
+    often = {s: sum(1 << i for i in at) for s, at in places.items() if len(at) > 64}
+    row, low, done, width = (1 << min(band + 1, len(x))) - 1, 0, 0, 0
+    for j, s in enumerate(y.tolist()):
+        if j > band and low < len(x):
+            done += ~row & 1
+            row, low = row >> 1, low + 1
+        high = min(j + band + 1, len(x))
+        width = max(high - low, 0)
+        if j and j + band < len(x):
+            row |= 1 << (width - 1)
+        if (at := places.get(s)) is None:
+            continue
+        if s in often:
+            hit = (often[s] >> low) & ((1 << width) - 1)
+        else:
+            hit = 0
+            for i in at:
+                if low <= i < high:
+                    hit |= 1 << (i - low)
+        kept = row & hit
+        row = ((row + kept) | (row - kept)) & ((1 << width) - 1)
+    return done + width - row.bit_count()
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """Matched shingles of the best alignment divided by all, or 0 if that is less than ``least``.
+    """Matched shingles of an alignment divided by all, or 0 if those of the best are less than ``least`` of all.
 
-    The band is as wide as any alignment of such a similarity can stray. Rows of the alignment are bit vectors, as in
-    Crochemore's and others' algorithm for longest common subsequences.
+    The band doubles from a narrow one up to the widest that any alignment of such a similarity can stray in; the first
+    that finds enough matches decides, so that near copies cost time in proportion to their length and differences.
     """
     whole = len(a) + len(b)
     needed = int(np.ceil(least * whole / (1 + least) - 1e-9))
@@ -145,20 +190,14 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     if len(x) and len(y):
         if same + _common(x, y) < needed:
             return 0.0
-        band = max(len(a), len(b)) - needed
-        places: dict[int, int] = {}
-        for i, s in enumerate(x.tolist()):
-            places[s] = places.get(s, 0) | (1 << i)
-        ones = (1 << len(x)) - 1
-        row, strip = ones, (1 << (2 * band + 1)) - 1
-        for j, s in enumerate(y.tolist()):
-            hit = places.get(s)
-            if hit is None:
-                continue
-            hit &= strip << (j - band) if j >= band else strip >> (band - j)
-            kept = row & hit
-            row = ((row + kept) | (row - kept)) & ones
-        same += len(x) - row.bit_count()
+        widest = max(len(a), len(b)) - needed
+        band, most = min(max(64, 2 * abs(len(x) - len(y))), widest), same
+        while True:
+            most = same + _banded(x, y, band)
+            if most >= needed or band >= widest:
+                break
+            band = min(4 * band, widest)
+        same = most
     return same / (whole - same) if same >= needed else 0.0
 
 
@@ -170,34 +209,25 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
-    """The ``pairs`` (a, b) of fingerprints whose texts are alike. ``sequences`` has fp and seq.
+    """The ``pairs`` (a, b and other columns) of nodes whose texts are alike. ``sequences`` has id and seq, an id once.
 
-    Each b's text is sent to its a, whose own text comes first in the sorted partition; a task holds one text of an a
-    at a time and streams the others past it.
+    Texts come to the pairs by two joins, of which Spark splits those on an id that very many pairs have.
     """
-    others = pairs.join(sequences, pairs["b"] == sequences["fp"]).select("a", "b", "seq")
-    own = pairs.select("a").distinct().join(sequences, F.col("a") == F.col("fp")).select("a", F.lit(b"").alias("b"), "seq")
-    # a text with very many partners is sent with each of the parts that they are dealt to
-    part = F.pmod(F.xxhash64("b"), F.lit(PARTS))
-    parts = pairs.select("a", part.alias("part")).distinct()
-    rows = others.withColumn("part", part).unionByName(own.join(parts, "a").select("a", "b", "seq", "part"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, text = None, None
-        for batch in batches:
-            found = []
-            for a, b, part, seq in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "part", "seq")), strict=True):
-                if b == b"":
-                    held, text = (a, part), _rolled(seq)
-                elif held == (a, part) and similarity(text, _rolled(seq), least) >= least:
-                    found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in range(2)], names=["a", "b"])
 
-    dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "b")
-    return dealt.mapInArrow(compare, "a binary, b binary")
+    @F.arrow_udf("boolean")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        last, held, out = None, None, []
+        for x, y in zip(a, b, strict=True):
+            x, y = x.as_py(), y.as_py()
+            if x != last:
+                last, held = x, _rolled(x)
+            out.append(similarity(held, _rolled(y), least) >= least)
+        return pa.array(out, pa.bool_())
+
+    of = lambda end: sequences.select(F.col("id").alias(end), F.col("seq").alias("seq_" + end))
+    return pairs.join(of("b"), "b").join(of("a"), "a").where(alike("seq_a", "seq_b")).select(pairs.columns)
 
 
-PARTS = 8
 #: Words of one slice of texts whose shingles are ordered at once.
 SLICE_WORDS = 1 << 20
 #: Texts of one shingle that are compared with each other in one group; more are dealt over several.
@@ -208,10 +238,10 @@ CHUNK = 1 << 14
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, end, labelled shingles, number of each text's) of slices of a batch whose last column is seq."""
     seqs = batch.column(batch.num_columns - 1)
-    sizes, begin = np.cumsum(pc.binary_length(seqs).to_numpy(zero_copy_only=False).astype("i8")) // 2, 0
+    sizes, begin = np.cumsum(pc.binary_length(seqs).to_numpy(zero_copy_only=False).astype("i8")) // WORD_BYTES, 0
     while begin < len(seqs):
         end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + SLICE_WORDS)))
-        words = np.frombuffer(b"".join(seqs[begin:end].to_pylist()), "<u2").astype("u8")
+        words = _unpacked(b"".join(seqs[begin:end].to_pylist()))
         shingles, n = _shingles(words, np.diff(sizes[begin:end], prepend=sizes[begin - 1] if begin else 0))
         yield begin, end, _labelled(shingles, np.repeat(np.arange(len(n)), n)), n
         begin = end
@@ -279,7 +309,7 @@ def _matches(group: np.ndarray, n: np.ndarray, rest: np.ndarray, comp: np.ndarra
 
 
 def possible_pairs(texts: DataFrame, least: float) -> DataFrame:
-    """(a, b, ca, cb): all pairs of ``texts`` (fp, comp, seq) of different classes that can be alike, and the classes.
+    """(a, b, ca, cb): all pairs of ``texts`` (id, comp, seq) of different classes that can be alike, and the classes.
 
     Texts of n and m shingles that are alike share t = least * (n + m) / (1 + least) labelled ones at least. With all
     shingles in one order, the first that both have is followed in each text by t - 1 others or more. So texts meet by
@@ -302,7 +332,7 @@ def possible_pairs(texts: DataFrame, least: float) -> DataFrame:
                 chosen = (left >= least * n[of] - 1e-6) & (count[order] > 1)
                 order, left, of = order[chosen], left[chosen], of[chosen]
                 grid = np.minimum(-(-count[order].astype("i8") // GROUP), 1 << 15)
-                own = np.fromiter((xxhash.xxh3_64_intdigest(x) >> 1 for x in batch.column(0)[begin:end].to_pylist()), "i8", end - begin)[of] % grid
+                own = (_mix(batch.column(0)[begin:end].to_numpy().astype("u8")) >> U64(1)).astype("i8")[of] % grid
                 for a in range(0, len(of), 1 << 16):
                     part = slice(a, a + (1 << 16))
                     at = np.repeat(np.arange(len(of[part])), grid[part])
@@ -311,22 +341,23 @@ def possible_pairs(texts: DataFrame, least: float) -> DataFrame:
                     columns = [labelled[order][part][at].view("i8"), (np.minimum(mine, other) << 16) + np.maximum(mine, other), mine, n[of[part]][at], left[part][at]]
                     names = ["token", "cell", "dealt", "n", "rest"]
                     rows = pa.array(begin + of[part][at])
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column(0).take(rows), batch.column(1).take(rows)], names=[*names, "fp", "comp"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column(0).take(rows), batch.column(1).take(rows)], names=[*names, "id", "comp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
             token, cell, dealt, n, rest = (table.column(k).to_numpy() for k in range(5))
             group = np.cumsum(np.concatenate([[False], (np.diff(token) != 0) | (np.diff(cell) != 0)])).astype("i8")
-            fp, comp = (table.column(k).combine_chunks().dictionary_encode() for k in (5, 6))
-            text, cls = (x.indices.to_numpy().astype("i8") for x in (fp, comp))
-            for i, j in _matches(group, n, rest, cls, dealt, cell, least):
-                pairs = np.unique(np.stack([np.minimum(text[i], text[j]), np.maximum(text[i], text[j])]), axis=1) if len(i) else np.zeros((2, 0), "i8")
-                class_of = np.zeros(len(fp.dictionary), "i8")
-                class_of[text] = cls
-                for a in range(0, pairs.shape[1], 1 << 16):
-                    x, y = pairs[:, a : a + (1 << 16)]
-                    ends = [fp.dictionary.take(pa.array(x)), fp.dictionary.take(pa.array(y)), comp.dictionary.take(pa.array(class_of[x])), comp.dictionary.take(pa.array(class_of[y]))]
-                    yield pa.RecordBatch.from_arrays(ends, names=["a", "b", "ca", "cb"])
+            ids, comp = (table.column(k).to_numpy() for k in (5, 6))
+            for i, j in _matches(group, n, rest, comp, dealt, cell, least):
+                low = ids[i] < ids[j]
+                x, y = np.where(low, i, j), np.where(low, j, i)
+                once = np.lexsort((ids[y], ids[x]))
+                x, y = x[once], y[once]
+                new = np.concatenate([[True], (np.diff(ids[x]) != 0) | (np.diff(ids[y]) != 0)])[: len(x)]
+                x, y = x[new], y[new]
+                for a in range(0, len(x), 1 << 16):
+                    p, q = x[a : a + (1 << 16)], y[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (ids[p], ids[q], comp[p], comp[q]))], names=["a", "b", "ca", "cb"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -341,106 +372,136 @@ def possible_pairs(texts: DataFrame, least: float) -> DataFrame:
         if held:
             yield from found(pa.Table.from_batches(held))
 
-    entries = texts.select("fp", "comp", "seq").mapInArrow(deal, "token long, cell long, dealt long, n long, rest long, fp binary, comp binary")
-    met = entries.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInArrow(meet, "a binary, b binary, ca binary, cb binary")
-    swap = F.col("a") > F.col("b")
-    ordered = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ca", "cb"), ("cb", "ca"))]
-    return met.select(*ordered).distinct()
+    entries = texts.select("id", "comp", "seq").mapInArrow(deal, "token long, cell long, dealt long, n long, rest long, id long, comp long")
+    met = entries.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInArrow(meet, "a long, b long, ca long, cb long")
+    return met.distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(fp, comp): the least fingerprint of each linked text's class, by alternating large and small stars."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    state = None
+def _contracted(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with those of each partition replaced by a star around the least label of each component there."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while (up := parent.get(top, top)) != top:
+                top = up
+            while (up := parent.get(x, x)) != top:
+                parent[x], x = top, up
+            return top
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                p, q = root(u), root(v)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+        found = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(list(map(root, found)), pa.int64())], names=["u", "v"])
+
+    return edges.select("u", "v").mapInArrow(contract, "u long, v long")
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, comp): the least label of each linked label's component, but for those least ones themselves.
+
+    ``edges`` has labels u > v. Edges of each partition are contracted first; then large and small stars alternate
+    until no label has two edges to lesser ones, or edges to both lesser and greater ones.
+    """
+    edges = scratch.write("edges", _contracted(edges).distinct())
     while True:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0").isEmpty():
+            return edges.withColumnRenamed("v", "comp")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.write("large", large)
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u != v").distinct())
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if seen == state:
-            return edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "fp")
-        state = seen
+        small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
+        edges = scratch.write("edges", _contracted(small).distinct())
+        scratch.free("large")
 
 
-def _classed(texts: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _classed(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """``rows`` (with id) with the label of each node's class: the least id that is known to be in it."""
     if comps is None:
-        return texts.withColumn("comp", F.col("fp"))
-    return texts.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+        return rows.withColumn("comp", F.col("id"))
+    return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, count: int = 12, length: int = 2, rounds: int = 5) -> DataFrame:
-    """(doc_id, class_id, n_spanning_links, representative): a row per row of ``docs``; the class is its least doc_id.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, count: int = 12, length: int = 2, rounds: int = 2) -> DataFrame:
+    """(doc_id, class_id, representative): a row per row of ``docs``; the class is its least doc_id.
 
     Texts of the same lower-cased words are copies and form one node; null and blank texts are copies of each other.
-    Each sketch of a node puts it in a bucket. In each round every bucket that holds nodes of several classes draws two
-    leaders, other ones each time, and its nodes of other classes are compared with them; what is alike merges. A
-    round's comparisons are in proportion to the nodes, however large a bucket is. The rounds, which end after the first
-    that merges none, only save comparisons: of the nodes of all buckets that still hold several classes, every pair of
-    different classes is then ruled out by :func:`possible_pairs` or verified. Two texts of similarity 0.8 share at
-    least one of 12 sketches of length 2 but once in some 200,000 times. n_spanning_links counts
-    the node's verified links to nodes that were of another class when compared, and not all that it is alike to.
-    Rows of null id take no part in naming a class.
+    Each sketch of a node puts it in a bucket, and two nodes of one bucket are candidates. In the first round each node
+    is compared with the first node of its smallest bucket, in the next ones with the first node of the least class of
+    all its buckets: each round sends a text once, however large the buckets are. The rounds only save comparisons: of
+    the nodes of all buckets that then still hold several classes, every pair of different classes is ruled out by
+    :func:`possible_pairs` or verified, until none is left. Two texts of similarity 0.8 share at least one of 12 sketches
+    of length 2 but once in some 200,000 times. Rows of null id take no part in naming a class. Very long texts are
+    compared whole, in a band. An empty table gives no rows; other columns, whatever their names, are not read.
     """
     spark: SparkSession = docs.sparkSession
     ship(spark)
+    scratch = Scratch(spark)
     sketch = _sketch_udf(count, length)(F.col(f"`{text}`"))
-    table = cut_table(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), sketch.alias("s")).select("doc_id", "s.*"))
-    nodes = cut(table.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * least
-    all_buckets = nodes.select("fp", "n", F.posexplode("keys").alias("j", "key"))
-    shared = all_buckets.groupBy("j", "key").agg(F.min("fp").alias("c"), F.max("fp").alias("d")).where("c != d").select("j", "key")
-    buckets = cut(all_buckets.join(shared, ["j", "key"]))
-    active = cut_table(table.select("fp", "seq").join(buckets.select("fp").distinct(), "fp").groupBy("fp").agg(F.first("seq").alias("seq")))
-    links, comps = None, None
-
-    def contested(rows: DataFrame) -> DataFrame:
-        """Those of the rows whose buckets hold several classes; a bucket that doesn't never will again."""
-        classed = _classed(rows.drop("comp"), comps)
-        mixed = classed.groupBy("j", "key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").select("j", "key")
-        return classed.join(mixed, ["j", "key"])
-
-    def merge(pairs: DataFrame) -> bool:
-        """Verifies pairs (a, b) and merges the classes of those that are alike; whether there are any."""
-        nonlocal links, comps
-        found = cut(verified(cut(pairs), active, least))
-        if found.isEmpty():
-            return False
-        links = found if links is None else links.unionByName(found)
-        comps = cut(components(links))
-        return True
-
-    rows = buckets.withColumn("comp", F.col("fp"))
+    sketched = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), sketch.alias("s")).select("doc_id", "s.*")
+    table = scratch.write("table", sketched.withColumn("id", F.monotonically_increasing_id()))
+    nodes = scratch.write("nodes", table.groupBy("fp").agg(F.min("id").alias("id"), F.min("doc_id").alias("first")))
+    posted = table.select("id", "keys").join(nodes.select("id"), "id").select("id", F.explode("keys").alias("key"))
+    leads = posted.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    rows = scratch.write("rows", posted.join(scratch.write("leads", leads), "key"))
+    scratch.free("leads")
+    active = scratch.write("active", table.select("id", "seq").join(rows.select("id").distinct(), "id"))
+    comps = None
+
+    def merge(pairs: DataFrame) -> None:
+        """Verifies pairs (a, b, ca, cb) of nodes and their classes, and merges the classes of those that are alike."""
+        nonlocal comps
+        found = scratch.write("found", verified(pairs, active, least))
+        links = found.select(F.greatest("ca", "cb").alias("u"), F.least("ca", "cb").alias("v")).where("u != v")
+        if links.isEmpty():
+            return
+        roots = components(links, scratch)
+        added = roots.select(F.col("u").alias("id"), "comp")
+        if comps is not None:
+            moved = comps.withColumnRenamed("comp", "u").join(roots, "u", "left").select("id", F.coalesce("comp", "u").alias("comp"))
+            added = moved.unionByName(added)
+        comps = scratch.write("comps", added)
+        scratch.free("edges", "found")
+
     for turn in range(rounds):
-        drawn = F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "n", "comp")
-        leaders = rows.groupBy("j", "key").agg(F.array(F.min(drawn), F.max(drawn)).alias("leads"))
-        asked = rows.join(leaders, ["j", "key"]).select("fp", "n", "comp", F.explode("leads").alias("lead"))
-        asked = asked.where((F.col("comp") != F.col("lead.comp")) & near(F.col("n"), F.col("lead.n")))
-        if not merge(asked.select(F.col("lead.fp").alias("a"), F.col("fp").alias("b")).distinct()):
-            break
-        rows = cut(contested(rows))
-    left = cut_table(_classed(rows.select("fp").distinct(), comps).join(active, "fp").select("fp", "comp", "seq"))
-    pairs, most = cut(possible_pairs(left, least)), 4
+        if turn == 0:
+            asked = rows.where("lead != id").groupBy("id").agg(F.min_by("lead", "n").alias("a"))
+            merge(asked.select("a", F.col("id").alias("b"), F.col("a").alias("ca"), F.col("id").alias("cb")))
+        else:
+            asked = rows.where("lead != comp").groupBy("id").agg(F.min("lead").alias("a"), F.first("comp").alias("comp"))
+            merge(asked.select("a", F.col("id").alias("b"), F.col("a").alias("ca"), F.col("comp").alias("cb")))
+        # a bucket whose nodes are all of one class needs no more comparisons, now or later
+        classed = scratch.write("classed", _classed(rows.select("id", "key"), comps))
+        mixed = classed.groupBy("key").agg(F.min("comp").alias("lead"), F.max("comp").alias("last")).where("lead != last").select("key", "lead")
+        rows = scratch.write("rows", classed.join(scratch.write("mixed", mixed), "key"))
+        scratch.free("classed", "mixed")
+    left = scratch.write("left", rows.select("id", "comp").distinct().join(active, "id").select("id", "comp", "seq"))
+    scratch.free("rows")
+    pairs, most = scratch.write("pairs", possible_pairs(left, least)), 4
+    scratch.free("left")
     while not pairs.isEmpty():
         # of two classes a few pairs first: what these merge need not be compared
         place = F.row_number().over(Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.xxhash64("a", "b"), "a", "b"))
-        placed = cut(pairs.withColumn("place", place))
-        merge(placed.where(F.col("place") <= most).select("a", "b"))
+        placed = scratch.write("placed", pairs.withColumn("place", place))
+        merge(placed.where(F.col("place") <= most).select("a", "b", "ca", "cb"))
         pairs, most = placed.where(F.col("place") > most).select("a", "b"), most * 8
         for end in ("a", "b"):
-            now = _classed(pairs.select(F.col(end).alias("fp")).distinct(), comps).select(F.col("fp").alias(end), F.col("comp").alias("c" + end))
-            pairs = pairs.join(now, end)
-        pairs = cut(pairs.where("ca != cb"))
-    if links is None:
-        return table.select("doc_id", "fp").join(nodes.select("fp", F.col("first").alias("class_id")), "fp").select("doc_id", "class_id", F.lit(0).cast("long").alias("n_spanning_links"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
-    pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    ends_of = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_spanning_links"))
-    named = _classed(nodes.select("fp", "first"), comps)
-    names = named.join(comps.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("first").alias("class"))
-    by_node = named.join(names, "comp", "left").join(ends_of, "fp", "left")
-    by_node = by_node.select("fp", F.coalesce("class", "first").alias("class_id"), F.coalesce("n_spanning_links", F.lit(0)).cast("long").alias("n_spanning_links"))
+            pairs = _classed(pairs.withColumnRenamed(end, "id"), comps).withColumnsRenamed({"id": end, "comp": "c" + end})
+        pairs = scratch.write("pairs", pairs.where("ca != cb").select("a", "b", "ca", "cb"))
+    scratch.free("pairs", "placed", "active")
+    named = _classed(nodes, comps)
+    if comps is not None:
+        names = named.join(comps.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("first").alias("class"))
+        named = named.join(names, "comp", "left").withColumn("first", F.coalesce("class", "first"))
+    by_node = scratch.write("by_node", named.select("fp", F.col("first").alias("class_id")))
+    scratch.free("nodes", "comps", "found")
     out = table.select("doc_id", "fp").join(by_node, "fp")
-    return out.select("doc_id", "class_id", "n_spanning_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
+    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))

@@ -84,9 +84,25 @@ def test_near_copies_among_thousands_with_one_long_passage(spark):
     assert all(r.class_id == r.doc_id // 2 * 2 for r in near_dup.near_duplicates(df).collect())
 
 
-def test_links_are_named_as_spanning_ones(spark):
-    df = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
-    assert near_dup.near_duplicates(df).columns == ["doc_id", "class_id", "n_spanning_links", "representative"]
+def test_band_follows_insertions_and_stays_exact():
+    rng = np.random.default_rng(5)
+    for size, changes in ((400, 10), (3000, 60), (3000, 400)):
+        a = rng.integers(0, 1 << 30, size).astype("u8")
+        b = a.tolist()
+        for at in sorted(rng.integers(0, size, changes).tolist(), reverse=True):
+            b[at : at + 1] = [int(rng.integers(1 << 31, 1 << 32))] * int(rng.integers(0, 3))
+        m = lcs(a.tolist(), b)
+        assert near_dup._banded(a, np.array(b, "u8"), len(a) + len(b)) == m
+        assert near_dup._banded(a, np.array(b, "u8"), 3 * changes + 5) == m
+        want = m / (len(a) + len(b) - m)
+        assert (near_dup.similarity(a, np.array(b, "u8"), 0.8) >= 0.8) == (want >= 0.8)
+    same = np.array([1] * 500 + [2] * 100, "u8")
+    assert near_dup._banded(same, same[50:], 60) == 550
+
+
+def test_columns_of_the_result(spark):
+    df = spark.createDataFrame([(1, "one two", 3, 4)], "doc_id long, text string, id int, class_id int")
+    assert near_dup.near_duplicates(df).columns == ["doc_id", "class_id", "representative"]
 
 
 def test_possible_pairs_miss_none(spark):
@@ -96,14 +112,14 @@ def test_possible_pairs_miss_none(spark):
     for _ in range(300):
         words = base[: rng.randint(80, 120)] + [rng.randrange(1 << 16) for _ in range(rng.randint(0, 40))]
         words[rng.randrange(20) : rng.randrange(20)] = [7] * rng.randint(0, 3)
-        texts.append(np.array(words, "<u2").tobytes())
-    rows = [(bytes([i // 256, i % 256]), bytes([i % 7]), t) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "fp binary, comp binary, seq binary")
+        texts.append(near_dup._packed(np.array(words, "u8")))
+    rows = [(i, i % 7, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, comp long, seq binary")
     shingles = [near_dup._rolled(t) for t in texts]
     alike = {(rows[i][0], rows[j][0]) for j in range(300) for i in range(j) if i % 7 != j % 7 and near_dup.similarity(shingles[i], shingles[j], 0.8)}
     possible = near_dup.possible_pairs(df, 0.8).collect()
     assert 100 < len(alike) and alike <= {(r.a, r.b) for r in possible}
-    assert all(r.ca != r.cb and r.ca == bytes([int.from_bytes(r.a) % 7]) for r in possible)
+    assert all(r.ca != r.cb and r.ca == r.a % 7 and r.a < r.b for r in possible)
     i, j = np.triu_indices(300, 1)
     n, comp = np.array([len(s) for s in shingles]), np.arange(300) % 7
     dealt = np.arange(300) % 3
