@@ -40,6 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or a longer one where a column has it already, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Named intermediate tables in the shared checkpoint folder, deleted as soon as nothing reads them any more."""
 

@@ -301,7 +301,7 @@ def test_scores_are_probabilities_and_beat_the_counts(spark):
 
     rows = [(i, text() if i % 50 else None, 1) for i in range(900)] + [(3, "unseenword Été été", 1), (None, "T1 t1", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score int")
-    out = lm.fit_and_score(df, settings=lm.Settings(known=50, classes=8, per_class=8)).collect()
+    out = lm.fit_and_score(df, settings=lm.Settings(known=50, branch=8, levels=2, least_count=2)).collect()
     lowered = lambda t: words_of((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) + [" "]
     fold = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
     counts = collections.Counter(w for i, t, _ in rows if not fold(i) for w in lowered(t))
@@ -313,18 +313,40 @@ def test_scores_are_probabilities_and_beat_the_counts(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_model_sums_to_one(spark):
+def test_model_sums_to_one_and_scores_as_written_out(spark):
     counts = spark.createDataFrame([(f"w{i}", 100 - i) for i in range(60)] + [(lm.END, 30)], "word string, c long")
-    model = lm.start(counts, lm.Settings(classes=4, per_class=5, rows=64, known=30))
+    model = lm.start(counts, lm.Settings(branch=3, levels=3, least_rows=64, most_rows=64, least_count=60, known=30))
+    assert model.levels == 3 and len(model.ids) == 27 and model.rows == 64
     rng = np.random.default_rng(1)
-    model.class_weights[:] = rng.normal(size=model.class_weights.shape)
-    model.word_weights[:] = rng.normal(size=model.word_weights.shape)
-    rows = np.array([[3], [17], [40]])
-    frequent = sum(math.exp(model.score(np.array([i]), rows)[0]) for i in range(20))
-    rest = math.exp(model.score(np.array([-1]), rows)[0])
-    assert frequent + rest == pytest.approx(1.0, abs=1e-5)
+    model.root_weights[:] = rng.normal(size=model.root_weights.shape)
+    model.weights[:] = rng.normal(size=model.weights.shape)
+    words, codes, lengths = [lm.END, *[f"w{i}" for i in range(60)]], np.array([3, 1, 9, 55, 2, 0, 7, 0]), np.array([6, 2])
+    ids, features = model.encode(words, codes, lengths)
+    scores = model.score(ids, features)
+    for t, rank in enumerate(ids.tolist()):  # each factor by hand
+        every = []
+        for other in [*range(27), -1]:
+            top = model.bias[0][0] + sum(model.root_weights[r[0]] for r in model.root_rows(features[:, t : t + 1]))
+            log = top[other // 9 if other >= 0 else 3] - math.log(sum(map(math.exp, top)))
+            for level, node, child in ((1, other // 9, other // 3 % 3), (2, other // 3, other % 3)) if other >= 0 else ():
+                at = model.node_rows(features[:, t : t + 1], np.array([node + 3**level]))
+                inner = model.bias[level][node] + sum(model.weights[r[0]] for r in at)
+                log += inner[child] - math.log(sum(map(math.exp, inner)))
+            every.append(log)
+        assert sum(map(math.exp, every)) == pytest.approx(1.0, abs=1e-4)
+        assert scores[t] == pytest.approx(every[rank], abs=1e-4)
     known = {r.word: r.c for r in counts.collect()}
     assert model.rest == pytest.approx(sum(known[w] + 0.1 for w in known if w not in model.ids) + 0.1)
+    with pytest.raises(ValueError):
+        lm.Settings(most_rows=1 << 17)
+
+
+def test_scores_of_no_rows_very_long_texts_and_clashing_names(spark):
+    assert lm.fit_and_score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    df = spark.createDataFrame([(1, "a b " * 100_000, 1, 2, 3), (2, None, 1, 2, 3), (3, "b a", 1, 2, 3)], "doc_id long, text string, s int, row int, kept int")
+    out = {r.doc_id: r for r in lm.fit_and_score(df, settings=lm.Settings(least_count=1)).collect()}
+    assert out[1].n_tokens == 200_001 and out[2].n_tokens == 1 and (out[3].s, out[3].row, out[3].kept) == (1, 2, 3)
+    assert all(r.score < 0 and math.isfinite(r.score) for r in out.values())
 
 
 def test_pipeline_stages(spark, tmp_path):
