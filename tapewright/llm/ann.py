@@ -1,8 +1,9 @@
 """Approximate nearest neighbours with a permutation index.
 
-A vector is represented by its nearest pivots in order. In each unit of the index its vectors are posted in the
-inverted file of their nearest pivot; a query looks into the files of its nearest pivots, ranks what it finds by the
-footrule distance of the orders, and compares the better share with the vectors themselves.
+A vector is represented by its nearest pivots in order, and posted with its place for each of them in that pivot's
+inverted file. A query reads the files of its own nearest pivots, which add up the footrule distance of the two orders
+for all that they hold, and compares the vectors of the best share by that distance themselves. Vectors lie together by
+their nearest pivot, so that a query is sent only where pivots of its own better part are nearest.
 """
 
 from __future__ import annotations
@@ -40,26 +41,48 @@ class PivotOrders:
 
     def lift(self, vectors: np.ndarray) -> np.ndarray:
         scaled = vectors / self.longest
-        return np.column_stack([scaled, np.sqrt(np.maximum(0, 1 - (scaled**2).sum(1)))]).astype("f4")
+        return np.column_stack([scaled, np.sqrt(np.maximum(0, 1 - (scaled**2).sum(1)))])
 
     def orders(self, lifted: np.ndarray) -> np.ndarray:
         return np.argsort(-(lifted @ self.pivots.T), axis=1, kind="stable").astype("i4")
 
     def of_vectors(self, vectors: np.ndarray) -> np.ndarray:
-        return self.orders(self.lift(vectors))[:, : self.depth]
+        return self.orders(self.lift(vectors))
 
     def of_queries(self, queries: np.ndarray) -> np.ndarray:
         unit = queries / np.sqrt((queries**2).sum(1, keepdims=True))
-        return self.orders(np.column_stack([unit, np.zeros(len(unit))]).astype("f4"))
+        return self.orders(np.column_stack([unit, np.zeros(len(unit))]))
 
     def weights(self, orders: np.ndarray) -> np.ndarray:
         """depth - place of each pivot among the first ``depth``, else 0: the footrule distance of two orders is a
-        constant less twice the sum of the smaller of their weights."""
+        constant less twice the sum of the smaller of their weights, the nearness that is used here."""
         out = np.zeros((len(orders), len(self.pivots)), dtype="i2")
         np.put_along_axis(out, orders[:, : self.depth], np.arange(self.depth, 0, -1, dtype="i2")[None, :], axis=1)
         return out
 
 
+class Files:
+    """The inverted files of some vectors: for each pivot, who has it among the first ``depth`` and with what weight."""
+
+    def __init__(self, pivots: PivotOrders, vectors: np.ndarray):
+        self.pivots, orders = pivots, pivots.of_vectors(vectors)
+        self.first = orders[:, 0]
+        posted = orders[:, : pivots.depth].reshape(-1)
+        by_pivot = np.argsort(posted, kind="stable")
+        self.who = by_pivot // pivots.depth
+        self.weight = (pivots.depth - by_pivot % pivots.depth).astype("i2")
+        self.starts = np.searchsorted(posted[by_pivot], np.arange(len(pivots.pivots) + 1))
+        self.n = len(vectors)
+
+    def nearness(self, weights: np.ndarray) -> np.ndarray:
+        """By vector and query, of the queries' ``weights``: read from the files of the pivots that they have."""
+        asked, out = np.ascontiguousarray(weights.T), np.zeros((self.n, len(weights)), dtype="i2")
+        for pivot in np.flatnonzero(weights.any(axis=0)):
+            own = slice(self.starts[pivot], self.starts[pivot + 1])
+            out[self.who[own]] += np.minimum(self.weight[own, None], asked[pivot][None, :])
+        return out
+
+
 def _nearest(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of each row, best first, ties to smaller ids."""
     order = np.lexsort((ids, -scores, rows))
@@ -69,50 +92,37 @@ def _nearest(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> n
 
 
 class Unit:
-    """The index of one unit's vectors: a file of postings for each pivot, in order of ids."""
+    """The index of one unit's vectors."""
 
     def __init__(self, pivots: PivotOrders, ids: np.ndarray, vectors: np.ndarray):
-        by_id = np.argsort(ids, kind="stable")
-        self.pivots, self.ids, self.vectors = pivots, ids[by_id], vectors[by_id]
-        self.orders = pivots.of_vectors(self.vectors)
-        first = self.orders[:, 0]
-        self.posted = np.argsort(first, kind="stable")
-        self.starts = np.searchsorted(first[self.posted], np.arange(len(pivots.pivots) + 1))
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, probes: int, share: float, least: int):
-        """(query's place, id, score) of each query's nearest in this unit."""
+        self.pivots, self.ids, self.vectors, self.files = pivots, ids, vectors, Files(pivots, vectors)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int, cells: int):
+        """(query's place, id, score) of each query's nearest in this unit, and how many vectors were compared.
+
+        Compared are those whose nearest pivot is among the query's first ``cells`` ones, and whose nearness is at least
+        the query's ``least``.
+        """
         orders = self.pivots.of_queries(queries)
-        weights, probed = self.pivots.weights(orders), np.zeros((len(queries), len(self.pivots.pivots)), dtype=bool)
-        np.put_along_axis(probed, orders[:, :probes], True, axis=1)
-        seen = np.full((len(queries), len(self.ids)), -np.inf)  # by place in the files
-        for pivot in range(len(self.pivots.pivots)):
-            a, b = self.starts[pivot], self.starts[pivot + 1]
-            own, asked = self.posted[a:b], np.flatnonzero(probed[:, pivot])
-            if a == b or not len(asked):
-                continue
-            scores = queries[asked] @ self.vectors[own].T
-            compared = int(np.ceil(max(least, share * len(own))))
-            if compared < len(own):
-                by_pivot, near = np.ascontiguousarray(weights[asked].T), np.zeros(scores.shape[::-1], dtype="i2")
-                for place in range(self.pivots.depth):  # rows of the pivots' weights are copied as a whole
-                    part = by_pivot[self.orders[own, place]]
-                    near += np.minimum(part, np.int16(self.pivots.depth - place), out=part)
-                near = np.ascontiguousarray(near.T)
-                bound = np.partition(near, len(own) - compared, axis=1)[:, len(own) - compared]
-                scores[near < bound[:, None]] = -np.inf
-            seen[asked, a:b] = scores
-        ids = self.ids[self.posted]
-        by_id = np.argsort(ids, kind="stable")
-        same = ids[by_id]
-        for i, query in enumerate(query_ids.tolist()):  # a query is no candidate of its own
-            a, b = np.searchsorted(same, query, "left"), np.searchsorted(same, query, "right")
-            seen[i, by_id[a:b]] = -np.inf
-        kth = -np.partition(-seen, k - 1, axis=1)[:, k - 1] if seen.shape[1] > k else np.full(len(seen), -np.inf)
-        # products of equal vectors may differ in their last bits here; all near the k-th are multiplied again
-        rows, places = np.nonzero((seen >= (kth - 1e-9 * np.maximum(1, np.abs(kth)))[:, None]) & (seen > -np.inf))
-        exact = (queries[rows] * self.vectors[self.posted[places]]).sum(axis=1)
-        best = _nearest(rows, ids[places], exact, k)
-        return rows[best], ids[places[best]], exact[best]
+        visited = np.zeros((len(self.pivots.pivots), len(queries)), dtype=bool)
+        np.put_along_axis(visited, orders[:, :cells].T, True, axis=0)
+        near = self.files.nearness(self.pivots.weights(orders))
+        chosen = (near >= least[None, :]) & visited[self.files.first] & (self.ids[:, None] != query_ids[None, :])
+        rows, places, compared = [], [], 0
+        for i, query in enumerate(queries):
+            own = np.flatnonzero(chosen[:, i])
+            compared += len(own)
+            if len(own) > k:
+                scores = self.vectors[own] @ query
+                kth = np.partition(scores, len(own) - k)[len(own) - k]
+                # products of equal vectors may differ in their last bits; all near the k-th are multiplied again
+                own = own[scores >= kth - 1e-9 * max(1, abs(kth))]
+            rows.append(np.full(len(own), i))
+            places.append(own)
+        rows, places = np.concatenate(rows), np.concatenate(places)
+        exact = (queries[rows] * self.vectors[places]).sum(axis=1)
+        best = _nearest(rows, self.ids[places], exact, k)
+        return rows[best], self.ids[places[best]], exact[best], compared
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -120,16 +130,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int = 64, depth: int = 32, probes: int = 52, share: float = 0.5, least: int = 512, unit_rows: int = 65536) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int = 256, depth: int = 64, cells: float = 0.75, share: float = 0.2, least: int = 320, sample: int = 2048, unit_rows: int = 65536) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its ``k`` nearest other rows by inner product.
 
-    ``is_query`` is a condition on column vec_id. Every usable row is indexed. The index is made of units of about
-    ``unit_rows`` rows each, dealt by a hash, whatever pivots they are near to; a query visits every unit and there
-    looks into the files of its first ``probes`` pivots, of which it compares the better ``share``, and ``least`` at
-    least, with the vectors themselves. The ``pivots`` vectors of smallest hash are the sample that the index is fitted
-    on, and all that is broadcast. Rows that share the query's id are its own. Vectors of another length than most
-    have take no part. Fewer candidates than ``k`` give fewer rows, an empty table none; rows repeated as candidates
-    are each found. ``probes`` = ``pivots`` and ``share`` = 1 compare every pair.
+    ``is_query`` is a condition on column vec_id. Every usable row is indexed. The index is fitted on the ``sample`` rows
+    of smallest hash, of which the first ``pivots`` distinct ones are the pivots; these are all that is broadcast. A
+    vector's cell is that of its nearest pivot. Cells lie together in units, and cells of more than ``unit_rows`` rows,
+    as of a vector that very many rows have, in several. A query visits the units of its nearest ``cells`` (a share of
+    all), reads there the files of its first ``depth`` pivots, and compares what is as near by footrule as the best
+    ``share`` of the sample are. Both shares are raised to that of ``least`` rows in all rows, if they are less. What is found depends on neither units nor
+    partitions. Rows that share the query's id are its own. Vectors of another length than most have take no part.
+    Fewer candidates than ``k`` give fewer rows, an empty table none; rows repeated as candidates are each found.
+    ``cells`` = ``share`` = 1 compares every pair.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -138,21 +150,43 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     facts = rows.agg(F.count("*").alias("n"), F.mode(F.size("vector"), True).alias("length"), F.max(squares).alias("longest")).first()
     length = facts["length"] or 0
     rows = rows.where(F.size("vector") == length)
-    sample = rows.select("vector").distinct().orderBy(md5_long(F.xxhash64("vector")), "vector").limit(pivots).collect()
-    index = spark.sparkContext.broadcast((np.array([r["vector"] for r in sample]).reshape(len(sample), length), float(facts["longest"] or 1.0) ** 0.5))
-    units = max(-(-facts["n"] // unit_rows), min(spark.sparkContext.defaultParallelism, facts["n"] // 8192), 1)
+    drawn = rows.orderBy(md5_long("vec_id", F.xxhash64("vector")), "vec_id").select("vector").limit(sample).toArrow()
+    sampled = _matrix(drawn.column(0).combine_chunks()) if drawn.num_rows else np.zeros((0, length))
+    chosen = sampled[np.sort(np.unique(sampled, axis=0, return_index=True)[1])[:pivots]] if len(sampled) else sampled
+    index = spark.sparkContext.broadcast((chosen, float(facts["longest"] or 1.0) ** 0.5, sampled))
+    visits = max(1, int(np.ceil(min(1.0, max(cells, least / max(facts["n"], 1))) * len(chosen))))
+    groups = int(min(max(facts["n"] // 2048, 1), max(len(chosen), 1)))
+    part = min(1.0, max(share, least / max(facts["n"], 1)))
+
+    @F.arrow_udf("long")
+    def group_of(vector: pa.Array) -> pa.Array:
+        pivots_of = PivotOrders(index.value[0], index.value[1], depth)
+        return pa.array(pivots_of.of_vectors(_matrix(vector))[:, 0].astype("i8") % groups)
+
+    @F.arrow_udf("struct<least: long, groups: array<long>>")
+    def visit(vector: pa.Array) -> pa.Array:
+        pivots_of, queries = PivotOrders(index.value[0], index.value[1], depth), _matrix(vector)
+        files, orders, found = Files(pivots_of, index.value[2]), pivots_of.of_queries(queries), []
+        at = min(files.n - 1, int(np.ceil(part * files.n)))
+        for a in range(0, len(queries), QUERY_BATCH):
+            near = files.nearness(pivots_of.weights(orders[a : a + QUERY_BATCH]))
+            found.append(np.zeros(near.shape[1]) if part >= 1 else np.sort(near, axis=0)[files.n - 1 - at])
+        lists = [np.unique(o % groups) for o in orders[:, :visits].astype("i8")]
+        ends = np.cumsum([0, *map(len, lists)])
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(found).astype("i8")), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))], names=["least", "groups"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = PivotOrders(*index.value, depth)
+        orders = PivotOrders(index.value[0], index.value[1], depth)
         unit, held, built = None, [], None
         for batch in batches:
             numbers, kinds = batch.column("unit").to_numpy(), batch.column("query").to_numpy()
-            edges = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(kinds) != 0)) + 1
+            # data rows have query -1, so that a unit's data comes before the queries that visit it
+            edges = np.flatnonzero((np.diff(numbers) != 0) | ((kinds[1:] < 0) != (kinds[:-1] < 0))) + 1
             for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
-                part = batch.slice(a, b - a)
-                if not part.num_rows:
+                one = batch.slice(a, b - a)
+                if not one.num_rows:
                     continue
-                ids, matrix, keys = part.column("vec_id").to_numpy(), _matrix(part.column("vector")), part.column("query")
+                ids, matrix = one.column("vec_id").to_numpy(), _matrix(one.column("vector"))
                 if unit != numbers[a]:
                     unit, held, built = numbers[a], [], None
                 if kinds[a] < 0:
@@ -162,17 +196,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
                     if not held:
                         continue
                     built, held = Unit(orders, *(np.concatenate(x) for x in zip(*held, strict=True))), []
-                keys = keys.to_numpy()
+                keys, bounds = one.column("query").to_numpy(), one.column("least").to_numpy()
                 for at in range(0, len(ids), QUERY_BATCH):
                     to = slice(at, at + QUERY_BATCH)
-                    of, found, score = built.search(ids[to], matrix[to], k, probes, share, least)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[to][of]), pa.array(ids[to][of]), pa.array(found), pa.array(score)], names=["query", "query_id", "vec_id", "score"])
-
-    # data rows have query -1, so that a unit's data comes before the queries that visit it
-    data = rows.select(F.pmod(md5_long("vec_id"), F.lit(units)).alias("unit"), F.lit(-1).cast("long").alias("query"), "vec_id", "vector")
-    asked = rows.where(is_query).select(F.monotonically_increasing_id().alias("query"), "vec_id", "vector")
-    visits = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(units - 1).cast("long"))).alias("unit"), "query", "vec_id", "vector")
-    dealt = data.unionByName(visits).repartition(units, "unit").sortWithinPartitions("unit", "query")
+                    of, found, score, compared = built.search(ids[to], matrix[to], bounds[to], k, visits)
+                    columns = [pa.array(keys[to][of]), pa.array(ids[to][of]), pa.array(found), pa.array(score)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query", "query_id", "vec_id", "score"])
+
+    grouped = rows.select(group_of("vector").alias("group"), "vec_id", "vector")
+    # numbers of rows by group: as many as pivots at most
+    sizes = {r["group"]: r["count"] for r in grouped.groupBy("group").count().collect()} if groups > 1 else {0: facts["n"]}
+    parts = [max(1, -(-sizes.get(g, 0) // unit_rows)) for g in range(groups)]
+    of_group = F.array(*map(F.lit, parts))
+    number = lambda group, i: group * F.lit(max(parts)) + i
+    data = grouped.select(number(F.col("group"), F.pmod(F.xxhash64("vec_id", "vector"), F.get(of_group, F.col("group").cast("int")))).cast("long").alias("unit"), F.lit(-1).cast("long").alias("query"), F.lit(0).cast("long").alias("least"), "vec_id", "vector")
+    asked = rows.where(is_query).select(F.monotonically_increasing_id().alias("query"), visit("vector").alias("v"), "vec_id", "vector")
+    units = F.flatten(F.transform("v.groups", lambda g: F.transform(F.sequence(F.lit(0), F.get(of_group, g.cast("int")) - 1), lambda i: number(g, i).cast("long"))))
+    visiting = asked.select(F.explode(units).alias("unit"), "query", F.col("v.least").alias("least"), "vec_id", "vector")
+    dealt = data.unionByName(visiting).repartition(4 * sum(parts), "unit").sortWithinPartitions("unit", "query")
     found = dealt.mapInArrow(search, "query long, query_id long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import re
 import zlib
@@ -193,7 +194,7 @@ def test_neighbours_with_all_probes_are_exact(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     want = brute_nearest([(r.vec_id, r.embedding) for r in df.collect()], 20)
     got = collections.defaultdict(list)
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20, pivots=16, probes=16, share=1.0, unit_rows=100).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20, pivots=16, depth=8, cells=1.0, share=1.0, unit_rows=100).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
     assert all(s == pytest.approx(-w[0]) for q in got for (_, s), w in zip(got[q], want[q], strict=True))
@@ -201,16 +202,45 @@ def test_neighbours_with_all_probes_are_exact(spark):
     assert few.count() == 4 and ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def recall(df, **settings):
+    want = brute_nearest([(r.vec_id, r.embedding) for r in df.collect()], 20)
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20, **settings).collect():
+        got[r.query_id].add(r.vec_id)
+    return np.mean([len(got[q] & {i for _, i in v}) / len(v) for q, v in want.items()])
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(10, 64))
     vectors = [(i, (centres[i % 10] * 0.3 + rng.normal(size=64)).tolist()) for i in range(6000)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").where("vec_id % 20 <> 0 OR vec_id < 1000")
-    want = brute_nearest([(r.vec_id, r.embedding) for r in df.collect()], 20)
-    got = collections.defaultdict(set)
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20, unit_rows=100_000, least=32).collect():
-        got[r.query_id].add(r.vec_id)
-    assert np.mean([len(got[q] & {i for _, i in v}) / 20 for q, v in want.items()]) >= 0.9
+    assert recall(df) >= 0.9
+    assert recall(df, share=0.02, least=40) < 0.9  # the ranking leaves most vectors out
+
+
+def test_most_vectors_are_ranked_out_and_layout_changes_nothing(spark):
+    rng = np.random.default_rng(6)
+    vectors, pivots = rng.normal(size=(3000, 64)), rng.normal(size=(256, 64))
+    orders = ann.PivotOrders(pivots, 20.0, 64)
+    unit, queries = ann.Unit(orders, np.arange(3000), vectors), vectors[:40]
+    near = unit.files.nearness(orders.weights(orders.of_queries(queries)))
+    by_hand = [[sum(min(64 - i, 64 - list(o[:64]).index(p)) for i, p in enumerate(v[:64]) if p in o[:64]) for o in orders.of_queries(queries)[:3]] for v in orders.of_vectors(vectors[:20])]
+    assert near[:20, :3].tolist() == by_hand
+    bound = np.sort(near, axis=0)[-600]
+    _, _, _, compared = unit.search(np.arange(40), queries, bound, 20, 192)
+    assert 0.1 < compared / (40 * 3000) < 0.22
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    rows = lambda **s: sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 500 == 0, 5, **s).collect()))
+    assert rows() == rows(unit_rows=50) and len(rows()) == 30
+
+
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_neighbours_recall_on_given_tables(spark, table):
+    path = f"/root/testdata/{table}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no such table")
+    assert recall(ann.usable(spark.read.parquet(path)).withColumnRenamed("vector", "embedding")) >= 0.9
 
 
 def water_level(sizes, weights, share=1.5):
