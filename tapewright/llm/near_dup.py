@@ -308,7 +308,7 @@ def _matches(group: np.ndarray, n: np.ndarray, rest: np.ndarray, comp: np.ndarra
         begin = end
 
 
-def possible_pairs(texts: DataFrame, least: float) -> DataFrame:
+def possible_pairs(texts: DataFrame, least: float, leads: bool = False) -> DataFrame:
     """(a, b, ca, cb): all pairs of ``texts`` (id, comp, seq) of different classes that can be alike, and the classes.
 
     Texts of n and m shingles that are alike share t = least * (n + m) / (1 + least) labelled ones at least. With all
@@ -316,6 +316,9 @@ def possible_pairs(texts: DataFrame, least: float) -> DataFrame:
     the shingles with which at least ``least`` of a text is left, and a pair is ruled out by what is left there. Rare
     shingles come first: a passage that thousands of texts have brings together only those that are alike by it. The
     order rests on counts of hashed shingles, whose collisions cost time only.
+
+    With ``leads``, each text b comes but once or not at all: with the first text of the smallest group that it meets in
+    and that is of another class, however many texts of other classes the group has.
     """
     tokens = texts.agg(F.sum(F.length("seq"))).first()[0] or 0
     bits = min(max(int(tokens).bit_length(), 14), 22)
@@ -348,6 +351,19 @@ def possible_pairs(texts: DataFrame, least: float) -> DataFrame:
             token, cell, dealt, n, rest = (table.column(k).to_numpy() for k in range(5))
             group = np.cumsum(np.concatenate([[False], (np.diff(token) != 0) | (np.diff(cell) != 0)])).astype("i8")
             ids, comp = (table.column(k).to_numpy() for k in (5, 6))
+            if leads:
+                by = np.lexsort((ids, group))
+                heads = np.flatnonzero(np.concatenate([[True], np.diff(group[by]) != 0]))
+                sizes = np.diff(np.append(heads, len(by)))
+                x, y, of = np.repeat(by[heads], sizes), by, np.repeat(sizes, sizes)
+                fit = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-6)
+                x, y, of = x[fit], y[fit], of[fit]
+                # here already one for each text, of all groups of this slice
+                first = np.lexsort((ids[x], of, ids[y]))
+                first = first[np.concatenate([[True], np.diff(ids[y][first]) != 0])[: len(first)]]
+                columns = [ids[x], ids[y], comp[x], comp[y], of]
+                yield pa.RecordBatch.from_arrays([pa.array(c[first]) for c in columns], names=["a", "b", "ca", "cb", "size"])
+                return
             for i, j in _matches(group, n, rest, comp, dealt, cell, least):
                 low = ids[i] < ids[j]
                 x, y = np.where(low, i, j), np.where(low, j, i)
@@ -373,8 +389,11 @@ def possible_pairs(texts: DataFrame, least: float) -> DataFrame:
             yield from found(pa.Table.from_batches(held))
 
     entries = texts.select("id", "comp", "seq").mapInArrow(deal, "token long, cell long, dealt long, n long, rest long, id long, comp long")
-    met = entries.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInArrow(meet, "a long, b long, ca long, cb long")
-    return met.distinct()
+    dealt = entries.repartition("token", "cell").sortWithinPartitions("token", "cell")
+    if leads:
+        met = dealt.mapInArrow(meet, "a long, b long, ca long, cb long, size long").groupBy("b")
+        return met.agg(F.min(F.struct("size", "a", "ca", "cb")).alias("best")).select("best.a", "b", "best.ca", "best.cb")
+    return dealt.mapInArrow(meet, "a long, b long, ca long, cb long").distinct()
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -430,14 +449,15 @@ def _classed(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, count: int = 12, length: int = 2, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, count: int = 12, length: int = 2, rounds: int = 2, leads: int = 2) -> DataFrame:
     """(doc_id, class_id, representative): a row per row of ``docs``; the class is its least doc_id.
 
     Texts of the same lower-cased words are copies and form one node; null and blank texts are copies of each other.
     Each sketch of a node puts it in a bucket, and two nodes of one bucket are candidates. In the first round each node
     is compared with the first node of its smallest bucket, in the next ones with the first node of the least class of
-    all its buckets: each round sends a text once, however large the buckets are. The rounds only save comparisons: of
-    the nodes of all buckets that then still hold several classes, every pair of different classes is ruled out by
+    all its buckets: each round sends a text once, however large the buckets are. Then ``leads`` rounds compare each node of
+    the buckets that still hold several classes with one that it shares rare shingles with. All these rounds only save
+    comparisons: of the nodes of all buckets that then still hold several classes, every pair of different classes is ruled out by
     :func:`possible_pairs` or verified, until none is left. Two texts of similarity 0.8 share at least one of 12 sketches
     of length 2 but once in some 200,000 times. Rows of null id take no part in naming a class. Very long texts are
     compared whole, in a band. An empty table gives no rows; other columns, whatever their names, are not read.
@@ -450,9 +470,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table = scratch.write("table", sketched.withColumn("id", F.monotonically_increasing_id()))
     nodes = scratch.write("nodes", table.groupBy("fp").agg(F.min("id").alias("id"), F.min("doc_id").alias("first")))
     posted = table.select("id", "keys").join(nodes.select("id"), "id").select("id", F.explode("keys").alias("key"))
-    leads = posted.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    rows = scratch.write("rows", posted.join(scratch.write("leads", leads), "key"))
-    scratch.free("leads")
+    heads = posted.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    rows = scratch.write("rows", posted.join(scratch.write("heads", heads), "key"))
+    scratch.free("heads")
     active = scratch.write("active", table.select("id", "seq").join(rows.select("id").distinct(), "id"))
     comps = None
 
@@ -485,6 +505,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         scratch.free("classed", "mixed")
     left = scratch.write("left", rows.select("id", "comp").distinct().join(active, "id").select("id", "comp", "seq"))
     scratch.free("rows")
+    for _ in range(leads):
+        merge(possible_pairs(left, least, leads=True))
+        left = scratch.write("left", _classed(left.select("id", "seq"), comps).select("id", "comp", "seq"))
     pairs, most = scratch.write("pairs", possible_pairs(left, least)), 4
     scratch.free("left")
     while not pairs.isEmpty():
