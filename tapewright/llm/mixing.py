@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, with DataFrame functions only.
 
-Every source's documents lie in the order of a hash of their id, which is a random permutation, and are cut into
-blocks by the hash's first bits. A source whose target is t times its size is taken floor(t) times as a whole and
-once more up to a threshold of the hash. The exact numbers of blocks that this takes from each source are then
-partitioned among output shards by a tree of multivariate-hypergeometric draws; each shard draws disjoint blocks in
-permuted order and shuffles its documents locally.
+A source's documents fall into blocks by the first bits of a hash of their id. A source whose target is t times its
+size gives floor(t) copies of all its blocks, and once more as many blocks as the rest of its target asks for. These
+exact quotas of blocks are partitioned among the output shards by a tree of multivariate-hypergeometric draws. Shard
+after shard then draws its blocks from what the shards before it have left of each source, in an order permuted for
+that shard; what is drawn is what is taken. As blocks aren't equally large, the last blocks in the order of drawing are
+left out, or further ones added, and one is cut, where the source's target is reached. Each shard is shuffled locally.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import cut, md5_long, word_count, words
+from tapewright.llm.common import cut, fresh, md5_long, word_count, words
 
 WEIGHTS = (3, 1, 2)
 #: Bits of the hash, of which there are 60, that number the blocks, and then those of each further step of the search
@@ -40,30 +41,38 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
     return levelled.select("source", "source_size", "rank", target.alias("target"))
 
 
-def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """``targets`` with how often each source is taken as a whole (full), and the hash up to which once more.
-
-    Documents whose hash is below ``at`` are taken once more as a whole; of the at_words words of those at it,
-    at_rest. Found by descent: the sums of words by the hash's first bits tell the range that the threshold is in,
-    then the sums by its next bits, and at last those of single hashes. Each step's sums are made by Spark, and their
-    number is bounded for each source.
-    """
+def shares(targets: DataFrame) -> DataFrame:
+    """``targets`` with full, how often each source is taken as a whole, rest, the words that it is taken for besides,
+    and once, the blocks that these are expected to fill."""
     goal = F.least(F.round("target").cast("long"), F.col("source_size") * 2)
     found = targets.withColumn("full", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long"))
-    found = found.withColumn("rest", goal - F.col("full") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long"))
-    found, left, steps = cut(found), BITS, [BLOCK_BITS, *STEP_BITS]
+    found = found.withColumn("rest", goal - F.col("full") * F.col("source_size"))
+    return found.withColumn("once", F.when(F.col("rest") > 0, F.ceil(F.col("rest") * (1 << BLOCK_BITS) / F.col("source_size"))).otherwise(0).cast("long"))
+
+
+def thresholds(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (source and rest among others) with the key up to which the source's documents are taken once more.
+
+    ``keyed`` has source, size and key. Documents whose key is below ``at`` are taken once more as a whole; of the
+    at_words words of those at it, at_rest. Found by descent: the sums of words by the key's first bits tell the range
+    that the threshold is in, then the sums by its next bits, and at last those of single keys. Each step's sums are made
+    by Spark, and their number is bounded for each source.
+    """
+    state = cut(found.select("source", "rest").withColumn("prefix", F.lit(0).cast("long")).withColumn("at_words", F.lit(None).cast("long")))
+    left, steps = BITS, [BLOCK_BITS, *STEP_BITS]
     for bits in [*steps, BITS - sum(steps)]:
         left -= bits
-        above = found.select(F.col("source").alias("__source"), "prefix", "rest").where("rest > 0")
-        here = sized.join(above, F.col("source").eqNullSafe(F.col("__source")) & (F.shiftright("hash", left + bits) == F.col("prefix")))
-        sums = here.groupBy("source", "rest", F.shiftright("hash", left).alias("cell")).agg(F.sum("size").alias("words"))
+        above = state.select(F.col("source").alias("of"), "prefix", "rest").where("rest > 0")
+        here = keyed.join(above, F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("key", left + bits) == F.col("prefix")))
+        sums = here.groupBy("source", "rest", F.shiftright("key", left).alias("cell")).agg(F.sum("size").alias("words"))
         order = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         cells = sums.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)))
         one = cells.where("before < rest AND rest <= before + words")
-        one = one.select(F.col("source").alias("__source"), "cell", (F.col("rest") - F.col("before")).alias("inside"), "words")
-        joined = found.join(one, F.col("source").eqNullSafe(F.col("__source")), "left")
-        found = cut(joined.select("source", "source_size", "rank", "target", "full", F.coalesce("inside", F.lit(0)).alias("rest"), F.coalesce("cell", F.lit(0)).alias("prefix"), F.col("words").alias("at_words")))
-    return found.withColumnsRenamed({"prefix": "at", "rest": "at_rest"})
+        one = one.select(F.col("source").alias("of"), "cell", (F.col("rest") - F.col("before")).alias("inside"), "words")
+        joined = state.join(one, F.col("source").eqNullSafe(F.col("of")), "left")
+        state = cut(joined.select("source", F.coalesce("inside", F.lit(0)).alias("rest"), F.coalesce("cell", F.lit(0)).alias("prefix"), F.col("words").alias("at_words")))
+    ends = state.select(F.col("source").alias("of"), F.col("rest").alias("at_rest"), F.col("prefix").alias("at"), "at_words")
+    return found.join(ends, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
 
 def _hypergeometric(total: str, marked: str, draws: str, uniform: str) -> str:
@@ -118,69 +127,112 @@ def split_quotas(quotas: DataFrame, shards: int, seed: str = "mix") -> DataFrame
     return leaves.select("shard", (F.col("i") + 1).alias("rank"), "blocks")
 
 
-def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, shards: int = 16) -> DataFrame:
-    """A row per source: its target, its threshold, and for each of its taken blocks, by turn, the output shard.
+def _drawn(shards: int) -> str:
+    """SQL: a source's blocks as (place, shard, b), in the order of drawing, from its ``quotas`` by shard.
 
-    ``sized`` has source, size and hash. All that is made here has a bounded number of rows or values per source.
+    Each shard draws its quota of those left, by a hash of source, shard and block; draws of all shards alternate in
+    the order, so that the end of it takes from each alike. Blocks that no shard has drawn come last.
+    """
+    hashed = lambda kind, *parts: f"CAST(conv(substring(md5(CAST(concat_ws('/', '{kind}', coalesce(CAST(source AS STRING), 'null'), {', '.join(parts)}) AS BINARY)), 1, 15), 16, 10) AS BIGINT)"
+    kind = "array<struct<place: double, shard: int, b: int>>"
+    picks = f"slice(array_sort(transform(a.left, b -> struct({hashed('draw', 'i', 'b')} AS k, b))), 1, CAST(quotas[i] AS INT))"
+    step = f"element_at(transform(array({picks}), p -> struct(array_except(a.left, transform(p, x -> x.b)) AS left, concat(a.out, transform(p, (x, j) -> struct((j + 0.5D) / quotas[i] AS place, i AS shard, x.b AS b))) AS out)), 1)"
+    spare = f"transform(array_sort(transform(a.left, b -> struct({hashed('spare', 'b')} AS k, b))), (x, j) -> struct(2D + j AS place, CAST(j % {shards} AS INT) AS shard, x.b AS b))"
+    return f"aggregate(sequence(0, {shards - 1}), struct(sequence(0, {(1 << BLOCK_BITS) - 1}) AS left, CAST(array() AS {kind}) AS out), (a, i) -> {step}, a -> concat(array_sort(a.out), {spare}))"
+
+
+def draw(found: DataFrame, shards: int) -> DataFrame:
+    """``found`` (as of :func:`shares`) with what the tree and the draws decide: full_shards, the shard of each block of
+    each full turn, and for the blocks taken once more their positions in the order of drawing and once_shards, by block.
+
+    All that is made here has a bounded number of rows or values per source.
     """
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    found = thresholds(sized, source_targets(sums, weights, share, most))
     per_turn = 1 << BLOCK_BITS
-    last = F.when(F.col("at_rest") > 0, F.shiftright("at", BITS - BLOCK_BITS) + 1).otherwise(0)
-    quotas = found.select("rank", "source", (F.col("full") * per_turn + last).cast("long").alias("blocks"))
-    dealt = split_quotas(quotas.select("rank", "blocks"), shards)
+    both = found.select(F.explode(F.array(F.struct((2 * F.col("rank") - 1).alias("rank"), (F.col("full") * per_turn).alias("blocks")), F.struct((2 * F.col("rank")).alias("rank"), F.col("once").alias("blocks")))).alias("q")).select("q.*")
+    dealt = split_quotas(both.select(F.col("rank").cast("int").alias("rank"), F.col("blocks").cast("long").alias("blocks")), shards)
+    by_shard = F.transform(F.array_sort(F.collect_list(F.struct("shard", "blocks"))), lambda x: x["blocks"])
+    listed = dealt.groupBy("rank").agg(by_shard.alias("quotas"))
+    once = listed.where("rank % 2 = 0").select((F.col("rank") / 2).cast("int").alias("of"), "quotas")
+    full = listed.where("rank % 2 = 1").select(((F.col("rank") + 1) / 2).cast("int").alias("of_full"), F.col("quotas").alias("full_quotas"))
+    known = found.join(once, F.col("rank") == F.col("of")).join(full, F.col("rank") == F.col("of_full")).drop("of", "of_full")
+    known = known.withColumn("order", F.expr(_drawn(shards)))
+    blocks = F.sequence(F.lit(0), F.lit(per_turn - 1))
+    known = known.withColumn("drawn", F.transform("order", lambda x: x["b"]))
+    known = known.withColumn("positions", F.transform(blocks, lambda b: (F.array_position("drawn", b) - 1).cast("long")))
+    known = known.withColumn("once_shards", F.transform(blocks, lambda b: F.get("order", F.get("positions", b).cast("int"))["shard"]))
     # of a source's permuted blocks, a shard draws as many as its quota, after those of the shards before it
-    ends = Window.partitionBy("rank").orderBy("shard")
-    bounds = dealt.withColumn("end", F.sum("blocks").over(ends)).groupBy("rank").agg(F.array_sort(F.collect_list("end")).alias("ends"))
-    number = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    ends = F.transform("full_quotas", lambda q, i: F.aggregate(F.slice("full_quotas", F.lit(1), i + 1), F.lit(0).cast("long"), lambda x, y: x + y))
+    number = F.sequence(F.lit(0).cast("long"), F.col("full") * per_turn - 1)
     permuted = F.array_sort(F.transform(number, lambda b: F.struct(md5_long(F.lit("deal"), F.col("source"), b).alias("order"), b.alias("b"))))
-    shard = F.transform(permuted, lambda x, i: F.struct(x["b"].alias("b"), F.size(F.filter("ends", lambda e: e <= i)).alias("shard")))
-    shard_list = F.transform(F.array_sort(shard), lambda x: x["shard"])
-    shown = quotas.join(bounds, "rank").select(F.col("rank").alias("__rank"), F.when(F.col("blocks") > 0, shard_list).alias("block_shards"))
-    return found.join(shown, F.col("rank") == F.col("__rank"), "left").drop("__rank")
+    known = known.withColumn("ends", ends)
+    of_turns = F.transform(permuted, lambda x, i: F.struct(x["b"].alias("b"), F.size(F.filter("ends", lambda e: e <= i)).alias("shard")))
+    known = known.withColumn("full_shards", F.when(F.col("full") > 0, F.transform(F.array_sort(of_turns), lambda x: x["shard"])))
+    return known.drop("order", "drawn", "ends", "full_quotas")
+
+
+def _key(hash_: Column, positions: Column) -> Column:
+    """A document's place in the order in which its source is taken once more: that of its block, then its hash."""
+    inside = BITS - BLOCK_BITS
+    return F.shiftleft(F.get(positions, F.shiftright(hash_, inside).cast("int")), inside) + hash_.bitwiseAND(F.lit((1 << inside) - 1))
+
+
+def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, shards: int = 16) -> DataFrame:
+    """A row per source: its target, what :func:`draw` adds, and its threshold. ``sized`` has source, size and hash."""
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    found = cut(draw(shares(source_targets(sums, weights, share, most)), shards))
+    some = found.where("rest > 0").select(F.col("source").alias("of"), "positions")
+    keyed = sized.join(some, F.col("source").eqNullSafe(F.col("of"))).select("source", "size", _key(F.col("hash"), F.col("positions")).alias("key"))
+    return thresholds(cut(keyed), found)
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, shards: int = 16, only_ids: bool = False) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, shards: int = 16, only_ids: bool = False, whole: bool = False) -> DataFrame:
     """``docs`` with size, source_size, target, taken (words) and copies: an array of (turn, words, shard, order).
 
     Null texts have no words and null sources are one source. Rows of equal ids lie together in the permutation; those
-    at the threshold share its rest. No row is taken for more than ``most`` times its words. The plan's sums are made
-    from a written table of ids, sources and sizes; then each row needs only its source's row of the plan. Columns of
-    the names added are replaced, others kept; ``only_ids`` keeps the id and source alone and reads the texts once.
-    Reruns give the same. An empty table gives none.
+    at the threshold share its rest, or with ``whole`` are taken whole or not at all, whichever is nearer to it. No row
+    is taken for more than ``most`` times its words. The plan's sums are made from a written table of ids, sources and
+    sizes; then each row needs only its source's row of the plan. Columns of the names added are replaced, others kept,
+    whatever their names; ``only_ids`` keeps the id and source alone and reads the texts once. Very long texts count as
+    any others. Reruns give the same. An empty table gives none.
     """
-    added = ["size", "source_size", "target", "taken", "copies", "hash"]
+    added = ["size", "source_size", "target", "taken", "copies"]
     names = [doc_id, source] if only_ids else [c for c in docs.columns if c not in added]
+    size, hash_, plan_, once_ = (fresh([*names, *added], n) for n in ("words", "hash", "plan", "once"))
     kept = [F.col(f"`{c}`") for c in names]
-    hashed = docs.select(*kept, word_count(F.col(f"`{text}`")).alias("size"), md5_long(F.col(f"`{doc_id}`"), F.lit("mix")).alias("hash"))
-    sized = cut(hashed.select(F.col(f"`{doc_id}`"), F.col(f"`{source}`"), "size", "hash"))
-    by_source = plan(sized.select(F.col(f"`{source}`").alias("source"), "size", "hash"), weights, share, most, shards).select(F.struct("*").alias("__plan"))
+    hashed = docs.select(*kept, word_count(F.col(f"`{text}`")).alias(size), md5_long(F.col(f"`{doc_id}`"), F.lit("mix")).alias(hash_))
+    sized = cut(hashed.select(F.col(f"`{doc_id}`"), F.col(f"`{source}`"), size, hash_))
+    by_source = plan(sized.select(F.col(f"`{source}`").alias("source"), F.col(size).alias("size"), F.col(hash_).alias("hash")), weights, share, most, shards)
+    by_source = by_source.select(F.struct("*").alias(plan_))
     hashed = sized if only_ids else hashed
-    joined = hashed.join(by_source, F.col(f"`{source}`").eqNullSafe(F.col("__plan.source")))
-    p, block = F.col("__plan"), F.shiftright("hash", BITS - BLOCK_BITS)
-    once = F.when(p["at_rest"] <= 0, 0).when(F.col("hash") < p["at"], F.col("size"))
-    once = once.when(F.col("hash") == p["at"], F.floor(p["at_rest"] * F.col("size") / p["at_words"])).otherwise(0).cast("long")
-    words = lambda turn: F.when(turn < p["full"], F.col("size")).otherwise(F.col("__once"))
-    shard = lambda turn: F.get(p["block_shards"], (turn * (1 << BLOCK_BITS) + block).cast("int"))
+    joined = hashed.join(by_source, F.col(f"`{source}`").eqNullSafe(F.col(plan_)["source"]))
+    p, block = F.col(plan_), F.shiftright(hash_, BITS - BLOCK_BITS)
+    key = _key(F.col(hash_), p["positions"])
+    at = F.when(p["at_rest"] * 2 >= p["at_words"], F.col(size)).otherwise(0) if whole else F.floor(p["at_rest"] * F.col(size) / p["at_words"])
+    once = F.when(p["at_rest"] <= 0, 0).when(key < p["at"], F.col(size)).when(key == p["at"], at).otherwise(0).cast("long")
+    words = lambda turn: F.when(turn < p["full"], F.col(size)).otherwise(F.col(once_))
+    shard = lambda turn: F.when(turn < p["full"], F.get(p["full_shards"], (turn * (1 << BLOCK_BITS) + block).cast("int"))).otherwise(F.get(p["once_shards"], block.cast("int")))
     order = lambda turn: md5_long(F.col(f"`{doc_id}`"), turn, F.lit("local"))
     turns = F.transform(F.sequence(F.lit(0).cast("long"), p["full"]), lambda t: F.struct(t.alias("turn"), words(t).alias("words"), shard(t).alias("shard"), order(t).alias("order")))
-    # a copy is taken if a shard has drawn its block, which the quotas see to for each copy of some words
-    out = joined.withColumn("__once", once).withColumn("copies", F.filter(turns, lambda c: (c["words"] > 0) & c["shard"].isNotNull()))
+    # a copy is taken if a shard has drawn its block
+    out = joined.withColumn(once_, once).withColumn("copies", F.filter(turns, lambda c: (c["words"] > 0) & c["shard"].isNotNull()))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda sofar, c: sofar + c["words"])
-    return out.select(*kept, "size", p["source_size"].alias("source_size"), p["target"].alias("target"), taken.alias("taken"), "copies")
+    return out.select(*kept, F.col(size).alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"), taken.alias("taken"), "copies")
 
 
 def expand(mixed: DataFrame, text: str = "text") -> DataFrame:
-    """The mixed corpus: a row per copy, with its shard, in shuffled order within shards and tasks.
+    """The mixed corpus: a row per copy, with its shard. The copies of a shard lie in one partition, shuffled there.
 
-    A copy of fewer words than its document has that many of its first words, joined by single blanks.
+    A copy of fewer words than its document has that many of its first words, joined by single blanks. Column shard is
+    replaced, other columns are kept, whatever their names.
     """
-    copy = F.col("__copy")
+    kept = [c for c in mixed.columns if c not in ("copies", "shard", text)]
+    one, order = (fresh([*mixed.columns, "shard"], n) for n in ("copy", "order"))
+    copy = F.col(one)
     part = F.array_join(F.slice(words(F.col(f"`{text}`")), F.lit(1), copy["words"].cast("int")), " ")
-    kept = [F.col(f"`{c}`") for c in mixed.columns if c not in ("copies", "shard", text)]
-    copies = mixed.select(*kept, F.col(f"`{text}`"), F.explode("copies").alias("__copy"))
+    copies = mixed.select(*[F.col(f"`{c}`") for c in [*kept, text]], F.explode("copies").alias(one))
     cut_text = F.when(copy["words"] < F.col("size"), part).otherwise(F.col(f"`{text}`")).alias(text)
-    return copies.select(*kept, cut_text, copy["shard"].alias("shard"), copy["order"].alias("__order")).sortWithinPartitions("shard", "__order").drop("__order")
+    rows = copies.select(*[F.col(f"`{c}`") for c in kept], cut_text, copy["shard"].alias("shard"), copy["order"].alias(order))
+    return rows.repartition("shard").sortWithinPartitions("shard", order).drop(order)
 
 
-__all__ = ["expand", "mix", "plan", "source_targets", "split_quotas", "thresholds"]
+__all__ = ["draw", "expand", "mix", "plan", "shares", "source_targets", "split_quotas", "thresholds"]

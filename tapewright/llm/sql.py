@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapewright.llm import mixing, quality
+from tapewright.llm import quality
 
 #: Every row of documents with a number of its own, as ids may repeat.
 _ROWS = "SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents"
@@ -51,30 +51,6 @@ SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols
 FROM b"""
 
 
-def op8() -> str:
-    weights = " ".join(f"WHEN {i} THEN {float(w)}" for i, w in enumerate(mixing.WEIGHTS))
-    return rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size,
-                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/mix'), 1, 15) AS BIGINT) AS hash FROM ({_ROWS})),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank, 2 * source_size AS stop FROM s),
-e AS (SELECT *, CASE (rank - 1) % {len(mixing.WEIGHTS)} {weights} END AS weight FROM k),
-l AS (SELECT *, (sum(source_size) OVER () * 1.5 - coalesce(sum(stop) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
-      FROM e WINDOW b AS (ORDER BY stop / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-c AS (SELECT *, level >= stop / weight AS stops FROM l),
-f AS (SELECT arg_min(level, rank) AS common FROM c WHERE NOT stops AND stop / weight = (SELECT min(stop / weight) FROM c WHERE NOT stops)),
-t AS (SELECT source, source_size, CASE WHEN stops THEN CAST(stop AS DOUBLE) ELSE weight * common END AS target FROM c LEFT JOIN f ON true),
-o AS (SELECT *, least(CAST(round(target) AS BIGINT), 2 * source_size) AS goal FROM t),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS whole FROM o),
-h AS (SELECT source, hash, CAST(sum(size) AS BIGINT) AS at_words FROM d GROUP BY source, hash),
-a AS (SELECT *, coalesce(sum(at_words) OVER (PARTITION BY source ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h),
-x AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.whole, q.goal - q.whole * q.source_size - a.before AS inside, a.at_words
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN a ON d.source IS NOT DISTINCT FROM a.source AND d.hash = a.hash)
-SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
-       CAST(whole * size + CASE WHEN inside <= 0 THEN 0 WHEN inside >= at_words THEN size ELSE inside * size // at_words END AS BIGINT) AS taken
-FROM x"""
-
-
 def op9() -> str:
     # base32 of the 20 bytes of a SHA-1: five bits at a time of its bit string
     return """
@@ -90,4 +66,4 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest,
 FROM f JOIN x ON x.h = f.h || '0'"""
 
 
-SQL = {"op3_quality_rules": op3(), "op8_mixing": op8(), "op9_warc": op9()}
+SQL = {"op3_quality_rules": op3(), "op9_warc": op9()}

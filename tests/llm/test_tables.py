@@ -1,6 +1,7 @@
 """Operators on whole tables against brute force: near-duplicates, shards, neighbours, mixing, archives, scores."""
 
 import collections
+import hashlib
 import math
 import os
 import random
@@ -276,6 +277,58 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def long_md5(*parts):
+    return int(hashlib.md5("/".join("null" if p is None else str(p) for p in parts).encode()).hexdigest()[:15], 16)
+
+
+def test_the_draws_of_the_tree_decide_what_is_taken(spark):
+    """All rows' words and shards by a plain rebuilding from the tree's quotas."""
+    random.seed(4)
+    rows = [(i, random.choice(["a", "b", "b", None]), " ".join(["w"] * random.randint(0, 30))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = {r.doc_id: r for r in mixing.mix(df, shards=5).collect()}
+    sizes = {n: sum(len(words_of(t)) for _, s, t in rows if s == n) for n in ("a", "b", None)}
+    targets = spark.createDataFrame([(n, sizes[n], i + 1, out[next(r[0] for r in rows if r[1] == n)].target) for i, n in enumerate(sizes)], "source string, source_size long, rank int, target double")
+    found = {r.source: r for r in mixing.draw(mixing.shares(targets), 5).collect()}
+    quotas = spark.createDataFrame([q for r in found.values() for q in ((2 * r["rank"] - 1, 256 * r.full), (2 * r["rank"], r.once))], "rank int, blocks long")
+    dealt = {(r["rank"], r.shard): r.blocks for r in mixing.split_quotas(quotas, 5).collect()}
+    for name, size in sizes.items():
+        rank, goal = found[name]["rank"], round(out[next(r[0] for r in rows if r[1] == name)].target)
+        full, left, drawn = goal // size, list(range(256)), []
+        for shard in range(5):
+            mine = sorted(left, key=lambda b: long_md5("draw", name, shard, b))[: dealt[2 * rank, shard]]
+            drawn += [((j + 0.5) / len(mine), shard, b) for j, b in enumerate(mine)]
+            left = [b for b in left if b not in mine]
+        order = sorted(drawn) + [(2 + j, j % 5, b) for j, b in enumerate(sorted(left, key=lambda b: long_md5("spare", name, b)))]
+        place, shard_of = {b: i for i, (_, _, b) in enumerate(order)}, {b: s for _, s, b in order}
+        turns = sorted(range(256 * full), key=lambda n: long_md5("deal", name, n))
+        full_shard, ends = {}, np.cumsum([dealt[2 * rank - 1, s] for s in range(5)])
+        for i, n in enumerate(turns):
+            full_shard[n] = int(np.searchsorted(ends, i, side="right"))
+        assert collections.Counter(full_shard.values()) == {s: dealt[2 * rank - 1, s] for s in range(5) if dealt[2 * rank - 1, s]}
+        rest = goal - full * size
+        hashes = {i: long_md5(i, "mix") for i, s, _ in rows if s == name}
+        for i in sorted(hashes, key=lambda i: (place[hashes[i] >> 52], hashes[i])):
+            n, block = out[i].size, hashes[i] >> 52
+            once = min(n, max(0, rest))
+            rest -= n
+            want = [(t, n, full_shard[256 * t + block]) for t in range(full) if n] + [(full, once, shard_of[block])] * (once > 0)
+            assert [(c.turn, c.words, c.shard) for c in out[i].copies] == want and out[i].taken == sum(w for _, w, _ in want)
+    other = {r.doc_id: r.taken for r in mixing.mix(df, shards=1).collect()}
+    assert other != {i: r.taken for i, r in out.items()}  # without the tree other documents are taken
+    shown = mixing.expand(mixing.mix(df, shards=5, whole=True)).withColumn("part", F.spark_partition_id()).groupBy("shard").agg(F.countDistinct("part").alias("n")).collect()
+    assert len(shown) == 5 and all(r.n == 1 for r in shown)
+    texts = {i: t for i, _, t in rows}
+    assert all(r.text == texts[r.doc_id] for r in mixing.expand(mixing.mix(df, whole=True)).collect())
+
+
+def test_mixing_of_clashing_names_and_very_long_texts(spark):
+    names = ["words", "hash", "plan", "once", "copy", "order", "copies", "__plan", "shard"]
+    df = spark.createDataFrame([(i, "s", "w " * (200_000 if i == 3 else 5), *range(9)) for i in range(20)], "doc_id long, source string, text string, " + ", ".join(f"{n} int" for n in names))
+    mixed = mixing.mix(df)
+    assert {r.doc_id: r.size for r in mixed.collect()}[3] == 200_000 and [r["once"] for r in mixing.expand(mixed).collect()][0] == 3
+
+
 def test_quotas_are_split_exactly(spark):
     quotas = spark.createDataFrame([(1, 700), (2, 0), (3, 33), (4, 1200)], "rank int, blocks long")
     split = mixing.split_quotas(quotas, 16).collect()
