@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import ship
+from tapewright.llm.common import fresh, ship
 
 SLICE_BYTES = 2 << 20
 #: Words up to this length are remembered with their ids, this many at most.
@@ -157,8 +157,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_i
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), fields)
 
     kept = [c for c in docs.columns if c not in ("start", "length", "ids", "doc_tokens")]
-    exploded = docs.select(*[F.col(f"`{c}`") for c in kept], F.explode(pieces(F.col(f"`{text}`"))).alias("__piece"))
-    return exploded.select(*[F.col(f"`{c}`") for c in kept], "__piece.start", "__piece.length", "__piece.ids", "__piece.doc_tokens")
+    own = fresh(kept, "piece")
+    exploded = docs.select(*[F.col(f"`{c}`") for c in kept], F.explode(pieces(F.col(f"`{text}`"))).alias(own))
+    return exploded.select(*[F.col(f"`{c}`") for c in kept], f"{own}.start", f"{own}.length", f"{own}.ids", f"{own}.doc_tokens")
 
 
 class OpenWindows:
@@ -243,7 +244,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
     Every id of every document is in exactly one piece, the pieces of a sequence lie one after another from offset 0,
     and what is left of a sequence up to ``window`` is padding. ``keep_ids`` keeps the ids themselves; ``drop_text``
     drops the text, so that it isn't shuffled. Other columns are kept. Empty tables
-    give no rows; repeated rows are packed each for itself; ties in length are broken by the other columns.
+    give no rows; repeated rows are packed each for itself; ties in length are broken by the other columns. A very long
+    text is read in slices and cut into full windows, all of which but its last piece fill a sequence alone.
     """
     pieces = token_pieces(docs, tokenizer_path, window, end_id, text, latin_parts).withColumn("ids_crc32", F.crc32("ids"))
     return assign_windows(pieces.drop(*[text] * drop_text, *["ids"] * (not keep_ids)), window)

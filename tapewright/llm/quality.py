@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import BLANKS, words
+from tapewright.llm.common import BLANKS, fresh, words
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -77,32 +77,33 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     n_words, word_chars (code points in words), n_symbols, n_exclamations, n_letters (code points in words but ASCII
     digits and signs), n_stop_words, n_lines (with a word), n_dup_lines (equal to an earlier line), n_ellipsis_lines,
     n_bullet_lines and n_repeat_words (in 3-word windows that occur at least twice; windows are told apart by 64-bit
-    hashes). Null and empty texts have 0 of each. Columns of these names are replaced, others kept; rows stay.
+    hashes). Null and empty texts have 0 of each; very long ones are measured whole. Columns of these names are replaced, others kept; rows stay.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_exclamations", "n_letters", "n_stop_words", "n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines", "n_repeat_words"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    names = [c for c in docs.columns if c not in own]
+    kept, words_, lines_, windows_ = [F.col(f"`{c}`") for c in names], *(fresh([*names, *own], n) for n in ("words", "lines", "windows"))
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     split = docs.select(
         *kept,
-        words(whole).alias("__words"),
+        words(whole).alias(words_),
         F.length(F.translate(whole, BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length(whole) - F.length(F.translate(whole, "!", ""))).cast("long").alias("n_exclamations"),
         F.length(F.translate(whole, BLANKS + NO_LETTERS, "")).cast("long").alias("n_letters"),
-        F.filter(F.split(whole, "\n"), lambda line: F.length(F.btrim(line, F.lit(BLANKS))) > 0).alias("__lines"),
+        F.filter(F.split(whole, "\n"), lambda line: F.length(F.btrim(line, F.lit(BLANKS))) > 0).alias(lines_),
     )
-    n = "size(__words)"
+    n = f"size({words_})"
     counted = split.select(
-        *[c for c in split.columns if c not in ("__words", "__lines")],
+        *[F.col(f"`{c}`") for c in split.columns if c not in (words_, lines_)],
         F.expr(f"CAST({n} AS LONG) AS n_words"),
-        F.size(F.filter("__words", lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("__lines", lambda s: s.endswith("...") | s.endswith("…"))).cast("long").alias("n_ellipsis_lines"),
-        F.size(F.filter("__lines", lambda s: s.startswith("- ") | s.startswith("* ") | s.startswith("• "))).cast("long").alias("n_bullet_lines"),
-        F.expr(f"CASE WHEN {n} < 4 THEN array() ELSE transform(sequence(0, {n} - 3), i -> xxhash64(__words[i], __words[i + 1], __words[i + 2])) END AS __windows"),
+        F.size(F.filter(words_, lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(lines_).cast("long").alias("n_lines"),
+        (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long").alias("n_dup_lines"),
+        F.size(F.filter(lines_, lambda s: s.endswith("...") | s.endswith("…"))).cast("long").alias("n_ellipsis_lines"),
+        F.size(F.filter(lines_, lambda s: s.startswith("- ") | s.startswith("* ") | s.startswith("• "))).cast("long").alias("n_bullet_lines"),
+        F.expr(f"CASE WHEN {n} < 4 THEN array() ELSE transform(sequence(0, {n} - 3), i -> xxhash64({words_}[i], {words_}[i + 1], {words_}[i + 2])) END AS {windows_}"),
     )
-    return counted.withColumn("n_repeat_words", _repeat_words("__windows", "n_words")).drop("__windows")
+    return counted.withColumn("n_repeat_words", _repeat_words(windows_, "n_words")).drop(windows_)
 
 
 def verdict(measured: DataFrame, base: tuple[Rule, ...] = BASE_RULES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -120,4 +121,5 @@ def apply_rules(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BA
 def keep(ruled: DataFrame) -> DataFrame:
     """The kept rows of ``ruled``. A condition on the verdict would have the optimizer write every rule's expressions
     into it, each as often as they are referred to; a generator of one or no row leaves them where they are."""
-    return ruled.withColumn("__one", F.explode(F.when(F.col("kept"), F.array(F.lit(1))))).drop("__one")
+    own = fresh(ruled.columns, "one")
+    return ruled.withColumn(own, F.explode(F.when(F.col("kept"), F.array(F.lit(1))))).drop(own)

@@ -174,3 +174,58 @@ def test_listing_hash(spark):
     df = spark.createDataFrame([("a@b.cd 1.2.3.4",)], "text string")
     shown = pii.find(df, pii.Model(None, {})).selectExpr(f"{pii.listing('base_spans')} AS l").first().l
     assert shown == "email:0:6,ip:7:14" and len(hashlib.sha256(shown.encode()).hexdigest()) == 64
+
+
+def test_overlapping_spans_are_redacted_as_one(spark):
+    texts = ["call +1.2.3.4.5678901 now", "a@b.de,c@d.fr", None, "", "é" * 5000 + " a@b.de " + "中" * 9000 + "+49 171 2345678", "none here"]
+    df = spark.createDataFrame([(i, t, 1, 2, "m") for i, t in enumerate(texts)], "doc_id long, text string, __text int, spans int, m string")
+    done = {r.doc_id: r for r in pii.redact(df, pii.Model(None, {})).collect()}
+    assert done[0].text == "call <PHONE> now" and done[1].text == "<EMAIL>,<EMAIL>" and done[2].text is None and done[3].text == ""
+    assert done[4].text == "é" * 5000 + " <EMAIL> " + "中" * 9000 + "<PHONE>" and done[5].text == texts[5]
+    assert pii.redact(df, pii.Model(None, {})).columns == df.columns and (done[0]["__text"], done[0].spans, done[0].m) == (1, 2, "m")
+    assert pii.find(df.limit(0), pii.Model(None, {})).count() == 0 == pii.redact(df.limit(0), pii.Model(None, {})).count()
+    named = df.select("doc_id", df["text"].alias("c"), df["m"].alias("text"))
+    assert pii.redact(named, pii.Model(None, {}), text="c").where("doc_id = 0").first().c == "call <PHONE> now"
+
+
+def test_the_best_of_overlapping_proposals_stays(spark):
+    model = pii.Model("f[5] * 0D + CASE WHEN f[2] = 1 THEN 2D ELSE 1D END", {"card": 0.5, "phone": 0.5, "secret": 0.5})
+    df = spark.createDataFrame([(1, "x 0171 234 5678 4444 y password=abcdefgh1x2y3z4w z"), (2, "4111-1111-1111-1111")], "doc_id long, text string")
+    spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find(df, model).collect()}
+    assert spans[1] == [("card", 2, 20), ("secret", 23, 48)]  # the card's score is above the phone's
+    assert spans[2] == [("card", 0, 19)]  # inside the base span nothing is added
+
+
+def test_planted_loose_forms_are_found_and_others_left(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    forms = [lambda: f"{word()}@{word()}.com", lambda: f"+49 {number(3)}-{number(3)}-{number(4)}", lambda: f"{rng.randrange(256)}.{rng.randrange(256)}.1.{rng.randrange(256)}", lambda: f"password: {word()}{number(4)}"]
+    rows = [f"{word()} {word()} contact {rng.choice(forms)()} {word()}" for _ in range(600)]
+    planted = [f"call {number(3)}-{number(3)}-{number(4)} today {word()}" for _ in range(40)] + [f"the token = {word()}{number(6)} is {word()}" for _ in range(40)]
+    clean = [f"{word()} chapter {rng.randrange(9)}.{rng.randrange(9)} of {number(4)}, {word()} {number(3)} {word()}" for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(rows + planted + clean)), "doc_id long, text string")
+    model = pii.fit(df.where(f"doc_id < {len(rows)}"), sample=10_000)
+    found = {r.doc_id: len(r.spans) for r in pii.find(df, model).collect()}
+    n = len(rows)
+    assert sum(found[n + i] > 0 for i in range(80)) >= 72 and sum(found[n + 80 + i] > 0 for i in range(80)) <= 4
+
+
+def test_columns_named_like_helpers_are_kept(spark):
+    names = ["piece", "words", "lines", "windows", "one", "n_tokens", "length"]
+    df = spark.createDataFrame([(i, "the quick brown fox of the den and the day " * (20_000 if i == 1 else 9), *range(7)) for i in range(4)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    ruled = {r.doc_id: r for r in quality.apply_rules(df).collect()}
+    assert ruled[1].n_words == 200_000 and (ruled[2].words, ruled[2].lines, ruled[2].windows, ruled[2].n_tokens) == (1, 2, 3, 5)
+    assert quality.keep(quality.apply_rules(df)).count() == sum(r.kept for r in ruled.values())
+    packed = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False, drop_text=True).collect()
+    assert {(r.piece, r.words, r.n_tokens) for r in packed} == {(0, 1, 5)}
+    assert sum(r.length for r in packed) == sum({r.doc_id: r.doc_tokens for r in packed}.values())
+    counted = tokens.count_tokens(df, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert all(r.n_tokens > 9 and r.words == 1 for r in counted)
+
+
+def test_packing_leaves_little_padding(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(int(rng.paretovariate(1.1) * 60) % 9000))) for i in range(1500)] + [(None, "")] * 300, "doc_id long, text string")
+    packed = packing.pack(df.repartition(3), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False, drop_text=True).collect()
+    assert sum(r.length for r in packed) / (4096 * len({r.sequence_id for r in packed})) > 0.9
