@@ -44,8 +44,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy of a document that the mix takes; the last one of a source may be of its first words only."""
-    return _sized(mixing.expand(mixing.mix(docs.select(COLUMNS))))
+    """A row for each copy of a document that the mix takes, each of a whole document."""
+    return _sized(mixing.expand(mixing.mix(docs.select(COLUMNS), whole=True)))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
