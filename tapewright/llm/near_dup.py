@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import Scratch, ship
@@ -308,7 +308,7 @@ def _matches(group: np.ndarray, n: np.ndarray, rest: np.ndarray, comp: np.ndarra
         begin = end
 
 
-def possible_pairs(texts: DataFrame, least: float, leads: bool = False) -> DataFrame:
+def possible_pairs(texts: DataFrame, least: float, most: int = 1 << 30) -> DataFrame:
     """(a, b, ca, cb): all pairs of ``texts`` (id, comp, seq) of different classes that can be alike, and the classes.
 
     Texts of n and m shingles that are alike share t = least * (n + m) / (1 + least) labelled ones at least. With all
@@ -317,8 +317,8 @@ def possible_pairs(texts: DataFrame, least: float, leads: bool = False) -> DataF
     shingles come first: a passage that thousands of texts have brings together only those that are alike by it. The
     order rests on counts of hashed shingles, whose collisions cost time only.
 
-    With ``leads``, each text b comes but once or not at all: with the first text of the smallest group that it meets in
-    and that is of another class, however many texts of other classes the group has.
+    Of two classes, which may be large, each slice of shingles gives ``most`` pairs at most; where it has more, a row with
+    a = b = -1 says so, and the caller asks again for more when it has merged what is alike.
     """
     tokens = texts.agg(F.sum(F.length("seq"))).first()[0] or 0
     bits = min(max(int(tokens).bit_length(), 14), 22)
@@ -332,7 +332,7 @@ def possible_pairs(texts: DataFrame, least: float, leads: bool = False) -> DataF
                 count = often[(labelled >> U64(64 - bits)).astype("i8")]
                 order = np.lexsort((labelled, count, of))
                 left = n[of] - (np.arange(len(of)) - (np.cumsum(n) - n)[of])
-                chosen = (left >= least * n[of] - 1e-6) & (count[order] > 1)
+                chosen = left >= least * n[of] - 1e-6
                 order, left, of = order[chosen], left[chosen], of[chosen]
                 grid = np.minimum(-(-count[order].astype("i8") // GROUP), 1 << 15)
                 own = (_mix(batch.column(0)[begin:end].to_numpy().astype("u8")) >> U64(1)).astype("i8")[of] % grid
@@ -341,29 +341,18 @@ def possible_pairs(texts: DataFrame, least: float, leads: bool = False) -> DataF
                     at = np.repeat(np.arange(len(of[part])), grid[part])
                     other = np.arange(len(at)) - np.repeat(np.cumsum(grid[part]) - grid[part], grid[part])
                     mine = own[part][at]
-                    columns = [labelled[order][part][at].view("i8"), (np.minimum(mine, other) << 16) + np.maximum(mine, other), mine, n[of[part]][at], left[part][at]]
+                    columns = [labelled[order][part][at].view("i8"), (np.minimum(mine, other) << 16) + np.maximum(mine, other), mine.astype("i4"), n[of[part]][at].astype("i4"), left[part][at].astype("i4")]
                     names = ["token", "cell", "dealt", "n", "rest"]
                     rows = pa.array(begin + of[part][at])
                     yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column(0).take(rows), batch.column(1).take(rows)], names=[*names, "id", "comp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            token, cell, dealt, n, rest = (table.column(k).to_numpy() for k in range(5))
+            token, cell, dealt, n, rest = (table.column(k).to_numpy().astype("i8") for k in range(5))
             group = np.cumsum(np.concatenate([[False], (np.diff(token) != 0) | (np.diff(cell) != 0)])).astype("i8")
             ids, comp = (table.column(k).to_numpy() for k in (5, 6))
-            if leads:
-                by = np.lexsort((ids, group))
-                heads = np.flatnonzero(np.concatenate([[True], np.diff(group[by]) != 0]))
-                sizes = np.diff(np.append(heads, len(by)))
-                x, y, of = np.repeat(by[heads], sizes), by, np.repeat(sizes, sizes)
-                fit = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-6)
-                x, y, of = x[fit], y[fit], of[fit]
-                # here already one for each text, of all groups of this slice
-                first = np.lexsort((ids[x], of, ids[y]))
-                first = first[np.concatenate([[True], np.diff(ids[y][first]) != 0])[: len(first)]]
-                columns = [ids[x], ids[y], comp[x], comp[y], of]
-                yield pa.RecordBatch.from_arrays([pa.array(c[first]) for c in columns], names=["a", "b", "ca", "cb", "size"])
-                return
+            seen: dict[tuple[int, int], int] = {}
+            more = False
             for i, j in _matches(group, n, rest, comp, dealt, cell, least):
                 low = ids[i] < ids[j]
                 x, y = np.where(low, i, j), np.where(low, j, i)
@@ -371,9 +360,23 @@ def possible_pairs(texts: DataFrame, least: float, leads: bool = False) -> DataF
                 x, y = x[once], y[once]
                 new = np.concatenate([[True], (np.diff(ids[x]) != 0) | (np.diff(ids[y]) != 0)])[: len(x)]
                 x, y = x[new], y[new]
+                # so many of each two classes, those of this slice's earlier parts included
+                cx, cy = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+                by = np.lexsort((cy, cx))
+                heads = np.flatnonzero(np.concatenate([[True], (np.diff(cx[by]) != 0) | (np.diff(cy[by]) != 0)])[: len(by)])
+                sizes = np.diff(np.append(heads, len(by)))
+                before = np.array([seen.get(k, 0) for k in zip(cx[by[heads]].tolist(), cy[by[heads]].tolist(), strict=True)], "i8")
+                place = np.arange(len(by)) - np.repeat(heads, sizes) + np.repeat(before, sizes)
+                for k, had, size in zip(zip(cx[by[heads]].tolist(), cy[by[heads]].tolist(), strict=True), before.tolist(), sizes.tolist(), strict=True):
+                    seen[k] = had + size
+                kept = by[place < most]
+                more |= len(kept) < len(by)
+                x, y = x[kept], y[kept]
                 for a in range(0, len(x), 1 << 16):
                     p, q = x[a : a + (1 << 16)], y[a : a + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, (ids[p], ids[q], comp[p], comp[q]))], names=["a", "b", "ca", "cb"])
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64())] * 4, names=["a", "b", "ca", "cb"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -388,11 +391,8 @@ def possible_pairs(texts: DataFrame, least: float, leads: bool = False) -> DataF
         if held:
             yield from found(pa.Table.from_batches(held))
 
-    entries = texts.select("id", "comp", "seq").mapInArrow(deal, "token long, cell long, dealt long, n long, rest long, id long, comp long")
+    entries = texts.select("id", "comp", "seq").mapInArrow(deal, "token long, cell long, dealt int, n int, rest int, id long, comp long")
     dealt = entries.repartition("token", "cell").sortWithinPartitions("token", "cell")
-    if leads:
-        met = dealt.mapInArrow(meet, "a long, b long, ca long, cb long, size long").groupBy("b")
-        return met.agg(F.min(F.struct("size", "a", "ca", "cb")).alias("best")).select("best.a", "b", "best.ca", "best.cb")
     return dealt.mapInArrow(meet, "a long, b long, ca long, cb long").distinct()
 
 
@@ -449,15 +449,13 @@ def _classed(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, count: int = 12, length: int = 2, rounds: int = 2, leads: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, count: int = 12, length: int = 2, rounds: int = 2) -> DataFrame:
     """(doc_id, class_id, representative): a row per row of ``docs``; the class is its least doc_id.
 
     Texts of the same lower-cased words are copies and form one node; null and blank texts are copies of each other.
     Each sketch of a node puts it in a bucket, and two nodes of one bucket are candidates. In the first round each node
     is compared with the first node of its smallest bucket, in the next ones with the first node of the least class of
-    all its buckets: each round sends a text once, however large the buckets are. Then ``leads`` rounds compare each node of
-    the buckets that still hold several classes with one that it shares rare shingles with. All these rounds only save
-    comparisons: of the nodes of all buckets that then still hold several classes, every pair of different classes is ruled out by
+    all its buckets: each round sends a text once, however large the buckets are. The rounds only save comparisons: of the nodes of all buckets that then still hold several classes, every pair of different classes is ruled out by
     :func:`possible_pairs` or verified, until none is left. Two texts of similarity 0.8 share at least one of 12 sketches
     of length 2 but once in some 200,000 times. Rows of null id take no part in naming a class. Very long texts are
     compared whole, in a band. An empty table gives no rows; other columns, whatever their names, are not read.
@@ -505,21 +503,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         scratch.free("classed", "mixed")
     left = scratch.write("left", rows.select("id", "comp").distinct().join(active, "id").select("id", "comp", "seq"))
     scratch.free("rows")
-    for _ in range(leads):
-        merge(possible_pairs(left, least, leads=True))
-        left = scratch.write("left", _classed(left.select("id", "seq"), comps).select("id", "comp", "seq"))
-    pairs, most = scratch.write("pairs", possible_pairs(left, least)), 4
-    scratch.free("left")
-    while not pairs.isEmpty():
+    most, more = 4, True
+    while more:
         # of two classes a few pairs first: what these merge need not be compared
-        place = F.row_number().over(Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.xxhash64("a", "b"), "a", "b"))
-        placed = scratch.write("placed", pairs.withColumn("place", place))
-        merge(placed.where(F.col("place") <= most).select("a", "b", "ca", "cb"))
-        pairs, most = placed.where(F.col("place") > most).select("a", "b"), most * 8
-        for end in ("a", "b"):
-            pairs = _classed(pairs.withColumnRenamed(end, "id"), comps).withColumnsRenamed({"id": end, "comp": "c" + end})
-        pairs = scratch.write("pairs", pairs.where("ca != cb").select("a", "b", "ca", "cb"))
-    scratch.free("pairs", "placed", "active")
+        pairs = scratch.write("pairs", possible_pairs(left, least, most))
+        more = not pairs.where("a < 0").isEmpty()
+        merge(pairs.where("a >= 0"))
+        if more:
+            left, most = scratch.write("left", _classed(left.select("id", "seq"), comps).select("id", "comp", "seq")), most * 16
+    scratch.free("pairs", "left", "active")
     named = _classed(nodes, comps)
     if comps is not None:
         names = named.join(comps.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("first").alias("class"))
