@@ -69,12 +69,14 @@ def grid_patterns(bars: DataFrame, n: int = 20, every: int = 10, share: float =
     return narrow.select(F.concat_ws("-", "ticker", "rn").alias("pattern_id"), "ticker", "start_date", F.col("date").alias("end_date"), F.col("rn").alias("end_rn"), "upper", "lower", "box_width", "close", "mean_volume", "money")
 
 
-def sleepers(bars: DataFrame, n: int = 60, wick: float = 5.0, body: float = 3.0, trigger: float = 1.05) -> DataFrame:
-    """Rows whose last n rows are tight by quantiles of highs, lows and closes, above both averages, and liquid."""
+def sleepers(bars: DataFrame, n: int = 60, wick: float = 5.0, body: float = 3.0, trigger: float = 1.05, least_money: float = 0.0, idle_rows: int = 4, fast: int = 50, slow: int = 200) -> DataFrame:
+    """Rows whose last n rows are tight by quantiles of highs, lows and closes, with the close above the fast average and
+    that above the slow one, and liquid: enough mean money of 20 rows and few rows without volume."""
     q = lambda c, p: quantile(c, p, n)
-    df = bars.withColumns({"upper": q("high", 0.95), "lower": q("low", 0.1), "__b1": q("close", 0.95), "__b0": q("close", 0.1), "__s50": mean("close", 50), "money": mean(F.col("close") * F.col("volume"), 20), "idle": total(F.when(F.col("volume") <= 0, 1).otherwise(0), 20)})
+    df = bars.withColumns({"upper": q("high", 0.95), "lower": q("low", 0.1), "__b1": q("close", 0.95), "__b0": q("close", 0.1), "__fast": mean("close", fast), "__slow": mean("close", slow), "money": mean(F.col("close") * F.col("volume"), 20), "idle": total(F.when(F.col("volume") <= 0, 1).otherwise(0), 20)})
     df = df.withColumns({"wick_width": ratio(F.col("upper") - F.col("lower"), "lower"), "body_width": ratio(F.col("__b1") - F.col("__b0"), "__b0"), "trigger": F.col("upper") * trigger})
-    return df.where((F.col("wick_width") < wick) & (F.col("body_width") < body) & (F.col("idle") <= 4) & (F.col("close") > F.col("__s50"))).drop("__b1", "__b0", "__s50")
+    tight, rising = (F.col("wick_width") < wick) & (F.col("body_width") < body), (F.col("close") > F.col("__fast")) & (F.col("__fast") > F.col("__slow"))
+    return df.where(tight & rising & (F.col("idle") <= idle_rows) & (F.col("money") >= least_money)).drop("__b1", "__b0", "__fast", "__slow")
 
 
 def accumulation_days(bars: DataFrame, n: int = 90, times: float = 3.0, still: float = 0.025) -> DataFrame:
@@ -93,10 +95,13 @@ def money_tiers(bars: DataFrame, bounds=(10_000.0, 30_000.0, 60_000.0, 100_000.0
     return df.withColumn("tier", tier.otherwise("large"))
 
 
-def coils(bars: DataFrame, n: int = 40, width: float = 10.0, rvol: float = 0.5) -> DataFrame:
-    """Rows with a narrow range of n rows and low relative volume."""
-    df = bars.withColumns({"coil_range": ratio(high("high", n) - low("low", n), low("low", n)), "rvol": ratio("volume", mean("volume", 30)), "support": low("low", n)})
-    return df.where((F.col("coil_range") <= width) & (F.col("rvol") <= rvol))
+def coils(bars: DataFrame, n: int = 40, width: float = 0.06, cheap_width: float = 0.15, cheap: float = 1.0, direction: float = 20.0, rvol: float = 0.5) -> DataFrame:
+    """Rows with a narrow range of n rows (wider below a price), no direction and low relative volume."""
+    from tapewright.operators.features import relative_volume
+
+    df = relative_volume(bars).withColumns({"coil_range": ratio(high("high", n) - low("low", n), low("low", n)), "support": low("low", n)})
+    narrow = F.col("coil_range") <= F.when(F.col("close") < cheap, cheap_width).otherwise(width)
+    return df.where(narrow & (F.col("adx_filled") <= direction) & (F.col("rvol") <= rvol))
 
 
 def accumulation_score(bars: DataFrame) -> DataFrame:

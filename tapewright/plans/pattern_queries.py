@@ -11,6 +11,7 @@ from tapewright.operators import detection as det
 from tapewright.operators import filters as flt
 from tapewright.operators import joins as jon
 from tapewright.operators import labels as lab
+from tapewright.plans import indicator_queries
 from tapewright.plans import sqltext as S
 from tapewright.plans.bar_queries import DAY, with_bars
 from tapewright.plans.indicator_queries import bars, rounded
@@ -72,9 +73,9 @@ _pat = "pattern_id, ticker, CAST(start_date AS VARCHAR) AS start_date, CAST(end_
 add("det8_grid_patterns", patterns, with_bars(f"SELECT {_pat} FROM p", PATTERNS))
 _q60 = lambda c, p: over(f"quantile_cont({{}}, {p})", c, 60)
 add(
-    "det11_sleepers", lambda s, d: det.sleepers(bars(s, d)).select("ticker", "date", "upper", "lower", "wick_width", "body_width", "trigger", "money"),
-    with_bars(f"SELECT ticker, {DAY}, {cols('upper=upper;lower=lower;wick_width=(upper - lower) / nullif(lower, 0);body_width=(b1 - b0) / nullif(b0, 0);trigger=upper * 1.05;money=money')} FROM x WHERE (upper - lower) / nullif(lower, 0) < 5 AND (b1 - b0) / nullif(b0, 0) < 3 AND idle <= 4 AND close > s50",
-      f"x AS (SELECT *, {_q60('high', 0.95)} AS upper, {_q60('low', 0.1)} AS lower, {_q60('close', 0.95)} AS b1, {_q60('close', 0.1)} AS b0, {over('avg', 'close', 50)} AS s50, {over('avg', 'close * volume', 20)} AS money, {over('sum', '(CASE WHEN volume <= 0 THEN 1 ELSE 0 END)', 20)} AS idle FROM b)"),
+    "det11_sleepers", lambda s, d: det.sleepers(bars(s, d), wick=60.0, body=30.0, least_money=30_000.0).select("ticker", "date", "upper", "lower", "wick_width", "body_width", "trigger", "money"),
+    with_bars(f"SELECT ticker, {DAY}, {cols('upper=upper;lower=lower;wick_width=(upper - lower) / nullif(lower, 0);body_width=(b1 - b0) / nullif(b0, 0);trigger=upper * 1.05;money=money')} FROM x WHERE (upper - lower) / nullif(lower, 0) < 60 AND (b1 - b0) / nullif(b0, 0) < 30 AND idle <= 4 AND close > s50 AND s50 > s200 AND money >= 30000",
+      f"x AS (SELECT *, {_q60('high', 0.95)} AS upper, {_q60('low', 0.1)} AS lower, {_q60('close', 0.95)} AS b1, {_q60('close', 0.1)} AS b0, {over('avg', 'close', 50)} AS s50, {over('avg', 'close', 200)} AS s200, {over('avg', 'close * volume', 20)} AS money, {over('sum', '(CASE WHEN volume <= 0 THEN 1 ELSE 0 END)', 20)} AS idle FROM b)"),
 )
 add(
     "det14_accumulation", lambda s, d: det.accumulation_days(bars(s, d), times=2.0, still=0.5).select("ticker", "date", "accumulation"),
@@ -84,10 +85,13 @@ add(
     "det17_money_tiers", lambda s, d: det.money_tiers(bars(s, d)),
     with_bars(f"SELECT ticker, {cols('money=m')}, CASE WHEN m < 10000 THEN 'nano' WHEN m < 30000 THEN 'micro' WHEN m < 60000 THEN 'small' WHEN m < 100000 THEN 'mid' ELSE 'large' END AS tier FROM (SELECT ticker, quantile_cont(x, 0.5) AS m FROM (SELECT ticker, {over('avg', 'close * volume', 40)} AS x FROM b) GROUP BY ticker)"),
 )
+_dx = div("abs(pd - md)", "pd + md")
 add(
-    "det22_coils", lambda s, d: det.coils(bars(s, d), width=20.0).select("ticker", "date", "coil_range", "rvol", "support"),
-    with_bars(f"SELECT ticker, {DAY}, {cols('coil_range=r;rvol=v;support=l')} FROM (SELECT *, (h - l) / nullif(l, 0) AS r FROM (SELECT *, {over('max', 'high', 40)} AS h, {over('min', 'low', 40)} AS l, {div('volume', over('avg', 'volume', 30))} AS v FROM b)) WHERE r <= 20 AND v <= 0.5"),
+    "det22_coils", lambda s, d: det.coils(bars(s, d), width=40.0, cheap_width=60.0, cheap=1000.0, direction=30.0).select("ticker", "date", "coil_range", "rvol", "support", "adx_filled"),
+    with_bars(f"SELECT ticker, {DAY}, {cols('coil_range=r;rvol=v;support=l;adx_filled=ad')} FROM (SELECT *, (h - l) / nullif(l, 0) AS r FROM (SELECT *, {over('max', 'high', 40)} AS h, {over('min', 'low', 40)} AS l, {div('volume', over('avg', 'volume', 30))} AS v, coalesce({over('avg', 'dx', 14)}, 50) AS ad FROM z3)) WHERE r <= CASE WHEN close < 1000 THEN 60 ELSE 40 END AND v <= 0.5 AND ad <= 30",
+      f"""{indicator_queries._dm}, z1 AS (SELECT *, {over('avg', 'plus_dm', 14)} AS pp, {over('avg', 'minus_dm', 14)} AS qq, {over('avg', 'tr', 14)} AS aa FROM m), z2 AS (SELECT *, 100 * {div('pp', 'aa')} AS pd, 100 * {div('qq', 'aa')} AS md FROM z1), z3 AS (SELECT *, 100 * {_dx} AS dx FROM z2)"""),
 )
+add("det26_domestic", lambda s, d: tables.table(s, d, "part").select("p_partkey", det.is_domestic(F.concat("p_brand", F.when(F.col("p_size") % 2 == 0, ".DE").otherwise(""))).alias("domestic")), "SELECT p_partkey, CAST(NOT (p_size % 2 = 0) AS INTEGER) AS domestic FROM part")
 add(
     "det28_accumulation_score", lambda s, d: det.accumulation_score(bars(s, d)),
     with_bars(f"""SELECT ticker, {DAY}, {cols('contraction=c;buying=u;strong=st;distance=far')}, pts AS points, CAST(pts >= 70 AS INTEGER) AS signal FROM
