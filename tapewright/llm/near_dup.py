@@ -225,7 +225,8 @@ def verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
         return pa.array(out, pa.bool_())
 
     of = lambda end: sequences.select(F.col("id").alias(end), F.col("seq").alias("seq_" + end))
-    return pairs.join(of("b"), "b").join(of("a"), "a").where(alike("seq_a", "seq_b")).select(pairs.columns)
+    # merge joins at every size: texts are never broadcast, and neither are pairs, of which there is no bound
+    return pairs.hint("merge").join(of("b"), "b").hint("merge").join(of("a"), "a").where(alike("seq_a", "seq_b")).select(pairs.columns)
 
 
 #: Words of one slice of texts whose shingles are ordered at once.
@@ -308,7 +309,7 @@ def _matches(group: np.ndarray, n: np.ndarray, rest: np.ndarray, comp: np.ndarra
         begin = end
 
 
-def possible_pairs(texts: DataFrame, least: float, most: int = 1 << 30) -> DataFrame:
+def possible_pairs(texts: DataFrame, least: float, most: int = 1 << 30, one_in: int = 1) -> DataFrame:
     """(a, b, ca, cb): all pairs of ``texts`` (id, comp, seq) of different classes that can be alike, and the classes.
 
     Texts of n and m shingles that are alike share t = least * (n + m) / (1 + least) labelled ones at least. With all
@@ -318,7 +319,8 @@ def possible_pairs(texts: DataFrame, least: float, most: int = 1 << 30) -> DataF
     order rests on counts of hashed shingles, whose collisions cost time only.
 
     Of two classes, which may be large, each slice of shingles gives ``most`` pairs at most; where it has more, a row with
-    a = b = -1 says so, and the caller asks again for more when it has merged what is alike.
+    a = b = -1 says so, and the caller asks again for more when it has merged what is alike. With ``one_in`` above 1 texts
+    meet by that share of the shingles only, the same ones in all texts: some pairs, for a first merge.
     """
     tokens = texts.agg(F.sum(F.length("seq"))).first()[0] or 0
     bits = min(max(int(tokens).bit_length(), 14), 22)
@@ -332,7 +334,7 @@ def possible_pairs(texts: DataFrame, least: float, most: int = 1 << 30) -> DataF
                 count = often[(labelled >> U64(64 - bits)).astype("i8")]
                 order = np.lexsort((labelled, count, of))
                 left = n[of] - (np.arange(len(of)) - (np.cumsum(n) - n)[of])
-                chosen = left >= least * n[of] - 1e-6
+                chosen = (left >= least * n[of] - 1e-6) & (labelled[order] % U64(one_in) == 0)
                 order, left, of = order[chosen], left[chosen], of[chosen]
                 grid = np.minimum(-(-count[order].astype("i8") // GROUP), 1 << 15)
                 own = (_mix(batch.column(0)[begin:end].to_numpy().astype("u8")) >> U64(1)).astype("i8")[of] % grid
@@ -453,9 +455,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, class_id, representative): a row per row of ``docs``; the class is its least doc_id.
 
     Texts of the same lower-cased words are copies and form one node; null and blank texts are copies of each other.
-    Each sketch of a node puts it in a bucket, and two nodes of one bucket are candidates. In the first round each node
-    is compared with the first node of its smallest bucket, in the next ones with the first node of the least class of
-    all its buckets: each round sends a text once, however large the buckets are. The rounds only save comparisons: of the nodes of all buckets that then still hold several classes, every pair of different classes is ruled out by
+    Each sketch of a node puts it in a bucket, and two nodes of one bucket are candidates. A bucket is led by the node that
+    shares most buckets with others. In the first round a node is compared with whoever leads most of its buckets, in the
+    next ones with the leader of the smallest that still holds several classes: each round sends a text once, however
+    large the buckets are. The rounds only save comparisons: of the nodes of all buckets that then still hold several classes, every pair of different classes is ruled out by
     :func:`possible_pairs` or verified, until none is left. Two texts of similarity 0.8 share at least one of 12 sketches
     of length 2 but once in some 200,000 times. Rows of null id take no part in naming a class. Very long texts are
     compared whole, in a band. An empty table gives no rows; other columns, whatever their names, are not read.
@@ -468,10 +471,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table = scratch.write("table", sketched.withColumn("id", F.monotonically_increasing_id()))
     nodes = scratch.write("nodes", table.groupBy("fp").agg(F.min("id").alias("id"), F.min("doc_id").alias("first")))
     posted = table.select("id", "keys").join(nodes.select("id"), "id").select("id", F.explode("keys").alias("key"))
-    heads = posted.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    rows = scratch.write("rows", posted.join(scratch.write("heads", heads), "key"))
-    scratch.free("heads")
-    active = scratch.write("active", table.select("id", "seq").join(rows.select("id").distinct(), "id"))
+    posted = scratch.write("posted", posted)
+    sizes = scratch.write("sizes", posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = scratch.write("shared", posted.join(sizes, "key"))
+    # how much a node shares with others: the text that a group of copies was made from shares most
+    weights = scratch.write("weights", rows.groupBy("id").agg(F.sum("n").alias("weight")))
+    rows = scratch.write("rows", rows.join(weights, "id"))
+    scratch.free("posted", "sizes", "shared", "weights")
+    active = scratch.write("active", table.select("id", "seq").hint("merge").join(rows.select("id").distinct(), "id"))
     comps = None
 
     def merge(pairs: DataFrame) -> None:
@@ -489,28 +496,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         comps = scratch.write("comps", added)
         scratch.free("edges", "found")
 
+    rows = rows.withColumn("comp", F.col("id"))
     for turn in range(rounds):
-        if turn == 0:
-            asked = rows.where("lead != id").groupBy("id").agg(F.min_by("lead", "n").alias("a"))
-            merge(asked.select("a", F.col("id").alias("b"), F.col("a").alias("ca"), F.col("id").alias("cb")))
-        else:
-            asked = rows.where("lead != comp").groupBy("id").agg(F.min("lead").alias("a"), F.first("comp").alias("comp"))
-            merge(asked.select("a", F.col("id").alias("b"), F.col("a").alias("ca"), F.col("comp").alias("cb")))
-        # a bucket whose nodes are all of one class needs no more comparisons, now or later
-        classed = scratch.write("classed", _classed(rows.select("id", "key"), comps))
-        mixed = classed.groupBy("key").agg(F.min("comp").alias("lead"), F.max("comp").alias("last")).where("lead != last").select("key", "lead")
-        rows = scratch.write("rows", classed.join(scratch.write("mixed", mixed), "key"))
-        scratch.free("classed", "mixed")
-    left = scratch.write("left", rows.select("id", "comp").distinct().join(active, "id").select("id", "comp", "seq"))
+        # buckets of one class need no more comparisons, now or later
+        leads = rows.groupBy("key").agg(F.max_by("id", "weight").alias("lead"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").select("key", "lead")
+        led = _classed(leads.withColumnRenamed("lead", "id"), comps).withColumnsRenamed({"id": "lead", "comp": "lead_comp"})
+        rows = scratch.write("rows", rows.join(scratch.write("led", led), "key"))
+        others = rows.where("lead_comp != comp").groupBy("id")
+        chosen = F.mode(F.struct("lead", "lead_comp")) if turn == 0 else F.min_by(F.struct("lead", "lead_comp"), "n")
+        asked = others.agg(chosen.alias("a"), F.first("comp").alias("comp"))
+        merge(asked.select("a.lead", F.col("id").alias("b"), F.col("a.lead_comp").alias("ca"), F.col("comp").alias("cb")).withColumnRenamed("lead", "a"))
+        rows = scratch.write("rows", _classed(rows.select("id", "key", "n", "weight"), comps))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").select("key")
+    rows = scratch.write("rows", rows.join(scratch.write("mixed", mixed), "key"))
+    scratch.free("led", "mixed")
+    left = scratch.write("left", rows.select("id", "comp").distinct().hint("merge").join(active, "id").select("id", "comp", "seq"))
     scratch.free("rows")
-    most, more = 4, True
+    most, one_in, more = 4, 4, True
     while more:
-        # of two classes a few pairs first: what these merge need not be compared
-        pairs = scratch.write("pairs", possible_pairs(left, least, most))
-        more = not pairs.where("a < 0").isEmpty()
+        # few pairs first, by a share of the shingles and of two classes: what these merge need not be compared
+        pairs = scratch.write("pairs", possible_pairs(left, least, most, one_in))
+        more = one_in > 1 or not pairs.where("a < 0").isEmpty()
         merge(pairs.where("a >= 0"))
         if more:
-            left, most = scratch.write("left", _classed(left.select("id", "seq"), comps).select("id", "comp", "seq")), most * 16
+            left = scratch.write("left", _classed(left.select("id", "seq"), comps).select("id", "comp", "seq"))
+            most, one_in = most * 16, 1
     scratch.free("pairs", "left", "active")
     named = _classed(nodes, comps)
     if comps is not None:
@@ -518,5 +528,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         named = named.join(names, "comp", "left").withColumn("first", F.coalesce("class", "first"))
     by_node = scratch.write("by_node", named.select("fp", F.col("first").alias("class_id")))
     scratch.free("nodes", "comps", "found")
-    out = table.select("doc_id", "fp").join(by_node, "fp")
+    out = table.select("doc_id", "fp").hint("merge").join(by_node, "fp")
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
