@@ -11,6 +11,8 @@ FILING_PATTERNS = {
     "shell": r"(?i)shell company|reverse merger|blank check|custodianship",
     "lender": r"(?i)\b(?:capital|fund|partners) (?:llc|lp|ltd)\b",
 }
+#: Kinds of filings in which financing terms are looked for.
+FINANCING_FILINGS = ("8-K", "S-1", "S-3", "424B5")
 
 
 def chained(patterns: DataFrame, days: int = 10) -> DataFrame:
@@ -50,8 +52,11 @@ def duplication(patterns: DataFrame, places: int = 2) -> DataFrame:
 
 
 def cross_ticker(patterns: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Of patterns of the same date and nearly the same bounds the one of most money, then of the first ticker."""
-    grid = lambda c: F.bround(F.col(c) / (F.col("lower") * 0 + 1) / tolerance, 0)
+    """Of patterns of the same date and nearly the same bounds, to a share of them, the one of most money, then of the
+    first ticker. Bounds are rounded on a grid of logarithms, so that the tolerance is relative."""
+    from math import log
+
+    grid = lambda c: F.bround(F.ln(c) / log(1 + tolerance), 0)
     best = Window.partitionBy("end_date", grid("upper"), grid("lower")).orderBy(F.desc("money"), "ticker", "pattern_id")
     return patterns.withColumn("__place", F.row_number().over(best)).where("__place = 1").drop("__place")
 
@@ -78,8 +83,12 @@ def oversampled(patterns: DataFrame, score: str, share: float = 0.2, copies: int
     return patterns.join(F.broadcast(cut)).withColumn("copy", F.explode(F.sequence(F.lit(1), n))).drop("__cut")
 
 
-def filings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Filings with a flag per kind of trouble that their text speaks of, and whether they pass."""
+def filings(docs: DataFrame, text: str = "text", kind: str = "filing_type") -> DataFrame:
+    """Filings with a flag per kind of trouble that their text speaks of, and whether they pass.
+
+    Lenders anywhere, and toxic terms in filings about financing, fail a filing; a shell only warns.
+    """
     flags = {k: F.coalesce(F.col(text).rlike(p), F.lit(False)) for k, p in FILING_PATTERNS.items()}
+    flags["toxic"] = flags["toxic"] & F.coalesce(F.col(kind).isin(*FINANCING_FILINGS), F.lit(False))
     df = docs.withColumns(flags)
-    return df.withColumns({"flags": F.array_join(F.array_compact(F.array(*[F.when(F.col(k), k) for k in FILING_PATTERNS])), ","), "passes": ~(F.col("toxic") | F.col("shell"))})
+    return df.withColumns({"flags": F.array_join(F.array_compact(F.array(*[F.when(F.col(k), k) for k in FILING_PATTERNS])), ","), "passes": ~(F.col("toxic") | F.col("lender"))})

@@ -36,3 +36,29 @@ def latest(left: DataFrame, right: DataFrame, key: str, order: str, values: list
     """``left`` with its newest right row, if there is one."""
     newest = right.groupBy(key).agg(F.max_by(F.struct(*values), order).alias("__v"))
     return left.join(newest, key, "left").select(*left.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
+
+
+def needing(left: DataFrame, made: DataFrame) -> DataFrame:
+    """Rows of ``left`` (key) with no made row, or whose newest isn't of the newest day of all."""
+    newest = made.groupBy("key").agg(F.max("made").alias("made"))
+    every = made.agg(F.max("made").alias("__latest"))  # one row
+    return left.join(newest, "key", "left").join(F.broadcast(every)).where(F.col("made").isNull() | (F.col("made") != F.col("__latest"))).drop("__latest")
+
+
+def market_cap(bars: DataFrame, shares: DataFrame, bounds: tuple[float, ...] = (1e6, 3e6, 6e6)) -> DataFrame:
+    """Shares times the price of the day, and its tier."""
+    df = bars.join(shares, "ticker").withColumn("market_cap", F.col("close") * F.col("shares"))
+    tier = F.when(F.col("market_cap") < bounds[0], "nano").when(F.col("market_cap") < bounds[1], "micro").when(F.col("market_cap") < bounds[2], "small").otherwise("large")
+    return df.withColumn("tier", tier)
+
+
+def dilution(filings: DataFrame) -> DataFrame:
+    """Per ticker the growth of shares in the year to its latest filing: against the newest 300 to 420 days before it, or
+    else the one nearest to 365 days of those 180 to 540 days before."""
+    latest_ = filings.groupBy("ticker").agg(F.max("date").alias("last"), F.max_by("shares", "date").alias("last_shares"))
+    age = F.datediff("last", "date")
+    j = filings.join(latest_, "ticker").withColumn("age", age)
+    year = F.max_by(F.when(F.col("age").between(300, 420), F.col("shares")), F.when(F.col("age").between(300, 420), F.col("date")))
+    near = F.min_by(F.when(F.col("age").between(180, 540), F.col("shares")), F.when(F.col("age").between(180, 540), F.abs(F.col("age") - 365) * 10 + (F.col("age") > 365).cast("int")))
+    out = j.groupBy("ticker", "last", "last_shares").agg(F.coalesce(year, near).alias("then"))
+    return out.select("ticker", F.col("last").alias("date"), (F.col("last_shares") / F.nullif(F.col("then"), F.lit(0.0)) - 1).alias("dilution"))

@@ -186,9 +186,10 @@ add(
     with_bars("SELECT pattern_id, unnest(range(1, k + 1)) AS copy FROM (SELECT pattern_id, CASE WHEN -box_width >= (SELECT quantile_cont(-box_width, 0.8) FROM p) THEN 3 ELSE 1 END AS k FROM p)", PATTERNS),
 )
 _flags = {k: "coalesce(regexp_matches(text, '" + p + "'), false)" for k, p in flt.FILING_PATTERNS.items()}
+_flags["toxic"] = f"({_flags['toxic']} AND doc_id % 2 = 0)"
 add(
-    "flt19_filings", lambda s, d: flt.filings(tables.table(s, d, "documents")).select("doc_id", *flt.FILING_PATTERNS, "flags", "passes"),
-    "SELECT doc_id, " + ", ".join(f"CAST({x} AS INTEGER) AS {k}" for k, x in _flags.items()) + ", concat_ws(',', " + ", ".join(f"CASE WHEN {x} THEN '{k}' END" for k, x in _flags.items()) + f") AS flags, CAST(NOT ({_flags['toxic']} OR {_flags['shell']}) AS INTEGER) AS passes FROM documents",
+    "flt19_filings", lambda s, d: flt.filings(tables.table(s, d, "documents").withColumn("filing_type", F.when(F.col("doc_id") % 2 == 0, "8-K").otherwise("10-K"))).select("doc_id", *flt.FILING_PATTERNS, "flags", "passes"),
+    "SELECT doc_id, " + ", ".join(f"CAST({x} AS INTEGER) AS {k}" for k, x in _flags.items()) + ", concat_ws(',', " + ", ".join(f"CASE WHEN {x} THEN '{k}' END" for k, x in _flags.items()) + f") AS flags, CAST(NOT ({_flags['toxic']} OR {_flags['lender']}) AS INTEGER) AS passes FROM documents",
 )
 
 # joins
