@@ -448,7 +448,7 @@ def _classed(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     """``rows`` (with id) with the label of each node's class: the least id that is known to be in it."""
     if comps is None:
         return rows.withColumn("comp", F.col("id"))
-    return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    return rows.hint("merge").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, count: int = 12, length: int = 2, rounds: int = 2) -> DataFrame:
@@ -470,13 +470,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sketched = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), sketch.alias("s")).select("doc_id", "s.*")
     table = scratch.write("table", sketched.withColumn("id", F.monotonically_increasing_id()))
     nodes = scratch.write("nodes", table.groupBy("fp").agg(F.min("id").alias("id"), F.min("doc_id").alias("first")))
-    posted = table.select("id", "keys").join(nodes.select("id"), "id").select("id", F.explode("keys").alias("key"))
+    posted = table.select("id", "keys").hint("merge").join(nodes.select("id"), "id").select("id", F.explode("keys").alias("key"))
     posted = scratch.write("posted", posted)
     sizes = scratch.write("sizes", posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    rows = scratch.write("shared", posted.join(sizes, "key"))
+    rows = scratch.write("shared", posted.hint("merge").join(sizes, "key"))
     # how much a node shares with others: the text that a group of copies was made from shares most
     weights = scratch.write("weights", rows.groupBy("id").agg(F.sum("n").alias("weight")))
-    rows = scratch.write("rows", rows.join(weights, "id"))
+    rows = scratch.write("rows", rows.hint("merge").join(weights, "id"))
     scratch.free("posted", "sizes", "shared", "weights")
     active = scratch.write("active", table.select("id", "seq").hint("merge").join(rows.select("id").distinct(), "id"))
     comps = None
@@ -501,14 +501,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         # buckets of one class need no more comparisons, now or later
         leads = rows.groupBy("key").agg(F.max_by("id", "weight").alias("lead"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").select("key", "lead")
         led = _classed(leads.withColumnRenamed("lead", "id"), comps).withColumnsRenamed({"id": "lead", "comp": "lead_comp"})
-        rows = scratch.write("rows", rows.join(scratch.write("led", led), "key"))
+        rows = scratch.write("rows", rows.hint("merge").join(scratch.write("led", led), "key"))
         others = rows.where("lead_comp != comp").groupBy("id")
         chosen = F.mode(F.struct("lead", "lead_comp")) if turn == 0 else F.min_by(F.struct("lead", "lead_comp"), "n")
         asked = others.agg(chosen.alias("a"), F.first("comp").alias("comp"))
         merge(asked.select("a.lead", F.col("id").alias("b"), F.col("a.lead_comp").alias("ca"), F.col("comp").alias("cb")).withColumnRenamed("lead", "a"))
         rows = scratch.write("rows", _classed(rows.select("id", "key", "n", "weight"), comps))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").select("key")
-    rows = scratch.write("rows", rows.join(scratch.write("mixed", mixed), "key"))
+    rows = scratch.write("rows", rows.hint("merge").join(scratch.write("mixed", mixed), "key"))
     scratch.free("led", "mixed")
     left = scratch.write("left", rows.select("id", "comp").distinct().hint("merge").join(active, "id").select("id", "comp", "seq"))
     scratch.free("rows")
