@@ -230,7 +230,7 @@ def rank_in_window(bars: DataFrame, n: int = 60) -> DataFrame:
 
 
 def obv_divergence(bars: DataFrame, n: int = 21) -> DataFrame:
-    """Difference of the normalised slopes of on-balance volume and price."""
+    """Logarithmic difference of the normalised slopes of on-balance volume and price; falling ones count as flat."""
     df = volume_lines(bars)
     norm = lambda c: ratio(slope(c, n), spread(c, n))
-    return df.withColumn("obv_divergence", clip(norm("obv") - norm("close"), -5.0, 5.0)).drop("ad_line", "vpt")
+    return df.withColumn("obv_divergence", clip(F.when(norm("obv").isNotNull() & norm("close").isNotNull(), log_ratio(norm("obv"), norm("close"))), -5.0, 5.0)).drop("ad_line", "vpt")

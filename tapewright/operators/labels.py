@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.rolling import ratio
@@ -47,10 +47,13 @@ def by_pattern(joined: DataFrame, *aggregates: Column) -> DataFrame:
 
 
 def unified(patterns: DataFrame, bars: DataFrame, n: int = 30) -> DataFrame:
-    """Largest gain and final gain against the upper bound, largest loss against the lower, first close above it all."""
+    """Largest gain and final gain against the upper bound, largest loss against the lower; the first close above it all:
+    calendar days to it, and its volume to the pattern's mean."""
     j = after(patterns, bars, n)
+    above = F.col("b_close") > F.col("upper") * 1.05
     gain, loss, end = F.max(F.col("b_high") / F.col("upper") - 1), F.min(F.col("b_low") / F.col("lower") - 1), F.max_by(F.col("b_close") / F.col("upper") - 1, "day")
-    out = by_pattern(j, gain.alias("fwd_gain"), loss.alias("fwd_loss"), end.alias("fwd_end"), first_day(F.col("b_close") > F.col("upper") * 1.05).alias("breakout_day"))
+    volume = F.min_by(F.when(above, ratio("b_volume", "mean_volume")), F.when(above, F.col("day")))
+    out = by_pattern(j, gain.alias("fwd_gain"), loss.alias("fwd_loss"), end.alias("fwd_end"), F.min(F.when(above, F.datediff("b_date", "end_date"))).alias("breakout_day"), volume.alias("breakout_volume"))
     return out.withColumn("label", gain_class(F.col("fwd_gain"), F.col("fwd_loss") < -0.5))
 
 
@@ -64,13 +67,13 @@ def path(patterns: DataFrame, bars: DataFrame, n: int = 40, buffer: float = 0.02
     return out.withColumn("label", label)
 
 
-def structural(patterns: DataFrame, bars: DataFrame, n: int = 60, tick: float = 0.01, times: float = 3.0) -> DataFrame:
-    """Entry at the trigger or the next open above it; risk from the trigger to the lower bound; the floor wins ties."""
+def structural(patterns: DataFrame, bars: DataFrame, n: int = 60, tick: float = 0.01, times: float = 3.0, share_of_box: float = 1.0) -> DataFrame:
+    """Entry at the trigger or the next open above it; risk from the trigger to the lower bound, or a share of the box (.75
+    with 2 risks for weekly patterns); the floor wins ties."""
     j = after(patterns.withColumn("trigger", F.col("upper") + tick), bars, n)
-    opened = by_pattern(j, F.min_by("b_open", "day").alias("next_open"))
-    priced = patterns.withColumn("trigger", F.col("upper") + tick).join(opened, "pattern_id")
-    priced = priced.withColumns({"entry": F.greatest("trigger", "next_open"), "risk": F.col("trigger") - F.col("lower")})
-    j = after(priced, bars, n)
+    j = j.withColumn("next_open", F.min_by("b_open", "day").over(Window.partitionBy("pattern_id")))
+    risk = F.col("trigger") - F.col("lower") if share_of_box == 1 else (F.col("upper") - F.col("lower")) * share_of_box
+    j = j.withColumns({"entry": F.greatest("trigger", "next_open"), "risk": risk})
     out = j.groupBy("pattern_id", "entry", "risk", "trigger").agg(
         first_day(F.col("b_low") < F.col("lower")).alias("stop_day"), first_day(F.col("b_high") >= F.col("entry") + times * F.col("risk")).alias("target_day"), F.max((F.col("b_high") - F.col("entry")) / F.nullif(F.col("risk"), F.lit(0.0))).alias("fwd_best_r")
     )
@@ -103,13 +106,16 @@ def first_breach(patterns: DataFrame, bars: DataFrame, n: int = 100, drop: float
 
 
 def race(patterns: DataFrame, bars: DataFrame, n: int = 100, drop: float = 0.1) -> DataFrame:
-    """The best class before the fall, or 5 if there is none."""
+    """The best class before the fall, or 5 if there is none; one of 3 or more may still rise after the fall."""
     j = after(patterns, bars, n, first=0)
-    falls = by_pattern(j, first_day(F.col("b_low") <= F.col("lower") * (1 - drop)).alias("k5_day"))
-    before = j.join(falls, "pattern_id").where(F.col("k5_day").isNull() | (F.col("day") < F.col("k5_day")))
-    best = before.groupBy("pattern_id").agg(F.max(F.col("b_high") / F.col("upper") - 1).alias("fwd_gain"))
-    out = falls.join(best, "pattern_id", "left").withColumn("class", gain_class(F.col("fwd_gain")))
-    return out.withColumn("label", F.when(F.col("k5_day").isNotNull() & (F.coalesce("class", F.lit(0)) < 1), 5).otherwise(F.col("class")))
+    fall = F.when(F.col("b_low") <= F.col("lower") * (1 - drop), F.col("day"))
+    j = j.withColumn("k5_day", F.min(fall).over(Window.partitionBy("pattern_id")))
+    rise = F.col("b_high") / F.col("upper") - 1
+    before = F.when(F.col("k5_day").isNull() | (F.col("day") < F.col("k5_day")), rise)
+    out = j.groupBy("pattern_id", "k5_day").agg(F.max(before).alias("fwd_gain"), F.max(rise).alias("__all"))
+    out = out.withColumn("class", gain_class(F.col("fwd_gain")))
+    upgraded = F.when(F.col("class") >= 3, gain_class(F.col("__all"))).otherwise(F.col("class"))
+    return out.withColumn("label", F.when(F.col("k5_day").isNotNull() & (F.coalesce("class", F.lit(0)) < 1), 5).otherwise(upgraded)).drop("__all")
 
 
 def crash_aware(patterns: DataFrame, bars: DataFrame, n: int = 60, crash: float = 0.3) -> DataFrame:

@@ -66,7 +66,7 @@ def two_sample_t(rows_: DataFrame, flag: str, value: str, key: str) -> DataFrame
     return s.select(key, "n1", "n0", t.alias("t"), ratio(F.col("m1") - F.col("m0"), F.sqrt((F.col("v1") + F.col("v0")) / 2)).alias("d"))
 
 
-def hysteresis(bars: DataFrame, fast: int = 20, slow: int = 60, band: float = 0.05) -> DataFrame:
+def hysteresis(bars: DataFrame, fast: int = 50, slow: int = 200, band: float = 0.05) -> DataFrame:
     """Phase 1 once the fast mean is so far above the slow one, 0 once it is so far below, else as before."""
     df = bars.withColumns({"fast_ma": mean("close", fast), "slow_ma": mean("close", slow)})
     latch = F.when(F.col("fast_ma") > F.col("slow_ma") * (1 + band), 1).when(F.col("fast_ma") < F.col("slow_ma") * (1 - band), 0)

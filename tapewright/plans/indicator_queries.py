@@ -165,7 +165,7 @@ register(
     {"part_mean": f"avg(close) OVER {S.frame(-19, 0)}", "part_std": f"stddev_pop(close) OVER {S.frame(-19, 0)}", "part_median": f"quantile_cont(close, 0.5) OVER {S.frame(-19, 0)}", "trend_r2": f"CASE WHEN rn >= 20 THEN regr_r2(close, rn) OVER {S.frame(-19, 0)} END", "compression": f"({over('avg', 'tr', 10)}) / greatest({over('avg', 'tr', 50)}, 1e-4)"},
 )
 register(
-    "fea23_obv_divergence", ind.obv_divergence, {"obv_divergence": S.clip("a - c", -5, 5)},
+    "fea23_obv_divergence", ind.obv_divergence, {"obv_divergence": S.clip("CASE WHEN a IS NOT NULL AND c IS NOT NULL THEN ln(1 + greatest(a, 0)) - ln(1 + greatest(c, 0)) END", -5, 5)},
     f"""y AS (SELECT *, {S.sofar('sum(coalesce(sign(close - pc), 0) * volume)')} AS obv FROM b),
 x AS (SELECT *, {div(S.slope('obv', 21), over('stddev_pop', 'obv', 21))} AS a, {div(S.slope('close', 21), over('stddev_pop', 'close', 21))} AS c FROM y)""", "x",
 )

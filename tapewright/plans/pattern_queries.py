@@ -120,8 +120,8 @@ def label(name: str, function: Callable, body: str, *ctes: str) -> None:
 
 
 label(
-    "lab3_unified", lab.unified, f"SELECT pattern_id, {cols('fwd_gain=g;fwd_loss=l;fwd_end=e')}, k AS breakout_day, {gain_sql('g', 'l < -0.5')} AS label FROM o",
-    after_sql(30), "o AS (SELECT pattern_id, max(b_high / upper - 1) AS g, min(b_low / lower - 1) AS l, arg_max(b_close / upper - 1, day) AS e, min(CASE WHEN b_close > upper * 1.05 THEN day END) AS k FROM j GROUP BY pattern_id)",
+    "lab3_unified", lab.unified, f"SELECT pattern_id, {cols('fwd_gain=g;fwd_loss=l;fwd_end=e;breakout_volume=v')}, CAST(k AS INTEGER) AS breakout_day, {gain_sql('g', 'l < -0.5')} AS label FROM o",
+    after_sql(30, extra=", y.volume AS b_volume"), "o AS (SELECT pattern_id, max(b_high / upper - 1) AS g, min(b_low / lower - 1) AS l, arg_max(b_close / upper - 1, day) AS e, min(CASE WHEN b_close > upper * 1.05 THEN date_diff('day', end_date, b_date) END) AS k, arg_min(b_volume / nullif(mean_volume, 0), day) FILTER (b_close > upper * 1.05) AS v FROM j GROUP BY pattern_id)",
 )
 label(
     "lab4_path", lab.path, f"SELECT pattern_id, s AS stop_day, t AS target_day, {two_sql('t', 's')} AS label FROM o",
@@ -148,9 +148,16 @@ label(
     after_sql(100, 0), "o AS (SELECT pattern_id, min(CASE WHEN b_low <= lower * (1 - 0.1) THEN day END) AS k5, min(CASE WHEN b_high / upper - 1 >= 0.75 THEN day END) AS k4, min(CASE WHEN b_high / upper - 1 >= 0.35 THEN day END) AS k3, max(b_high / upper - 1) AS g FROM j GROUP BY pattern_id)",
 )
 label(
-    "lab15_race", lab.race, f"SELECT pattern_id, k5 AS k5_day, {cols('fwd_gain=g')}, {gain_sql('g')} AS class, CASE WHEN k5 IS NOT NULL AND coalesce({gain_sql('g')}, 0) < 1 THEN 5 ELSE {gain_sql('g')} END AS label FROM o",
+    "lab15_race", lab.race, f"SELECT pattern_id, k5 AS k5_day, {cols('fwd_gain=g')}, {gain_sql('g')} AS class, CASE WHEN k5 IS NOT NULL AND coalesce({gain_sql('g')}, 0) < 1 THEN 5 WHEN {gain_sql('g')} >= 3 THEN {gain_sql('ga')} ELSE {gain_sql('g')} END AS label FROM o",
     after_sql(100, 0), "k AS (SELECT pattern_id, min(CASE WHEN b_low <= lower * (1 - 0.1) THEN day END) AS k5 FROM j GROUP BY pattern_id)",
-    "o AS (SELECT pattern_id, k5, max(CASE WHEN k5 IS NULL OR day < k5 THEN b_high / upper - 1 END) AS g FROM j JOIN k USING (pattern_id) GROUP BY pattern_id, k5)",
+    "o AS (SELECT pattern_id, k5, max(CASE WHEN k5 IS NULL OR day < k5 THEN b_high / upper - 1 END) AS g, max(b_high / upper - 1) AS ga FROM j JOIN k USING (pattern_id) GROUP BY pattern_id, k5)",
+)
+label(
+    "lab7_structural_weekly", lambda p, b: lab.structural(p, b, times=2.0, share_of_box=0.75).select("pattern_id", "entry", "risk", "stop_day", "target_day", "label"),
+    f"SELECT pattern_id, {cols('entry=entry;risk=risk')}, s AS stop_day, t AS target_day, {two_sql('t', 's')} AS label FROM o",
+    after_sql(60), "e AS (SELECT pattern_id, arg_min(b_open, day) AS nx FROM j GROUP BY pattern_id)",
+    "i AS (SELECT j.*, greatest(upper + 0.01, nx) AS entry, (upper - lower) * 0.75 AS risk FROM j JOIN e USING (pattern_id))",
+    "o AS (SELECT pattern_id, entry, risk, min(CASE WHEN b_low < lower THEN day END) AS s, min(CASE WHEN b_high >= entry + 2 * risk THEN day END) AS t FROM i GROUP BY pattern_id, entry, risk)",
 )
 label(
     "lab18_crash_aware", lab.crash_aware, f"SELECT pattern_id, c AS crash_day, {cols('fwd_gain=g')}, d AS double_day, CASE WHEN d IS NOT NULL AND (c IS NULL OR d < c) THEN 4 ELSE {gain_sql('g')} END AS label FROM o",

@@ -59,7 +59,7 @@ add(
       avg(CASE WHEN method4 THEN fwd_gain_20 END) AS m1, avg(CASE WHEN NOT method4 THEN fwd_gain_20 END) AS m0, var_samp(CASE WHEN method4 THEN fwd_gain_20 END) AS v1, var_samp(CASE WHEN NOT method4 THEN fwd_gain_20 END) AS v0 FROM f GROUP BY ticker)""", FLAGS),
 )
 add(
-    "reg1_hysteresis", lambda s, d: st.hysteresis(bars(s, d)).select("ticker", "date", "phase", "fast_ma", "slow_ma", "crossover_date", "days_in_phase"),
+    "reg1_hysteresis", lambda s, d: st.hysteresis(bars(s, d), 20, 60).select("ticker", "date", "phase", "fast_ma", "slow_ma", "crossover_date", "days_in_phase"),
     with_bars(f"SELECT ticker, {DAY}, phase, {cols('fast_ma=f;slow_ma=s')}, CAST(x AS VARCHAR) AS crossover_date, CAST(date_diff('day', x, date) AS INTEGER) AS days_in_phase FROM (SELECT *, last_value(CASE WHEN coalesce(phase <> lp, phase IS NOT NULL) THEN date END IGNORE NULLS) OVER ({S.BY_DATE} ROWS UNBOUNDED PRECEDING) AS x FROM z)",
       f"""x AS (SELECT *, {over('avg', 'close', 20)} AS f, {over('avg', 'close', 60)} AS s FROM b),
 y AS (SELECT *, coalesce(last_value(CASE WHEN f > s * 1.05 THEN 1 WHEN f < s * 0.95 THEN 0 END IGNORE NULLS) OVER w, first_value(CASE WHEN s IS NOT NULL THEN CAST(f > s AS INTEGER) END IGNORE NULLS) OVER w) AS phase FROM x WINDOW w AS ({S.BY_DATE} ROWS UNBOUNDED PRECEDING)),
