@@ -452,3 +452,46 @@ def test_pipeline_stages(spark, tmp_path):
     assert mixed.columns == docs.columns and sum(len(words_of(r.text)) for r in mixed.collect()) == pytest.approx(1.5 * sum(len(words_of(t)) for t in changed.values()), abs=5)
     assert corpus_pipeline.pack_windows(spark, mixed, "").count() >= mixed.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-duplicates", "personal data", "source mixing", "packing"]
+
+
+def drawn_shard(key, node):
+    """The shard of a key by descending the tree level after level, in plain Python."""
+    while node.children:
+        node = min(node.children, key=lambda c: -math.log((long_md5(key, c.name) + 0.5) / (1 << 60)) / c.weight)
+    return node.shard
+
+
+def test_sharding_query_is_rebuilt_in_plain_python(spark, tmp_path):
+    from tapewright.llm import queries
+
+    texts = [None, "", "é中", *[f"text {i}" for i in range(300)]]
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(5, "again", 1), (None, "no id", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, slot int").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op6_sharding(spark, str(tmp_path)).collect()
+    now, grown = sharding.topology(16), sharding.topology(17)
+    want = sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), drawn_shard(i, now), drawn_shard(i, grown)) for i, t, _ in rows)
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32, r.shard, r.grown_shard) for r in out) == want
+    slots = collections.defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+        assert r.law == "key" and r.grown_shard in (r.shard, 16)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    random.seed(12)
+    stop = ["the", "of", "and", "to"]
+    good = [" ".join(random.choice(stop) if i % 4 == 0 else f"word{random.randrange(900)}" for i in range(90)) for _ in range(12)]
+    rows = [(None, good[0], "en", None, 1, 7), (None, good[0], "en", None, 1, 7), (3, good[1], None, "a", None, 7), (3, good[2], "en", "a", 1, 7), (4, None, None, None, None, 7), (5, "", "en", "b", 0, 7)]
+    rows += [(10 + i, t, "en", "b", 1, 7) for i, t in enumerate(good[3:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == corpus_pipeline.COLUMNS, name
+        assert stage(spark, docs.limit(0), "").count() == 0
+    texts = {r.text for r in docs.collect()}
+    assert texts <= set(good) and docs.where("doc_id IS NULL").select("text").distinct().count() <= 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert len(packed) >= docs.count() and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), "").count() == 0
