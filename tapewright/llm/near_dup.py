@@ -252,7 +252,7 @@ def _frequencies(texts: DataFrame, bits: int) -> np.ndarray:
     """How many texts have a labelled shingle of each value of the first ``bits`` bits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, "i8")
+        seen = np.zeros(1 << bits, "i4")
         for batch in batches:
             for *_, labelled, _n in _slices(batch):
                 np.add.at(seen, (labelled >> U64(64 - bits)).astype("i8"), 1)
@@ -263,12 +263,13 @@ def _frequencies(texts: DataFrame, bits: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[at] = sums.get(at, 0) + np.frombuffer(seen, "i8")
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["at", "seen"])
+                sums[at] = sums.get(at, 0) + np.frombuffer(seen, "i4").astype("i8")
+        most = [np.minimum(x, (1 << 31) - 1).astype("i4").tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(most, pa.binary())], names=["at", "seen"])
 
-    schema, out = "at long, seen binary", np.zeros(1 << bits, "i8")
+    schema, out = "at long, seen binary", np.zeros(1 << bits, "i4")
     for row in texts.select("seq").mapInArrow(count, schema).repartition("at").mapInArrow(add, schema).collect():
-        part = np.frombuffer(row["seen"], "i8")
+        part = np.frombuffer(row["seen"], "i4")
         out[row["at"] : row["at"] + len(part)] = part
     return out
 
@@ -323,8 +324,8 @@ def possible_pairs(texts: DataFrame, least: float, most: int = 1 << 30, one_in:
     meet by that share of the shingles only, the same ones in all texts: some pairs, for a first merge.
     """
     tokens = texts.agg(F.sum(F.length("seq"))).first()[0] or 0
-    bits = min(max(int(tokens).bit_length(), 14), 22)
-    shared = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, bits).astype("i4"))
+    bits = min(max(int(tokens).bit_length(), 14), 20)
+    shared = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, bits))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
