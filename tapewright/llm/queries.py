@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import ann, lm, mixing, near_dup, packing, pii, quality, sharding, tokens, warc
+from tapewright.llm import ann, lm, merkle, mixing, near_dup, packing, pii, quality, sharding, tokens, warc
 from tapewright.llm.common import ensure_checkpoint_dir
 from tapewright.llm.sql import SQL
 
@@ -82,6 +83,15 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    offered = {"text": F.when(tampered, lower).otherwise(F.col("text"))}
+    proved = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], part="lang", order=["doc_id"], offered=offered)
+    return proved.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -93,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_lm_scores": op10_lm_scores,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 

@@ -66,4 +66,45 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest,
 FROM f JOIN x ON x.h = f.h || '0'"""
 
 
-SQL = {"op3_quality_rules": op3(), "op9_warc": op9()}
+def op11() -> str:
+    told = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    record = lambda text: "sha256(" + " || ".join(told(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    # the CRC of a decimal number, bit by bit
+    bits = "list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(4294967295, list_reduce([4294967295] || [CAST(ascii(d) AS BIGINT) FOR d IN string_split(CAST(doc_id AS VARCHAR), '')], lambda c, b: {bits}))"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def grown(name: str, leaves: str) -> str:
+        """Levels of the trees over leaves (tree, place, h), and each node's list of its run."""
+        return f"""{name} AS (
+  SELECT tree, 0 AS level, place, h, count(*) OVER (PARTITION BY tree) AS n FROM ({leaves})
+  UNION ALL
+  SELECT tree, level + 1, place // 8, sha256(string_agg(h, '' ORDER BY place)), any_value((n + 7) // 8)
+  FROM {name} WHERE n > 1 GROUP BY tree, level, place // 8),
+{name}_steps AS (
+  SELECT a.tree, a.level, a.place, string_agg(b.h, '' ORDER BY b.place) FILTER (b.place < a.place) AS l,
+         string_agg(b.h, '' ORDER BY b.place) FILTER (b.place > a.place) AS r
+  FROM {name} a JOIN {name} b ON a.tree = b.tree AND a.level = b.level AND a.place // 8 = b.place // 8 WHERE a.n > 1 GROUP BY ALL)"""
+
+    way = lambda who: f"SELECT {who}, s.level, coalesce(l, '') AS l, coalesce(r, '') AS r FROM"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS tree, {record('text')} AS leaf,
+         CASE WHEN {crc} % 3 = 0 THEN {record(lower)} ELSE {record('text')} END AS offered FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d),
+{grown('part', 'SELECT tree, place, leaf AS h FROM o')},
+subroots AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS place FROM part WHERE n = 1),
+{grown('top', "SELECT 'top' AS tree, place, h FROM subroots")},
+ways AS (
+  {way('o.row, 0 AS above')} o JOIN part_steps s ON s.tree = o.tree AND s.place = o.place // CAST(8 ** s.level AS BIGINT)
+  UNION ALL
+  {way('o.row, 1 AS above')} o JOIN subroots u ON u.tree = o.tree JOIN top_steps s ON s.place = u.place // CAST(8 ** s.level AS BIGINT)),
+way AS (SELECT row, list({{'l': l, 'r': r}} ORDER BY above, level) AS steps, string_agg(l || r, '' ORDER BY above, level) AS siblings FROM ways GROUP BY row),
+f AS (
+  SELECT doc_id, leaf, u.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+         coalesce(list_reduce([offered] || [s.l || '|' || s.r FOR s IN steps], lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))), offered) AS folded_root
+  FROM o JOIN subroots u USING (tree) LEFT JOIN way USING (row))
+SELECT *, folded_root = root AS verified FROM f"""
+
+
+SQL = {"op3_quality_rules": op3(), "op9_warc": op9(), "op11_merkle_manifest": op11()}
