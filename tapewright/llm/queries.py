@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import ann, lm, merkle, mixing, near_dup, packing, pii, quality, sharding, tokens, warc
+from tapewright.llm import ann, leaks, lm, merkle, mixing, near_dup, packing, pii, quality, sharding, tokens, warc
 from tapewright.llm.common import ensure_checkpoint_dir
 from tapewright.llm.sql import SQL
 
@@ -92,6 +92,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proved.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.find(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)").alias("n_hit")
+    items_sha256 = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    contaminated = (F.size("spans") > 0).alias("contaminated")
+    return found.select("doc_id", "n_words", n_hit, F.size("items").cast("long").alias("n_items"), items_sha256, contaminated)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -104,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_lm_scores": op10_lm_scores,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_decontamination": op12_decontamination,
 }
 
 

@@ -107,4 +107,22 @@ f AS (
 SELECT *, folded_root = root AS verified FROM f"""
 
 
-SQL = {"op3_quality_rules": op3(), "op9_warc": op9(), "op11_merkle_manifest": op11()}
+def op12() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ws = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {ws} AS ws FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {ws} AS ws FROM benchmark),
+p AS (SELECT DISTINCT item, least(10, len(ws)) AS size, array_to_string(ws[i:i + 9], ' ') AS phrase
+      FROM (SELECT *, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM b WHERE len(ws) > 0)),
+o AS (SELECT row, size, i, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+      FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM p))),
+h AS (SELECT row, item, i, p.size FROM o JOIN p USING (size, phrase)),
+n AS (SELECT row, count(DISTINCT i + k) AS n_hit FROM (SELECT row, i, unnest(range(size)) AS k FROM h) GROUP BY row),
+x AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM h) GROUP BY row)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (row) LEFT JOIN x USING (row)"""
+
+
+SQL = {"op3_quality_rules": op3(), "op9_warc": op9(), "op11_merkle_manifest": op11(), "op12_decontamination": op12()}
