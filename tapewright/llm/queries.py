@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import ann, leaks, lm, merkle, mixing, near_dup, packing, pii, quality, sharding, tokens, warc
+from tapewright.llm import alignment, ann, leaks, lm, merkle, mixing, near_dup, packing, pii, quality, sharding, tokens, warc
 from tapewright.llm.common import ensure_checkpoint_dir
 from tapewright.llm.sql import SQL
 
@@ -100,6 +100,12 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit, F.size("items").cast("long").alias("n_items"), items_sha256, contaminated)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rows, _ = alignment.align(docs, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scores": op10_lm_scores,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_decontamination": op12_decontamination,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 
