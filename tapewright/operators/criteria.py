@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.rolling import by_date, high, low, mean, quantile, ratio, rolling, rows, spread, total
-from tapewright.operators.indicators import adx, percentile_rank
+from tapewright.functions.rolling import by_date, deviation, high, lag, low, mean, quantile, ratio, rolling, rows, spread, total
+from tapewright.operators.indicators import adx, average_rank, percentile_rank
 from tapewright.operators.labels import after
 
 
@@ -64,10 +64,37 @@ def consolidations(bars: DataFrame, meets: str, qualifying: int = 10, timeout: i
     return found.select("ticker", "p.*")
 
 
-def method_bounds(flagged: DataFrame, n: int = 20, warm_up: int = 100) -> DataFrame:
-    """Each method's box on flagged rows with enough history: highs and lows of the last n rows, or close and ATR."""
-    df = flagged.withColumns({"m1_upper": F.when(F.col("method1") & (F.col("rn") > warm_up), high("close", n)), "m1_lower": F.when(F.col("method1") & (F.col("rn") > warm_up), low("close", n)), "m2_upper": F.when(F.col("method2") & (F.col("rn") > n), high("high", n)), "m2_lower": F.when(F.col("method2") & (F.col("rn") > n), low("low", n)), "m4_upper": F.when(F.col("method4") & (F.col("rn") > warm_up), F.col("close") * (1 + F.col("atr_share"))), "m4_lower": F.when(F.col("method4") & (F.col("rn") > warm_up), F.col("close") * (1 - F.col("atr_share")))})
-    return df
+def method_bounds(bars: DataFrame, share: float = 0.3, range_ratio: float = 0.65, adx: float = 32.0, volume_ratio: float = 0.35, volatility: float = 0.4, m2_width: float = 0.15, m3_width: float = 0.12, atrs: float = 1.5, power: float = 1.005) -> DataFrame:
+    """Four methods by day, each with the box that it sees: bounds are null where the method doesn't hold.
+
+    1: the band width ranks low among 100 rows; 2: a small daily range and no trend, in a narrow box of 11 rows; 3: small
+    volume in a narrow box of 16 rows; 4: the average true range ranks low and volatility is small, bounds so many of it
+    off the close but within the last 21 rows. Methods 1 and 4 need 100 rows before, the others 20.
+    """
+    dm_up, dm_down = F.col("high") - lag("high"), lag("low") - F.col("low")
+    df = bars.withColumns({
+        "bb_width": ratio(4 * deviation("close", 20, 15), mean("close", 20, 15)), "atr_14": mean("tr", 14, 10), "volatility_20": deviation("ret", 20, 15) * 252**0.5,
+        "volume_ratio_20": ratio("volume", mean("volume", 20, 15)), "daily_range": ratio(F.col("high") - F.col("low"), "close"),
+        "__up": F.when(dm_up > dm_down, F.greatest(dm_up, F.lit(0.0))).otherwise(0.0), "__down": F.when(dm_down > dm_up, F.greatest(dm_down, F.lit(0.0))).otherwise(0.0),
+    })
+    df = df.withColumns({"range_ratio_20": ratio("daily_range", mean("daily_range", 20, 15)), "__p": 100 * ratio(mean("__up", 14, 10), "atr_14"), "__m": 100 * ratio(mean("__down", 14, 10), "atr_14")})
+    dx = F.when(F.col("__p") + F.col("__m") > 0, 100 * F.abs(F.col("__p") - F.col("__m")) / (F.col("__p") + F.col("__m")))
+    df = df.withColumn("__dx", dx).withColumn("adx_10", mean("__dx", 14, 10))
+    df = average_rank(average_rank(df, "bb_width", out="bb_rank"), "atr_14", out="atr_rank")
+    box = {n: (F.max("high").over(rows(-n, 0)), F.min("low").over(rows(-n, 0))) for n in (20, 10, 15)}
+    df = df.withColumns({f"__{side}{n}": pair[k] for n, pair in box.items() for k, side in enumerate(("top", "bottom"))})
+    width = lambda n: (F.col(f"__top{n}") - F.col(f"__bottom{n}")) / F.col("close")
+    long, short, priced = F.col("rn") > 100, F.col("rn") > 20, F.col("close") > 0
+    holds = {
+        1: long & (F.col("bb_rank") < share), 2: short & (F.col("range_ratio_20") < range_ratio) & (F.col("adx_10") < adx) & priced & (width(10) < m2_width),
+        3: short & (F.col("volume_ratio_20") < volume_ratio) & priced & (width(15) < m3_width), 4: long & (F.col("atr_rank") < share) & (F.col("volatility_20") < volatility) & (F.col("atr_14") > 0),
+    }
+    upper = {k: F.col(f"__top{n}") for k, n in ((1, 20), (2, 10), (3, 15))} | {4: F.least(F.col("close") + atrs * F.col("atr_14"), F.col("__top20"))}
+    lower = {k: F.col(f"__bottom{n}") for k, n in ((1, 20), (2, 10), (3, 15))} | {4: F.greatest(F.col("close") - atrs * F.col("atr_14"), F.col("__bottom20"))}
+    out = {}
+    for k, condition in holds.items():
+        out |= {f"m{k}": F.coalesce(condition, F.lit(False)), f"m{k}_upper": F.when(condition, upper[k]), f"m{k}_lower": F.when(condition, lower[k]), f"m{k}_power": F.when(condition, upper[k] * power)}
+    return df.withColumns(out).drop(*[c for c in df.columns if c.startswith("__")])
 
 
 def candidate_rows(bars: DataFrame, n: int = 60, wick: float = 5.0, body: float = 3.0) -> DataFrame:

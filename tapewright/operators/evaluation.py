@@ -14,20 +14,22 @@ VALUES = (-2.0, -0.1, 5.0)
 
 
 def expected_value(predictions: DataFrame, danger: float = 0.5) -> DataFrame:
-    """ev, and a signal: strong from 3, good from 2, weak from 1, avoid where danger is too likely, else none."""
+    """ev, and a signal: STRONG from 5, GOOD from 3, MODERATE from 1; AVOID below, and where danger is too likely."""
     ev = sum((F.col(f"p{i}") * v for i, v in enumerate(VALUES[1:], 1)), F.col("p0") * VALUES[0])
     df = predictions.withColumn("ev", ev)
-    return df.withColumn("signal", F.when(F.col("p0") > danger, "avoid").when(F.col("ev") >= 3, "strong").when(F.col("ev") >= 2, "good").when(F.col("ev") >= 1, "weak").otherwise("none"))
+    return df.withColumn("signal", F.when(F.col("p0") > danger, "AVOID").when(F.col("ev") >= 5, "STRONG").when(F.col("ev") >= 3, "GOOD").when(F.col("ev") >= 1, "MODERATE").otherwise("AVOID"))
 
 
-def sized(plan: DataFrame, risk: float = 250.0, capital: float = 50_000.0, share_of_volume: float = 0.1) -> DataFrame:
-    """Shares by risk, capital and a share of mean volume, in tranches of 50, 25 and 25 % sold at 3, 5 and 10 risks.
+def sized(plan: DataFrame, risk: float = 250.0, capital: float = 50_000.0, share_of_money: float = 0.1, offset: float = 0.01) -> DataFrame:
+    """Whole shares by risk, capital and a share of the mean money traded, in tranches of 50, 25 and 25 % sold at 3, 5
+    and 10 risks. The order is triggered above the upper bound and limited to half a risk above that.
 
-    Rows have upper, lower and mean_volume.
+    Rows have upper, lower and money; one without risk gets no shares, one without money isn't held by that bound.
     """
-    entry, one = F.col("upper") + 0.01, F.col("upper") + 0.01 - F.col("lower")
-    shares = F.floor(F.least(F.lit(risk) / one, F.lit(capital) / entry, F.col("mean_volume") * share_of_volume))
-    df = plan.withColumns({"entry": entry, "limit": entry * 1.02, "risk": one, "shares": F.greatest(shares, F.lit(0)).cast("long")})
+    entry = F.col("upper") + offset
+    one = entry - F.col("lower")
+    shares = F.least(F.floor(F.lit(risk) / one), F.floor(F.lit(capital) / entry), F.when(F.col("money") > 0, F.floor(F.col("money") * share_of_money / entry)))
+    df = plan.withColumns({"entry": entry, "limit": entry + 0.5 * F.greatest(one, F.lit(0.0)), "risk": one, "shares": F.when(one > 0, F.greatest(shares, F.lit(0))).otherwise(0).cast("long")})
     first, second = F.floor(F.col("shares") * 0.5), F.floor(F.col("shares") * 0.25)
     return df.withColumns({"tranche_1": first, "tranche_2": second, "tranche_3": F.col("shares") - first - second, "sell_1": entry + 3 * one, "sell_2": entry + 5 * one, "sell_3": entry + 10 * one})
 
@@ -35,7 +37,7 @@ def sized(plan: DataFrame, risk: float = 250.0, capital: float = 50_000.0, share
 def execution_plan(predictions: DataFrame, patterns: DataFrame, per_group: int = 3, group: str = "ticker", least: float = 0.0, **limits: float) -> DataFrame:
     """Predictions with their patterns, sized (within ``limits``), ranked by expected value, and so many a group in that
     order."""
-    df = sized(expected_value(predictions).join(patterns, "pattern_id"), **limits).where((F.col("ev") > least) & (F.col("signal") != "avoid") & (F.col("shares") > 0))
+    df = sized(expected_value(predictions).join(patterns, "pattern_id"), **limits).where((F.col("ev") > least) & (F.col("signal") != "AVOID") & (F.col("shares") > 0))
     best = Window.partitionBy(group).orderBy(F.desc("ev"), "pattern_id")
     return df.withColumn("place", F.row_number().over(best)).where(F.col("place") <= per_group)
 
@@ -56,7 +58,7 @@ def at_thresholds(scored: DataFrame, hit: str, bounds: list[float]) -> DataFrame
 def ev_calibration(scored: DataFrame, actual: str, bins: int = 10) -> DataFrame:
     """Mean expected and actual value by bins of equal numbers of rows.
 
-    The bins' edges are approximate quantiles, a fixed number of values, made in one pass that merges sketches.
+    The bins' edges are exact quantiles, whose counts of distinct values are merged in one task.
     """
     edges = scored.agg(F.array_distinct(F.percentile("ev", F.array(*[F.lit(i / bins) for i in range(1, bins)]))).alias("__e"))
     df = scored.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("__e", lambda e: e < F.col("ev"))))

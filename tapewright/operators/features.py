@@ -197,21 +197,43 @@ def coil_at_end(patterns: DataFrame, bars: DataFrame, danger: float = 0.3) -> Da
     return joined.select("pattern_id", at.alias("price_position"), (at <= danger).alias("in_danger"), F.col("c_shock").alias("volume_shock"), F.col("c_bbw").alias("bbw"), F.col("c_slope").alias("bbw_slope"), F.col("c_trend").alias("volume_trend"), coil.alias("coil_intensity"))
 
 
-def time_to_peak(patterns: DataFrame, bars: DataFrame, n: int = 60) -> DataFrame:
-    """Rows to the highest high and lowest low after the end, speed, fall and recovery after the peak (fwd_ columns)."""
-    j = after(patterns, bars, n)
-    peaks = j.groupBy("pattern_id").agg(F.max("b_high").alias("peak"), F.min_by("day", F.struct(-F.col("b_high"), F.col("day"))).alias("peak_day"), F.min_by("day", F.struct("b_low", "day")).alias("trough_day"))
-    later = j.join(peaks, "pattern_id").where("day > peak_day").groupBy("pattern_id").agg(F.min("b_low").alias("low_after"), F.max("b_close").alias("close_after"))
-    out = peaks.join(later, "pattern_id", "left").join(patterns.select("pattern_id", "close"), "pattern_id")
-    gain = F.col("peak") / F.col("close") - 1
-    timing = F.when(F.col("peak_day") <= 5, "immediate").when(F.col("peak_day") <= 15, "fast").when(F.col("peak_day") <= 30, "medium").otherwise("slow")
-    return out.select("pattern_id", "peak_day", "trough_day", gain.alias("fwd_gain"), (gain / F.col("peak_day")).alias("fwd_velocity"), timing.alias("timing"), (F.col("low_after") / F.col("peak") - 1).alias("fwd_fall"), (F.col("close_after") / F.col("peak")).alias("fwd_recovery"), ((F.col("peak_day") <= 5) & (gain > 0.3)).alias("explosive"), ((F.col("peak_day") > 30) & (gain > 0.1)).alias("grind"))
+def time_to_peak(patterns: DataFrame, bars: DataFrame, n: int = 100) -> DataFrame:
+    """When the highest and the lowest of n closes come (the pattern's last row is day 0 and their base), how fast, how
+    much of the gain stays at the end, and how steadily it rose (fwd_ columns). With fewer rows all are 0."""
+    own = Window.partitionBy("pattern_id")
+    j = after(patterns, bars, n - 1, first=0)
+    j = j.withColumns({"peak_day": F.min_by("day", F.struct(-F.col("b_close"), F.col("day"))).over(own), "b_ret": F.col("b_close") / F.lag("b_close").over(own.orderBy("day")) - 1})
+    up = F.col("day").between(1, F.col("peak_day"))
+    out = j.groupBy("pattern_id", "close", "peak_day").agg(
+        F.count("*").alias("k"), F.max("b_close").alias("peak"), F.min("b_close").alias("least"), F.min_by("day", F.struct("b_close", "day")).alias("trough_day"), F.max_by("b_close", "day").alias("last"),
+        F.min(F.when(F.col("day") >= F.col("peak_day"), F.col("b_close"))).alias("low_after"), F.count_if(up & (F.col("b_ret") > 0)).alias("rising"), F.stddev_pop(F.when(up, F.col("b_ret"))).alias("spread"),
+    )
+    gain, end, at = F.col("peak") / F.col("close") - 1, F.col("last") / F.col("close") - 1, F.col("peak_day")
+    fall = F.when(at < n - 1, F.col("low_after") / F.col("peak") - 1).otherwise(0.0)
+    stays = F.when(gain > 0, end / gain).otherwise(0.0)
+    recovery = F.when((fall < -0.05) & (F.col("last") > F.col("peak") * 0.95), 1.0).when((fall < -0.05) & (F.col("last") > F.col("peak") * 0.9), 0.5).otherwise(0.0)
+    velocity, ratio_, whole = F.when(at > 0, gain / at).otherwise(0.0), at / (n - 1), F.col("k") >= n
+    values = {
+        "peak_day": at, "trough_day": F.col("trough_day"), "fwd_gain": gain, "fwd_loss": F.col("least") / F.col("close") - 1, "fwd_end": end, "fwd_velocity": velocity, "fwd_sustainability": stays,
+        "fwd_retention": clip(stays, 0.0, 1.0), "fwd_fall": fall, "fwd_recovery": recovery, "fwd_consistency": F.when(at > 1, F.col("rising") / at).otherwise(0.0), "fwd_spread": F.when(at > 1, F.col("spread")).otherwise(0.0),
+        "explosive": ((velocity > 0.03) & (at <= 30) & (gain >= 0.4)).cast("int"), "grind": ((at > 60) & (gain >= 0.4)).cast("int"), "peak_at": ratio_,
+    }
+    timing = F.when(~whole, "unknown").when(ratio_ < 0.33, "early").when(ratio_ < 0.66, "mid").otherwise("late")
+    return out.select("pattern_id", *[F.when(whole, v).otherwise(0).alias(k) for k, v in values.items()], timing.alias("timing"))
 
 
 def move_class(timed: DataFrame) -> DataFrame:
-    """Ordered rules over :func:`time_to_peak`: the first that holds names the move."""
-    rule = F.when(F.col("explosive") & (F.col("fwd_fall") > -0.3), "explosive_sustained").when(F.col("explosive"), "explosive_failed").when(F.col("grind"), "grind").when(F.col("fwd_gain") > 0.15, "steady").when(F.col("fwd_gain") > 0.05, "weak").otherwise("none")
-    return timed.withColumn("move", rule)
+    """Ordered rules over :func:`time_to_peak`: the first that holds names the move and its score."""
+    gain, speed, stays = F.col("fwd_gain"), F.col("fwd_velocity"), F.col("fwd_sustainability")
+    fast = (speed > 0.025) & (gain >= 0.4)
+    rules = (
+        ("explosive_high_quality", 1.0, fast & (stays > 0.7)), ("explosive_reversal", 0.5, fast & (stays < 0.5)), ("slow_grind", 0.3, (F.col("peak_day") > 60) & (gain >= 0.4)),
+        ("moderate_quality", 0.6, (speed > 0.015) & (gain >= 0.25) & (stays > 0.6)), ("failed", 0.0, gain < 0.15),
+    )
+    name, score = F.when(F.lit(False), ""), F.when(F.lit(False), 0.0)
+    for move, value, holds in rules:
+        name, score = name.when(holds, move), score.when(holds, value)
+    return timed.withColumns({"move": name.otherwise("mixed"), "move_score": score.otherwise(0.4)})
 
 
 def ignition(bars: DataFrame, n: int = 20, threshold: float = 0.5) -> DataFrame:

@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What a filing of an issuer in trouble speaks of.
-FILING_PATTERNS = {
-    "toxic": r"(?i)convertible (?:note|debenture)|equity line|at-the-market|death spiral|floorless",
-    "shell": r"(?i)shell company|reverse merger|blank check|custodianship",
-    "lender": r"(?i)\b(?:capital|fund|partners) (?:llc|lp|ltd)\b",
+#: Names of lenders, terms of financing and words of shells that a filing is screened for.
+LENDERS = (
+    "streeterville capital", "jmj financial", r"st\.?\s*george investments", "auctus fund", "adar bays", "commonwealth investment", "crown bridge", "eagle equities", "ema financial", "firstfire",
+    "geneva roth", r"grey\s*wood", "gs capital", "gsummit", "ironridge", "jefferson street", "kingsbrook", "labrys", "lincoln park capital", "magna group", "mammoth corporation", "maxim group",
+    "mercer promotion", "morningview", "power up lending", "redstart", "sbi investments", "southridge", "tangiers capital", "tonaquint", "triton funds", "typenex", "vis vires", "vystar", "yorkville advisors",
+)
+TERMS = {
+    "floorless_conversion": r"(?is)(conversion\s+price|convertible\s+at).{0,50}(discount|percentage).{0,50}(lowest|average|closing|trading\s+price|vwap)",
+    "variable_rate": r"(?i)(variable|floating).{0,30}(conversion\s+rate|conversion\s+price)",
+    "no_floor": r"(?i)(no\s+floor|without\s+a\s+floor).{0,100}(conversion|price)",
+    "death_spiral": r"(?i)death\s+spiral|toxic\s+convert|dilutive\s+financing",
 }
-#: Kinds of filings in which financing terms are looked for.
-FINANCING_FILINGS = ("8-K", "S-1", "S-3", "424B5")
+SHELLS = ("nominal operations", "shell company", "blank check", "seeking a business combination", "no revenue", "development stage", "no operating history")
+#: Kinds of filings in which terms of financing are looked for.
+FINANCING_FILINGS = ("8-K", "10-Q", "10-K", "S-1", "S-3", "424B")
+FILING_PATTERNS = {"lender": "(?i)" + "|".join(LENDERS), **TERMS, "shell": "(?i)" + "|".join(SHELLS)}
 
 
 def chained(patterns: DataFrame, days: int = 10) -> DataFrame:
@@ -84,11 +92,17 @@ def oversampled(patterns: DataFrame, score: str, share: float = 0.2, copies: int
 
 
 def filings(docs: DataFrame, text: str = "text", kind: str = "filing_type") -> DataFrame:
-    """Filings with a flag per kind of trouble that their text speaks of, and whether they pass.
+    """Filings with a flag per kind of trouble that their text speaks of, the flags' names, and whether they pass.
 
-    Lenders anywhere, and toxic terms in filings about financing, fail a filing; a shell only warns.
+    A lender anywhere, and terms in filings whose kind contains one of FINANCING_FILINGS, fail a filing; a shell only
+    warns. Null texts and kinds have no flags.
     """
     flags = {k: F.coalesce(F.col(text).rlike(p), F.lit(False)) for k, p in FILING_PATTERNS.items()}
-    flags["toxic"] = flags["toxic"] & F.coalesce(F.col(kind).isin(*FINANCING_FILINGS), F.lit(False))
-    df = docs.withColumns(flags)
-    return df.withColumns({"flags": F.array_join(F.array_compact(F.array(*[F.when(F.col(k), k) for k in FILING_PATTERNS])), ","), "passes": ~(F.col("toxic") | F.col("lender"))})
+    financing = F.coalesce(F.upper(kind).rlike("|".join(FINANCING_FILINGS)), F.lit(False))
+    df = docs.withColumns({k: v & financing if k in TERMS else v for k, v in flags.items()})
+    critical = F.col("lender")
+    for k in TERMS:
+        critical = critical | F.col(k)
+    return df.withColumns({"flags": F.array_join(F.array_compact(F.array(*[F.when(F.col(k), k) for k in FILING_PATTERNS])), ","), "passes": ~critical})
+
+

@@ -17,8 +17,10 @@ def _race(target: str, stop: str) -> Column:
     return F.when(F.col(target) < F.coalesce(stop, F.lit(NEVER)), 2).when(F.col(stop).isNotNull(), 0).otherwise(1)
 
 
-#: What a class is worth, in multiples of risk.
-CLASS_VALUES = {0: -0.2, 1: 1.0, 2: 3.0, 3: 10.0, 4: 10.0, 5: -10.0}
+#: What a class by gain (5: broken) is worth.
+CLASS_VALUES = {0: -2.0, 1: -0.2, 2: 1.0, 3: 3.0, 4: 10.0, 5: -10.0}
+#: What danger, noise and target are worth in a bear (0), bull (1) and sideways (2) market.
+PHASE_VALUES = {0: (-2.0, -0.2, 3.0), 1: (-2.0, -0.1, 5.0), 2: (-2.0, -0.15, 4.0)}
 
 
 def class_value(label: Column) -> Column:
@@ -28,11 +30,27 @@ def class_value(label: Column) -> Column:
     return out
 
 
-def atr_path(patterns: DataFrame, bars: DataFrame, n: int = 40, stop: float = 1.0, target: float = 3.0) -> DataFrame:
-    """Stop and target so many simple ATRs (14 rows, up to the pattern's last) off the close."""
-    a = bars.select(F.col("ticker").alias("a_ticker"), F.col("rn").alias("a_rn"), mean("tr", 14).alias("atr"))
-    p = patterns.join(a, (F.col("ticker") == F.col("a_ticker")) & (F.col("end_rn") == F.col("a_rn"))).drop("a_ticker", "a_rn")
-    j = after(p.withColumns({"stop": F.col("close") - stop * F.col("atr"), "target": F.col("close") + target * F.col("atr")}), bars, n)
+def phase_value(label: Column, phase: Column) -> Column:
+    """Worth of danger (0), noise (1) and target (2) in a phase; a phase that isn't known counts as a bull's."""
+    out = F.when(F.lit(False), 0.0)
+    for p, values in PHASE_VALUES.items():
+        for k, v in enumerate(values):
+            out = out.when((label == k) & (F.coalesce(phase, F.lit(1)) == p), v)
+    return out
+
+
+def _wilder(value: str, n: int, reach: int) -> Column:
+    """Wilder's mean of the last ``reach`` rows alone, of which the first weighs 1; null without any."""
+    seen = F.collect_list(value).over(rows(1 - reach, 0))
+    return F.aggregate(F.slice(seen, 2, reach), F.get(seen, F.lit(0)), lambda m, x: m + (x - m) / n)
+
+
+def atr_path(patterns: DataFrame, bars: DataFrame, n: int = 40, stop: float = 2.0, target: float = 5.0, atr: int = 14) -> DataFrame:
+    """Stop so many average true ranges below the lower bound, target above the close: Wilder's mean of the 2 * ``atr``
+    rows up to the pattern's last. Patterns without a positive one have no row."""
+    a = bars.select(F.col("ticker").alias("a_ticker"), F.col("rn").alias("a_rn"), _wilder("tr", atr, 2 * atr).alias("atr"))
+    p = patterns.join(a, (F.col("ticker") == F.col("a_ticker")) & (F.col("end_rn") == F.col("a_rn"))).drop("a_ticker", "a_rn").where("atr > 0")
+    j = after(p.withColumns({"stop": F.col("lower") - stop * F.col("atr"), "target": F.col("close") + target * F.col("atr")}), bars, n)
     out = by_pattern(j, first_day(F.col("b_low") <= F.col("stop")).alias("stop_day"), first_day((F.col("b_close") >= F.col("target")) & (F.col("b_next_open") >= F.col("target"))).alias("target_day"))
     return out.withColumn("label", _race("target_day", "stop_day"))
 
@@ -48,13 +66,15 @@ def profiled_path(patterns: DataFrame, bars: DataFrame, profiles: DataFrame, n:
     return out.withColumn("label", _race("target_day", "stop_day"))
 
 
-def volume_confirmed(patterns: DataFrame, bars: DataFrame, n: int = 60, run: int = 3, times: float = 2.0, money: float = 50_000.0) -> DataFrame:
-    """Whether ``run`` rows in a row after the end have large volume and enough money, and the first such day."""
-    loud = (F.col("volume") > times * mean("volume", 20)) & (F.col("close") * F.col("volume") >= money)
-    b = bars.withColumn("__loud", F.coalesce(loud, F.lit(False)).cast("int")).withColumn("volume", F.sum("__loud").over(rows(1 - run, 0)).cast("double"))
-    j = after(patterns, b, n)
-    out = by_pattern(j, first_day((F.col("b_volume") >= run) & (F.col("day") >= run)).alias("confirmed_day"))
-    return out.withColumn("confirmed", F.col("confirmed_day").isNotNull())
+def volume_confirmed(patterns: DataFrame, bars: DataFrame, n: int = 60, run: int = 3, times: float = 2.0, money: float = 50_000.0, usual: int = 20) -> DataFrame:
+    """Whether ``run`` rows in a row after the end have enough money and more volume than ``times`` the mean of the
+    pattern's last row and the ``usual`` ones before it, which stays fixed; and the day that first completes them."""
+    m = bars.select(F.col("ticker").alias("m_ticker"), F.col("rn").alias("m_rn"), mean("volume", usual + 1, least=1).alias("usual_volume"))
+    p = patterns.join(m, (F.col("ticker") == F.col("m_ticker")) & (F.col("end_rn") == F.col("m_rn"))).drop("m_ticker", "m_rn")
+    loud = (F.col("b_volume") > times * F.col("usual_volume")) & (F.col("b_close") * F.col("b_volume") >= money)
+    last = Window.partitionBy("pattern_id").orderBy("day").rowsBetween(1 - run, 0)
+    j = after(p, bars, n).withColumn("__loud", F.sum(F.coalesce(loud, F.lit(False)).cast("int")).over(last))
+    return by_pattern(j, first_day(F.col("__loud") >= run).alias("confirmed_day")).withColumn("confirmed", F.col("confirmed_day").isNotNull())
 
 
 def dynamic_barriers(patterns: DataFrame, volatility: Column, up: float = 0.3, down: float = 0.15, floor: float = 0.01) -> DataFrame:
@@ -88,17 +108,22 @@ def respected(patterns: DataFrame, bars: DataFrame, first: int = 15, n: int = 10
     return out.withColumns({"anxious": F.col("rows_below") >= 7, "label": gain_class(F.col("fwd_gain"))})
 
 
-def graceful_breach(patterns: DataFrame, bars: DataFrame, n: int = 100, drop: float = 0.1, run: int = 7) -> DataFrame:
-    """First deep fall under the lower bound; up to it the largest gain, the first close below and the longest run of
-    such closes. ``run`` closes without a deep fall are anxious, a deep fall is class 5."""
+def graceful_breach(patterns: DataFrame, bars: DataFrame, n: int = 100, drop: float = 0.1, run: int = 7, k4: float = 0.75, k3: float = 0.35) -> DataFrame:
+    """The first day on which a deep fall under the lower bound (5) or a rise above the upper one (4, 3; in this order on
+    one day) decides; without one, the class by the largest gain. Up to that day: the first close below the lower bound,
+    the longest run of such closes, and whether ``run`` of them came without a deep fall (anxious)."""
     j = after(patterns, bars, n, first=0)
-    deep = by_pattern(j, first_day(F.col("b_low") <= F.col("lower") * (1 - drop)).alias("breach_day"))
-    upto = j.join(deep, "pattern_id").where(F.col("breach_day").isNull() | (F.col("day") <= F.col("breach_day")))
-    upto = upto.withColumn("__low", (F.col("b_close") < F.col("lower")).cast("int"))
+    rise, deep = F.col("b_high") / F.col("upper") - 1, F.col("b_low") <= F.col("lower") * (1 - drop)
+    days = by_pattern(j, first_day(deep).alias("k5"), first_day(rise >= k4).alias("k4"), first_day(rise >= k3).alias("k3"))
+    upto = j.join(days.withColumn("breach_day", F.least("k5", "k4", "k3")), "pattern_id").where(F.col("breach_day").isNull() | (F.col("day") <= F.col("breach_day")))
+    upto = upto.withColumns({"__low": (F.col("b_close") < F.col("lower")).cast("int"), "__shallow": (~deep).cast("int")})
     w = Window.partitionBy("pattern_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    runs = upto.withColumn("__g", F.sum(1 - F.col("__low")).over(w)).withColumn("__run", F.sum("__low").over(Window.partitionBy("pattern_id", "__g")))
-    out = runs.groupBy("pattern_id", "breach_day").agg(first_day(F.col("__low") == 1).alias("first_below"), F.max("__run").alias("longest_below"), F.max(F.col("b_high") / F.col("upper") - 1).alias("fwd_gain"))
-    return out.withColumns({"anxious": F.col("breach_day").isNull() & (F.col("longest_below") >= run), "label": gain_class(F.col("fwd_gain"), F.col("breach_day").isNotNull())})
+    own = Window.partitionBy("pattern_id", "__g")
+    runs = upto.withColumn("__g", F.sum(1 - F.col("__low")).over(w)).withColumns({"__run": F.sum("__low").over(own), "__quiet": F.sum(F.col("__low") * F.col("__shallow")).over(own)})
+    first = F.col("breach_day").isNotNull()
+    out = runs.groupBy("pattern_id", "k5", "k4", "k3", "breach_day").agg(first_day(F.col("__low") == 1).alias("first_below"), F.max("__run").alias("longest_below"), F.max("__quiet").alias("__quiet"), F.max(rise).alias("fwd_gain"))
+    label = F.when(first & (F.col("k5") == F.col("breach_day")), 5).when(first & (F.col("k4") == F.col("breach_day")), 4).when(first, 3).otherwise(gain_class(F.col("fwd_gain")))
+    return out.withColumns({"anxious": F.col("__quiet") >= run, "label": label}).drop("k5", "k4", "k3", "__quiet")
 
 
 def best_of_group(labelled: DataFrame, key: str, order: str, label: str = "label") -> DataFrame:
@@ -171,10 +196,13 @@ def re_entries(patterns: DataFrame, bars: DataFrame, n: int = 60) -> DataFrame:
     return j.groupBy("pattern_id").agg(F.count_if(enters).alias("re_entries"), F.avg(F.when(enters & F.col("__exit").isNotNull(), F.col("day") - F.col("__exit") - 1)).alias("rows_outside"))
 
 
-def risk_metrics(patterns: DataFrame, bars: DataFrame, n: int = 60) -> DataFrame:
-    """Best, worst and final result in multiples of the risk from the close to the lower bound."""
-    r = lambda x: ratio(x - F.col("close"), F.col("close") - F.col("lower"))
-    return by_pattern(after(patterns, bars, n), F.max(r(F.col("b_high"))).alias("fwd_max_r"), F.min(r(F.col("b_low"))).alias("fwd_min_r"), F.max_by(r(F.col("b_close")), "day").alias("fwd_final_r"), F.count("*").alias("rows"))
+def risk_metrics(patterns: DataFrame, bars: DataFrame, n: int = 60, buffer: float = 0.02) -> DataFrame:
+    """Best and worst close in multiples of the risk from the close to the stop below the lower bound, and what was
+    achieved: -1 if the stop was passed, else the best. All are 0 where there is no risk."""
+    p = patterns.withColumn("risk", F.col("close") - F.col("lower") * (1 - buffer))
+    r = lambda x: F.when(F.col("risk") <= 0, 0.0).otherwise((x - F.col("close")) / F.col("risk"))
+    out = by_pattern(after(p, bars, n), F.max(F.greatest("risk", F.lit(0.0))).alias("risk"), F.max(r(F.col("b_close"))).alias("fwd_max_r"), F.min(r(F.col("b_close"))).alias("fwd_min_r"), F.count("*").alias("rows"))
+    return out.withColumn("achieved_r", F.when(F.col("fwd_min_r") < -1, -1.0).otherwise(F.col("fwd_max_r")))
 
 
 def merged_class(label: Column) -> Column:
@@ -183,8 +211,8 @@ def merged_class(label: Column) -> Column:
 
 
 def signed_class(gain: Column) -> Column:
-    """Class by the signed gain: losses above a tenth are 5, other losses 0."""
-    return F.when(gain < -0.1, 5).when(gain < 0.05, 0).when(gain < 0.15, 1).when(gain < 0.35, 2).when(gain < 0.75, 3).when(gain.isNotNull(), 4)
+    """Class by the signed gain: a loss of more than a twentieth is 5."""
+    return F.when(gain < -0.05, 5).when(gain < 0.05, 0).when(gain < 0.15, 1).when(gain < 0.35, 2).when(gain < 0.75, 3).when(gain.isNotNull(), 4)
 
 
 def ripeness(patterns: DataFrame, reference: str, last: DataFrame) -> DataFrame:

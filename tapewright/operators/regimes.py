@@ -28,22 +28,50 @@ def plain_cross(bars: DataFrame, fast: int = 20, slow: int = 60) -> DataFrame:
 
 
 def volatility_level(value: Column) -> Column:
-    """15, 25 and 35 part calm, normal, tense and crisis."""
-    return F.when(value < 15, "calm").when(value < 25, "normal").when(value < 35, "tense").when(value.isNotNull(), "crisis")
-
-
-def regime_score(bars: DataFrame) -> DataFrame:
-    """Price to its means, their order, slope and volatility as points: bull from 2, bear to -2, else sideways."""
-    df = bars.withColumns({"m50": mean("close", 50), "m200": mean("close", 200), "vol": deviation("ret", 20), "sl": slope("close", 50)})
-    points = F.when(F.col("close") > F.col("m200"), 1).otherwise(-1) + F.when(F.col("m50") > F.col("m200"), 1).otherwise(-1) + F.when(F.col("sl") > 0, 1).otherwise(-1)
-    points = F.when(F.col("m200").isNotNull(), points)
-    return df.withColumns({"points": points, "regime": F.when(points >= 2, "BULL").when(points <= -2, "BEAR").when(points.isNotNull(), "SIDEWAYS"), "confidence": F.abs(points) / 3})
-
-
-def danger_rate(labelled: DataFrame, key: str, least: int = 10, calm: float = 0.2, wild: float = 0.4) -> DataFrame:
-    """Share of failures by key, and a regime where there are enough patterns."""
-    out = labelled.groupBy(key).agg(F.count("*").alias("n"), F.avg((F.col("label") == 5).cast("double")).alias("danger"))
-    return out.withColumn("regime", F.when(F.col("n") < least, "unknown").when(F.col("danger") < calm, "good").when(F.col("danger") < wild, "mixed").otherwise("bad"))
+    """A volatility index as a market: (regime, confidence). 15, 20, 25 and 30."""
+    known = value.isNotNull()
+    regime = F.when(value < 20, "BULL").when(value < 25, "SIDEWAYS").when(known, "BEAR")
+    return F.struct(regime.alias("regime"), F.when(value < 15, 0.9).when(value < 20, 0.7).when(value < 25, 0.6).when(value < 30, 0.7).when(known, 0.9).alias("confidence"))
+
+
+def barrier_regime(value: Column) -> Column:
+    """The market that barriers are set for, by a volatility index. 12, 18, 25 and 35."""
+    return F.when(value >= 35, "crisis").when(value >= 25, "high_volatility").when(value >= 18, "bearish").when(value >= 12, "neutral").when(value.isNotNull(), "bullish")
+
+
+def trend_regime(price: Column, fast: Column, slow: Column, value: Column | None = None) -> Column:
+    """The same by the order of price and means; a volatility index of 25 or more goes before."""
+    out = F.when(value >= 35, "crisis").when(value >= 25, "high_volatility") if value is not None else F.when(F.lit(False), "")
+    return out.when((price > fast) & (fast > slow), "bullish").when((price < fast) & (fast < slow), "bearish").when(price > slow, "neutral").when(slow.isNotNull(), "bearish")
+
+
+def regime_score(bars: DataFrame, fast: int = 50, slow: int = 200, steps: int = 20, calm: float = 15.0, wild: float = 25.0) -> DataFrame:
+    """Four weighted factors: price to the slow mean (.30), order of price and means (.25), the slow mean's slope a year
+    (.25) and realised volatility (.20), summed to a score from -1 to 1; bull above .3, bear below -.3, else sideways.
+    Null until there are ``slow + steps`` rows."""
+    df = bars.withColumns({"__f": mean("close", fast), "__s": mean("close", slow), "__v": deviation("ret", steps) * (252**0.5 * 100)})
+    df = df.withColumn("__was", lag("__s", steps - 1))
+    to, sl = (F.col("close") / F.col("__s") - 1) * 100, (F.col("__s") / F.col("__was") - 1) * 100 * (252 / steps)
+    price = F.when(to > 5, 0.3).when(to < -5, -0.3).otherwise(0.0)
+    order = F.when((F.col("close") > F.col("__f")) & (F.col("__f") > F.col("__s")), 0.25).when((F.col("close") < F.col("__f")) & (F.col("__f") < F.col("__s")), -0.25).otherwise(0.0)
+    rising = F.when(sl > 10, 0.25).when(sl > 0, 0.125).when(sl < -10, -0.25).when(sl < 0, -0.125).otherwise(0.0)
+    steady = F.when(F.col("__v") < calm, 0.2).when(F.col("__v") > wild, -0.2).otherwise(0.0)
+    score = F.when(F.col("rn") >= slow + steps, F.round(price + order + rising + steady, 6))
+    df = df.withColumn("score", score)
+    s = F.col("score")
+    regime = F.when(s > 0.3, "BULL").when(s < -0.3, "BEAR").when(s.isNotNull(), "SIDEWAYS").otherwise("UNKNOWN")
+    sure = F.when(F.abs(s) > 0.3, F.least(F.lit(1.0), (F.abs(s) - 0.3) / 0.7 + 0.5)).when(s.isNotNull(), 1 - F.abs(s) / 0.3).otherwise(0.0)
+    return df.withColumns({"regime": regime, "confidence": sure}).drop("__f", "__s", "__v", "__was")
+
+
+def danger_rate(labelled: DataFrame, key: str, least: int = 10, bull: float = 0.4, bear: float = 0.55, targets: float = 0.12, label: str = "label") -> DataFrame:
+    """By key the shares of dangers (0) and targets (2), and the market that they show: a bull with few dangers and
+    enough targets, a bear with many dangers, unknown with too few patterns."""
+    out = labelled.groupBy(key).agg(F.count("*").alias("n"), F.avg((F.col(label) == 0).cast("double")).alias("danger"), F.avg((F.col(label) == 2).cast("double")).alias("target"))
+    d = F.col("danger")
+    regime = F.when(F.col("n") < least, "UNKNOWN").when((d < bull) & (F.col("target") > targets), "BULL").when(d > bear, "BEAR").otherwise("SIDEWAYS")
+    sure = F.when(regime == "UNKNOWN", 0.0).when(regime == "BULL", F.least(F.lit(1.0), (bull - d) / 0.15 + 0.5)).when(regime == "BEAR", F.least(F.lit(1.0), (d - bear) / 0.15 + 0.5)).otherwise(0.5)
+    return out.withColumns({"regime": regime, "confidence": sure})
 
 
 def lagged_history(labelled: DataFrame, first: str, last: str, step: int = 7, lag_days: int = 100, most: int = 50) -> DataFrame:
@@ -62,16 +90,20 @@ def lagged_history(labelled: DataFrame, first: str, last: str, step: int = 7, la
 
 
 def index_features(bars: DataFrame) -> DataFrame:
-    """Position to the mean of 200 rows, momentum of 20 and whether above the mean of 50; neutral where not known."""
-    return bars.withColumns({"to_200": F.coalesce(clip(ratio("close", mean("close", 200)) - 1, -1.0, 1.0), F.lit(0.0)), "momentum_20": F.coalesce(clip(ratio("close", lag("close", 20)) - 1, -1.0, 1.0), F.lit(0.0)), "above_50": F.coalesce((F.col("close") > mean("close", 50)).cast("int"), F.lit(0))})
+    """Close to the mean of 200 rows, gain over the last 20 rows and whether above the mean of 50; 1, 0 and 1 until there
+    are 200 rows."""
+    known = F.col("rn") >= 200
+    to, gain = clip(ratio("close", mean("close", 200)), 0.8, 1.3), clip(ratio("close", lag("close", 19)) - 1, -0.15, 0.15)
+    return bars.withColumns({"to_200": F.when(known, F.coalesce(to, F.lit(1.0))).otherwise(1.0), "momentum_20": F.when(known, F.coalesce(gain, F.lit(0.0))).otherwise(0.0), "above_50": F.when(known, (F.col("close") > mean("close", 50)).cast("double")).otherwise(1.0)})
 
 
-#: Calendar years by the market of their time.
+#: An example, for the years of the given tables: which market a calendar year counts as.
 YEAR_REGIMES = {1995: "bull", 1996: "bull", 1997: "bull", 1998: "volatile", 1999: "bull", 2000: "bear", 2001: "bear"}
 
 
-def year_regime(date: Column) -> Column:
+def year_regime(date: Column, years: dict[int, str] | None = None) -> Column:
+    """The market that a date's year counts as, by ``years``; unknown for others."""
     out = F.when(F.lit(False), "")
-    for year, name in YEAR_REGIMES.items():
+    for year, name in (YEAR_REGIMES if years is None else years).items():
         out = out.when(F.year(date) == year, name)
     return out.otherwise("unknown")

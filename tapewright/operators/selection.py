@@ -12,16 +12,19 @@ from tapewright.operators.joins import interval
 
 def event_anchors(patterns: DataFrame, bars: DataFrame, near: float = 0.98, loud: float = 1.8) -> DataFrame:
     """The row that a pattern turns at: its last spring (a low under the five before, closed above them), else its last
-    ignition (a high near the upper bound on large volume), else its middle. Gives kind, its date and a priority."""
-    b = bars.withColumns({"spring": (F.col("low") < low("low", 5, back=1)) & (F.col("close") > low("low", 5, back=1)), "loudness": ratio("volume", mean("volume", 20, back=1))})
+    ignition (a high near the upper bound, its volume large to the mean of 20 rows with itself), else its middle
+    (compression). Neither lies in the first five rows. Gives kind, its place and a score by priority, then place."""
+    loudness = F.coalesce(F.when(mean("volume", 20, 5) > 0, ratio("volume", mean("volume", 20, 5))), F.lit(1.0))
+    b = bars.withColumns({"spring": (F.col("low") < low("low", 5, back=1)) & (F.col("close") > low("low", 5, back=1)), "loudness": loudness})
     extra = b.select(F.col("ticker").alias("e_ticker"), F.col("date").alias("e_date"), "spring", "loudness")
     j = interval(patterns, bars)
     w = Window.partitionBy("pattern_id").orderBy("b_date")
     j = j.withColumns({"at": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("pattern_id"))})
     j = j.join(extra, (F.col("ticker") == F.col("e_ticker")) & (F.col("b_date") == F.col("e_date")))
-    ignition = (F.col("b_high") >= near * F.col("upper")) & (F.col("loudness") > loud)
-    out = j.groupBy("pattern_id").agg(F.max(F.when(F.col("spring"), F.col("at"))).alias("s"), F.max(F.when(ignition, F.col("at"))).alias("i"), F.max("n").alias("n"))
-    kind = F.when(F.col("s").isNotNull(), "spring").when(F.col("i").isNotNull(), "ignition").otherwise("middle")
+    late = F.col("at") > 5
+    ignition = late & (F.col("b_high") >= near * F.col("upper")) & (F.col("loudness") > loud)
+    out = j.groupBy("pattern_id").agg(F.max(F.when(late & F.col("spring"), F.col("at"))).alias("s"), F.max(F.when(ignition, F.col("at"))).alias("i"), F.max("n").alias("n"))
+    kind = F.when(F.col("s").isNotNull(), "spring").when(F.col("i").isNotNull(), "ignition").otherwise("compression")
     place = F.coalesce("s", "i", F.floor(F.col("n") / 2) + 1)
     priority = F.when(kind == "spring", 3).when(kind == "ignition", 2).otherwise(1)
     return out.select("pattern_id", kind.alias("kind"), place.alias("place"), (priority * 1000 + place).alias("score"))

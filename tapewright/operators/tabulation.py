@@ -90,6 +90,10 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def strategy_score(measured: DataFrame) -> DataFrame:
-    """Two points for each of five thresholds that a strategy's figures reach."""
-    passed = (F.col("sharpe") > 0.1, F.col("rate") > 0.45, F.col("expectancy") > 0, F.col("kelly") > 0.1, F.col("n") >= 30)
-    return measured.withColumn("score", sum((F.when(c, 2).otherwise(0) for c in passed[1:]), F.when(passed[0], 2).otherwise(0)))
+    """0 to 10: up to two points each for rate, sharpe, profit_factor, max_drawdown and expectancy."""
+    score = F.lit(0)
+    for c, two, one in (("rate", 0.3, 0.2), ("sharpe", 1.5, 1.0), ("profit_factor", 2.0, 1.5), ("max_drawdown", -0.15, -0.25), ("expectancy", 0.05, 0.02)):
+        score = score + F.when(F.col(c) > two, 2).when(F.col(c) > one, 1).otherwise(0)
+    return measured.withColumn("score", score)
+
+

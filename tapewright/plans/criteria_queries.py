@@ -78,8 +78,23 @@ def machine(name: str, kwargs: dict, up: str, down: str) -> None:
 
 machine("det18_machine", dict(qualifying=3, timeout=12), "list_max({})", "list_min({})")
 machine("det19_machine_quantiles", dict(qualifying=3, timeout=12, quantiles=(0.9, 0.1), least_width=0.003), "list_aggregate({}, 'quantile_cont', 0.9)", "list_aggregate({}, 'quantile_cont', 0.1)")
-_mb = {"m1_upper": f"CASE WHEN method1 AND rn > 100 THEN {over('max', 'close', 20)} END", "m1_lower": f"CASE WHEN method1 AND rn > 100 THEN {over('min', 'close', 20)} END", "m2_upper": f"CASE WHEN method2 AND rn > 20 THEN {over('max', 'high', 20)} END", "m2_lower": f"CASE WHEN method2 AND rn > 20 THEN {over('min', 'low', 20)} END", "m4_upper": "CASE WHEN method4 AND rn > 100 THEN close * (1 + atr_share) END", "m4_lower": "CASE WHEN method4 AND rn > 100 THEN close * (1 - atr_share) END"}
-add("det4_method_bounds", lambda s, d: cri.method_bounds(flagged(s, d)).select("ticker", "date", *_mb), with_bars(f"SELECT ticker, {DAY}, {cols(';'.join(f'{k}={v}' for k, v in _mb.items()))} FROM f", FLAGS))
+_top, _bot = (lambda n: f"max(high) OVER {S.frame(-n, 0)}"), (lambda n: f"min(low) OVER {S.frame(-n, 0)}")
+_rank = lambda c: f"CASE WHEN {c} IS NOT NULL AND len({c}_w) >= 50 THEN (len([v FOR v IN {c}_w IF v < {c}]) + (len([v FOR v IN {c}_w IF v = {c}]) + 1) / 2.0) / len({c}_w) END"
+_seen = lambda c: f"[v FOR v IN list({c}) OVER {S.frame(-99, 0)} IF v IS NOT NULL]"
+METHOD_BOUNDS = f"""mb0 AS (SELECT *, high - {S.lag('high')} AS du, {S.lag('low')} - low AS dd, {div('4 * (' + over('stddev_samp', 'close', 20, 15) + ')', over('avg', 'close', 20, 15))} AS bw, {over('avg', 'tr', 14, 10)} AS tv, ({over('stddev_samp', 'ret', 20, 15)}) * sqrt(252) AS vo,
+  {div('volume', over('avg', 'volume', 20, 15))} AS vr, {div('high - low', 'close')} AS dr FROM b),
+mb1 AS (SELECT *, CASE WHEN du > dd THEN greatest(du, 0) ELSE 0 END AS up, CASE WHEN dd > du THEN greatest(dd, 0) ELSE 0 END AS dn, {div('dr', over('avg', 'dr', 20, 15))} AS rr, {_seen('bw')} AS bw_w, {_seen('tv')} AS tv_w FROM mb0),
+mb2 AS (SELECT *, 100 * {div(over('avg', 'up', 14, 10), 'tv')} AS pd, 100 * {div(over('avg', 'dn', 14, 10), 'tv')} AS md, {_rank('bw')} AS br, {_rank('tv')} AS ar FROM mb1),
+mb3 AS (SELECT *, CASE WHEN pd + md > 0 THEN 100 * abs(pd - md) / (pd + md) END AS dx FROM mb2),
+mb4 AS (SELECT *, {over('avg', 'dx', 14, 10)} AS ax, {_top(20)} AS t20, {_bot(20)} AS b20, {_top(10)} AS t10, {_bot(10)} AS b10, {_top(15)} AS t15, {_bot(15)} AS b15 FROM mb3),
+mb AS (SELECT *, coalesce(rn > 100 AND br < 0.3, false) AS m1, coalesce(rn > 20 AND rr < 0.65 AND ax < 32 AND close > 0 AND (t10 - b10) / close < 1.5, false) AS m2,
+  coalesce(rn > 20 AND vr < 0.35 AND close > 0 AND (t15 - b15) / close < 2.4, false) AS m3, coalesce(rn > 100 AND ar < 0.3 AND vo < 20 AND tv > 0, false) AS m4 FROM mb4)"""
+_mb = {"m1": ("t20", "b20"), "m2": ("t10", "b10"), "m3": ("t15", "b15"), "m4": ("least(close + 1.5 * tv, t20)", "greatest(close - 1.5 * tv, b20)")}
+_mc = ";".join(f"{k}_upper=CASE WHEN {k} THEN {u} END;{k}_lower=CASE WHEN {k} THEN {lo} END;{k}_power=CASE WHEN {k} THEN {u} * 1.005 END" for k, (u, lo) in _mb.items())
+add(
+    "det4_method_bounds", lambda s, d: cri.method_bounds(bars(s, d), volatility=20.0, m2_width=1.5, m3_width=2.4).select("ticker", "date", *[f"{k}{x}" for k in _mb for x in ("", "_upper", "_lower", "_power")]),
+    with_bars(f"SELECT ticker, {DAY}, {', '.join(f'CAST({k} AS INTEGER) AS {k}' for k in _mb)}, {cols(_mc)} FROM mb", METHOD_BOUNDS),
+)
 _q60 = lambda c, p: over(f"quantile_cont({{}}, {p})", c, 60)
 CANDIDATES = f"ca0 AS (SELECT *, {_q60('high', 0.95)} AS upper, {_q60('low', 0.1)} AS lower, {_q60('close', 0.95)} AS t1, {_q60('close', 0.1)} AS t0 FROM b), ca AS (SELECT *, (upper - lower) / nullif(lower, 0) AS wick_width, (t1 - t0) / nullif(t0, 0) AS body_width FROM ca0)"
 LOOSE = dict(wick=60.0, body=30.0)

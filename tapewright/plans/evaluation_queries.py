@@ -95,7 +95,7 @@ def predictions(s: SparkSession, d: str) -> DataFrame:
 _x = ("1 - 1 / (1 + box_width / 10)", "0.3", "1 / (1 + box_width / 10) + close / (close + 2000)")
 _sum = " + ".join(f"({x})" for x in _x)
 _ev = "p0 * -2.0 + p1 * -0.1 + p2 * 5.0"
-_signal = "CASE WHEN p0 > 0.5 THEN 'avoid' WHEN ev >= 3 THEN 'strong' WHEN ev >= 2 THEN 'good' WHEN ev >= 1 THEN 'weak' ELSE 'none' END"
+_signal = "CASE WHEN p0 > 0.5 THEN 'AVOID' WHEN ev >= 5 THEN 'STRONG' WHEN ev >= 3 THEN 'GOOD' WHEN ev >= 1 THEN 'MODERATE' ELSE 'AVOID' END"
 PREDICTED = f"{WITH_LABEL}, pr0 AS (SELECT *, {', '.join(f'({x}) / ({_sum}) AS p{k}' for k, x in enumerate(_x))} FROM wl), pr1 AS (SELECT *, {_ev} AS ev, CASE WHEN label = 5 THEN 0 WHEN label = 4 THEN 2 ELSE 1 END AS cls FROM pr0), pr AS (SELECT *, {_signal} AS signal, CASE cls WHEN 0 THEN -2.0 WHEN 1 THEN -0.1 ELSE 5.0 END AS actual FROM pr1)"
 
 
@@ -106,14 +106,14 @@ def scored(s: SparkSession, d: str) -> DataFrame:
 
 
 add("evl1_expected_value", lambda s, d: scored(s, d).select("pattern_id", "ev", "signal"), with_bars(f"SELECT pattern_id, {cols('ev=ev')}, signal FROM pr", PREDICTED))
-_sh = "CAST(greatest(floor(least(250.0 / (upper + 0.01 - lower), 50000.0 / (upper + 0.01), mean_volume * 0.1)), 0) AS BIGINT)"
+_sh = "CAST(greatest(floor(least(250.0 / (upper + 0.01 - lower), 50000.0 / (upper + 0.01), money * 0.1 / (upper + 0.01))), 0) AS BIGINT)"
 add(
     "evl2_sized", lambda s, d: evl.sized(patterns(s, d)).select("pattern_id", "entry", "limit", "risk", "shares", "tranche_1", "tranche_2", "tranche_3", "sell_1", "sell_3"),
-    with_bars(f"SELECT pattern_id, {cols('entry=entry;limit=entry * 1.02;risk=risk;sell_1=entry + 3 * risk;sell_3=entry + 10 * risk')}, shares, CAST(floor(shares * 0.5) AS BIGINT) AS tranche_1, CAST(floor(shares * 0.25) AS BIGINT) AS tranche_2, CAST(shares - floor(shares * 0.5) - floor(shares * 0.25) AS BIGINT) AS tranche_3 FROM (SELECT *, upper + 0.01 AS entry, upper + 0.01 - lower AS risk, {_sh} AS shares FROM p)", PATTERNS),
+    with_bars(f"SELECT pattern_id, {cols('entry=entry;limit=entry + 0.5 * risk;risk=risk;sell_1=entry + 3 * risk;sell_3=entry + 10 * risk')}, shares, CAST(floor(shares * 0.5) AS BIGINT) AS tranche_1, CAST(floor(shares * 0.25) AS BIGINT) AS tranche_2, CAST(shares - floor(shares * 0.5) - floor(shares * 0.25) AS BIGINT) AS tranche_3 FROM (SELECT *, upper + 0.01 AS entry, upper + 0.01 - lower AS risk, {_sh} AS shares FROM p)", PATTERNS),
 )
 add(
-    "evl3_execution_plan", lambda s, d: evl.execution_plan(predictions(s, d), patterns(s, d), risk=100_000.0, capital=1_000_000.0, share_of_volume=1.0).select("pattern_id", "ticker", "place", "ev", "shares"),
-    with_bars(f"SELECT pattern_id, ticker, place, {cols('ev=ev')}, shares FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ev DESC, pattern_id) AS place FROM (SELECT *, {_signal} AS signal FROM (SELECT *, {_ev} AS ev, CAST(greatest(floor(least(100000.0 / (upper + 0.01 - lower), 1000000.0 / (upper + 0.01), mean_volume)), 0) AS BIGINT) AS shares FROM (SELECT *, {', '.join(f'({x}) / ({_sum}) AS p{k}' for k, x in enumerate(_x))} FROM p))) WHERE ev > 0 AND signal <> 'avoid' AND shares > 0) WHERE place <= 3", PATTERNS),
+    "evl3_execution_plan", lambda s, d: evl.execution_plan(predictions(s, d), patterns(s, d), risk=100_000.0, capital=1_000_000.0, share_of_money=10.0).select("pattern_id", "ticker", "place", "ev", "shares"),
+    with_bars(f"SELECT pattern_id, ticker, place, {cols('ev=ev')}, shares FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ev DESC, pattern_id) AS place FROM (SELECT *, {_signal} AS signal FROM (SELECT *, {_ev} AS ev, CAST(greatest(floor(least(100000.0 / (upper + 0.01 - lower), 1000000.0 / (upper + 0.01), money * 10.0 / (upper + 0.01))), 0) AS BIGINT) AS shares FROM (SELECT *, {', '.join(f'({x}) / ({_sum}) AS p{k}' for k, x in enumerate(_x))} FROM p))) WHERE ev > 0 AND signal <> 'AVOID' AND shares > 0) WHERE place <= 3", PATTERNS),
 )
 add(
     "evl5_gap_adjusted", lambda s, d: evl.gap_adjusted(patterns(s, d), bars(s, d)),

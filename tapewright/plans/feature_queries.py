@@ -157,13 +157,23 @@ c1 AS (SELECT *, {S.slope('w', 5)} AS ws FROM c0),
 cl AS (SELECT p.*, y.w, y.shock, y.trend, y.ws, (p.close - lower) / nullif(upper - lower, 0) AS po FROM p JOIN c1 AS y ON y.ticker = p.ticker AND y.rn = p.end_rn)"""
 COIL_INTENSITY = "(least(greatest(1 - po, 0), 1) + CASE WHEN ws < 0 THEN 1 ELSE 0 END + CASE WHEN trend < 0 THEN 1 ELSE 0 END) / 3.0"
 add("fea21_coil_at_end", lambda s, d: fea.coil_at_end(patterns(s, d), bars(s, d)), with_bars(f"SELECT pattern_id, {cols(f'price_position=po;volume_shock=shock;bbw=w;bbw_slope=ws;volume_trend=trend;coil_intensity={COIL_INTENSITY}')}, CAST(po <= 0.3 AS INTEGER) AS in_danger FROM cl", f"{PATTERNS},\n{COIL}"))
-PEAKS = """k0 AS (SELECT pattern_id, max(b_high) AS peak, min(b_low) AS lo FROM j GROUP BY pattern_id),
-k1 AS (SELECT j.pattern_id, k0.peak, min(day) FILTER (b_high = peak) AS pd, min(day) FILTER (b_low = lo) AS td FROM j JOIN k0 USING (pattern_id) GROUP BY 1, 2),
-k2 AS (SELECT pattern_id, min(b_low) AS la, max(b_close) AS ca FROM j JOIN k1 USING (pattern_id) WHERE day > pd GROUP BY pattern_id),
-k AS (SELECT k1.*, la, ca, peak / close - 1 AS g FROM k1 JOIN p USING (pattern_id) LEFT JOIN k2 USING (pattern_id))"""
-_peak = f"pattern_id, pd AS peak_day, td AS trough_day, {cols('fwd_gain=g;fwd_velocity=g / pd;fwd_fall=la / peak - 1;fwd_recovery=ca / peak')}, CASE WHEN pd <= 5 THEN 'immediate' WHEN pd <= 15 THEN 'fast' WHEN pd <= 30 THEN 'medium' ELSE 'slow' END AS timing, CAST(pd <= 5 AND g > 0.3 AS INTEGER) AS explosive, CAST(pd > 30 AND g > 0.1 AS INTEGER) AS grind"
-add("fea25_time_to_peak", lambda s, d: fea.time_to_peak(patterns(s, d), bars(s, d)), with_bars(f"SELECT {_peak} FROM k", f"{PATTERNS},\n{after_sql(60)},\n{PEAKS}"))
-add("fea26_move_class", lambda s, d: fea.move_class(fea.time_to_peak(patterns(s, d), bars(s, d))).groupBy("move").agg(F.count("*").alias("n")), with_bars("SELECT CASE WHEN pd <= 5 AND g > 0.3 THEN CASE WHEN la / peak - 1 > -0.3 THEN 'explosive_sustained' ELSE 'explosive_failed' END WHEN pd > 30 AND g > 0.1 THEN 'grind' WHEN g > 0.15 THEN 'steady' WHEN g > 0.05 THEN 'weak' ELSE 'none' END AS move, count(*) AS n FROM k GROUP BY 1", f"{PATTERNS},\n{after_sql(60)},\n{PEAKS}"))
+PEAKS = """k0 AS (SELECT *, arg_min(day, struct_pack(c := -b_close, d := day)) OVER (PARTITION BY pattern_id) AS pk, b_close / lag(b_close) OVER (PARTITION BY pattern_id ORDER BY day) - 1 AS rt FROM j),
+k1 AS (SELECT pattern_id, close, pk, count(*) AS n, max(b_close) AS peak, min(b_close) AS least, arg_min(day, struct_pack(c := b_close, d := day)) AS td, arg_max(b_close, day) AS last, min(b_close) FILTER (day >= pk) AS la,
+  count(*) FILTER (day BETWEEN 1 AND pk AND rt > 0) AS rising, stddev_pop(rt) FILTER (day BETWEEN 1 AND pk) AS sd FROM k0 GROUP BY 1, 2, 3),
+k2 AS (SELECT *, peak / close - 1 AS g, last / close - 1 AS e, CASE WHEN pk < 99 THEN la / peak - 1 ELSE 0 END AS fall, CASE WHEN pk > 0 THEN (peak / close - 1) / pk ELSE 0 END AS vel, CASE WHEN peak > close THEN (last / close - 1) / (peak / close - 1) ELSE 0 END AS st FROM k1),
+k AS (SELECT pattern_id, n, """ + ", ".join(f"CASE WHEN n >= 100 THEN {x} ELSE 0 END AS {c}" for c, x in {
+    "peak_day": "pk", "trough_day": "td", "fwd_gain": "g", "fwd_loss": "least / close - 1", "fwd_end": "e", "fwd_velocity": "vel", "fwd_sustainability": "st", "fwd_retention": S.clip("st", 0, 1), "fwd_fall": "fall",
+    "fwd_recovery": "CASE WHEN fall < -0.05 AND last > peak * 0.95 THEN 1.0 WHEN fall < -0.05 AND last > peak * 0.9 THEN 0.5 ELSE 0 END", "fwd_consistency": "CASE WHEN pk > 1 THEN rising / pk ELSE 0 END", "fwd_spread": "CASE WHEN pk > 1 THEN sd ELSE 0 END",
+    "explosive": "CAST(vel > 0.03 AND pk <= 30 AND g >= 0.4 AS INTEGER)", "grind": "CAST(pk > 60 AND g >= 0.4 AS INTEGER)", "peak_at": "pk / 99.0",
+}.items()) + " FROM k2)"
+_peaks = f"{PATTERNS},\n{after_sql(99, 0)},\n{PEAKS}"
+_timing = "CASE WHEN n < 100 THEN 'unknown' WHEN peak_at < 0.33 THEN 'early' WHEN peak_at < 0.66 THEN 'mid' ELSE 'late' END AS timing"
+_rounded = ";".join(f"{c}={c}" for c in ("fwd_gain", "fwd_loss", "fwd_end", "fwd_velocity", "fwd_sustainability", "fwd_retention", "fwd_fall", "fwd_recovery", "fwd_consistency", "fwd_spread", "peak_at"))
+add("fea25_time_to_peak", lambda s, d: fea.time_to_peak(patterns(s, d), bars(s, d)), with_bars(f"SELECT pattern_id, CAST(peak_day AS INTEGER) AS peak_day, CAST(trough_day AS INTEGER) AS trough_day, {cols(_rounded)}, CAST(explosive AS INTEGER) AS explosive, CAST(grind AS INTEGER) AS grind, {_timing} FROM k", _peaks))
+_fast = "fwd_velocity > 0.025 AND fwd_gain >= 0.4"
+_moves = f"CASE WHEN {_fast} AND fwd_sustainability > 0.7 THEN 'explosive_high_quality' WHEN {_fast} AND fwd_sustainability < 0.5 THEN 'explosive_reversal' WHEN peak_day > 60 AND fwd_gain >= 0.4 THEN 'slow_grind' WHEN fwd_velocity > 0.015 AND fwd_gain >= 0.25 AND fwd_sustainability > 0.6 THEN 'moderate_quality' WHEN fwd_gain < 0.15 THEN 'failed' ELSE 'mixed' END"
+_worth = "CASE move WHEN 'explosive_high_quality' THEN 1.0 WHEN 'explosive_reversal' THEN 0.5 WHEN 'slow_grind' THEN 0.3 WHEN 'moderate_quality' THEN 0.6 WHEN 'failed' THEN 0.0 ELSE 0.4 END"
+add("fea26_move_class", lambda s, d: fea.move_class(fea.time_to_peak(patterns(s, d), bars(s, d))).select("pattern_id", "move", "move_score"), with_bars(f"SELECT pattern_id, move, {cols(f'move_score={_worth}')} FROM (SELECT *, {_moves} AS move FROM k)", _peaks))
 _ctx = {"box_width": "box_width", "to_sma_200": "close / nullif(c_sma, 0)", "to_high_252": "close / nullif(c_high, 0)", "money_log": "ln(1 + money)", "volume_log_diff": "c_vol", "range_log_diff": "c_range", "ret_20": "c_ret", "bbw": "c_bbw", "position": "(close - lower) / nullif(upper - lower, 0)", "vol_decay": "c_decay"}
 _scaled = ";".join(f"{k}=coalesce((({S.clip(x, *fea.CONTEXT_RANGES[k])}) - {fea.CONTEXT_RANGES[k][0]}) / {fea.CONTEXT_RANGES[k][1] - fea.CONTEXT_RANGES[k][0]}, 0.5)" for k, x in _ctx.items())
 CONTEXT = f"""q0 AS (SELECT ticker, rn, {over('avg', 'close', 200)} AS c_sma, max(high) OVER {frame(-251, 0)} AS c_high, {div('close', S.lag('close', 20))} - 1 AS c_ret, {_bbw} AS c_bbw, {S.slope('ln(1 + volume)', 20)} AS c_decay,

@@ -43,8 +43,8 @@ _value = " ".join(f"WHEN {k} THEN {v}" for k, v in out.CLASS_VALUES.items())
 label("lab2_class_value", lambda p, b: labelled(p, b).select("pattern_id", "label", out.class_value(F.col("label")).alias("value")), f"SELECT pattern_id, label, {cols(f'value=CASE label {_value} END')} FROM l", after_sql(20), LABELLED)
 label(
     "lab5_atr_path", out.atr_path, f"SELECT pattern_id, s AS stop_day, t AS target_day, {two_sql('t', 's')} AS label FROM o",
-    f"at AS (SELECT ticker, rn, {over('avg', 'tr', 14)} AS atr FROM b), pa AS (SELECT p.*, atr FROM p JOIN at ON at.ticker = p.ticker AND at.rn = p.end_rn)".replace("at AS", "ta AS").replace("JOIN at ON at.ticker = p.ticker AND at.rn", "JOIN ta ON ta.ticker = p.ticker AND ta.rn"), after_sql(40, source="pa").replace("SELECT p.*", "SELECT p.*"),
-    "o AS (SELECT pattern_id, min(CASE WHEN b_low <= close - atr THEN day END) AS s, min(CASE WHEN b_close >= close + 3 * atr AND b_next_open >= close + 3 * atr THEN day END) AS t FROM j GROUP BY pattern_id)",
+    f"ta AS (SELECT ticker, rn, list_reduce([x FOR x IN list(tr) OVER {S.frame(-27, 0)} IF x IS NOT NULL], lambda m, x: m + (x - m) / 14) AS atr FROM b WHERE rn > 1), pa AS (SELECT p.*, atr FROM p JOIN ta ON ta.ticker = p.ticker AND ta.rn = p.end_rn WHERE atr > 0)", after_sql(40, source="pa"),
+    "o AS (SELECT pattern_id, min(CASE WHEN b_low <= lower - 2 * atr THEN day END) AS s, min(CASE WHEN b_close >= close + 5 * atr AND b_next_open >= close + 5 * atr THEN day END) AS t FROM j GROUP BY pattern_id)",
 )
 
 
@@ -58,10 +58,10 @@ label(
     "pt AS (SELECT *, CASE WHEN money < 60000 THEN 0.1 ELSE 0.02 END AS buf, CASE WHEN money < 60000 THEN 2.0 ELSE 5.0 END AS tm FROM p)", after_sql(40, source="pt"),
     "o AS (SELECT pattern_id, min(CASE WHEN b_low <= lower * (1 - buf) THEN day END) AS s, min(CASE WHEN b_close >= close + tm * lower * buf AND b_next_open >= close + tm * lower * buf THEN day END) AS t FROM j GROUP BY pattern_id)",
 )
-_loud = f"CASE WHEN coalesce(volume > 1.2 * ({over('avg', 'volume', 20)}) AND close * volume >= 10000, false) THEN 1 ELSE 0 END"
 label(
     "lab10_volume_confirmed", lambda p, b: out.volume_confirmed(p, b, run=2, times=1.2, money=10_000.0), "SELECT pattern_id, k AS confirmed_day, CAST(k IS NOT NULL AS INTEGER) AS confirmed FROM o",
-    f"bl AS (SELECT *, {_loud} AS ld FROM b), br AS (SELECT *, sum(ld) OVER {S.frame(-1, 0)} AS rl FROM bl)", "o AS (SELECT pattern_id, min(CASE WHEN y.rl >= 2 AND y.rn - p.end_rn >= 2 THEN y.rn - p.end_rn END) AS k FROM p JOIN br AS y ON y.ticker = p.ticker AND y.rn BETWEEN p.end_rn + 1 AND p.end_rn + 60 GROUP BY pattern_id)",
+    f"uv AS (SELECT ticker, rn, avg(volume) OVER {S.frame(-20, 0)} AS usual FROM b), pu AS (SELECT p.*, usual FROM p JOIN uv ON uv.ticker = p.ticker AND uv.rn = p.end_rn)", after_sql(60, source="pu", extra=", y.volume AS b_volume"),
+    "o0 AS (SELECT pattern_id, day, sum(CASE WHEN b_volume > 1.2 * usual AND b_close * b_volume >= 10000 THEN 1 ELSE 0 END) OVER (PARTITION BY pattern_id ORDER BY day ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS rl FROM j), o AS (SELECT pattern_id, min(CASE WHEN rl >= 2 THEN day END) AS k FROM o0 GROUP BY pattern_id)",
 )
 _tier, _steady = "CASE WHEN money < 30000 THEN 1.5 WHEN money < 60000 THEN 1.0 ELSE 0.7 END", "CASE WHEN box_width > 2 THEN 1.4 WHEN box_width < 0.5 THEN 0.8 ELSE 1.0 END"
 label("lab12_dynamic_barriers", lambda p, b: out.dynamic_barriers(p, F.col("box_width")).select("pattern_id", "up_barrier", "down_barrier"), f"SELECT pattern_id, {cols(f'up_barrier=round(greatest(0.3 * {_tier} * {_steady}, 0.01), 4);down_barrier=round(greatest(0.15 * {_tier} * {_steady}, 0.01), 4)')} FROM p")
@@ -80,11 +80,11 @@ label(
 )
 label(
     "lab17_graceful_breach", lambda p, b: out.graceful_breach(p, b, 40, 0.5, 2),
-    f"SELECT pattern_id, breach_day, first_below, longest_below, {cols('fwd_gain=g')}, CAST(breach_day IS NULL AND longest_below >= 2 AS INTEGER) AS anxious, {gain_sql('g', 'breach_day IS NOT NULL')} AS label FROM z",
-    after_sql(40, 0), "k0 AS (SELECT pattern_id, min(CASE WHEN b_low <= lower * 0.5 THEN day END) AS breach_day FROM j GROUP BY 1)",
-    "k1 AS (SELECT j.*, breach_day, CAST(b_close < lower AS INTEGER) AS lo FROM j JOIN k0 USING (pattern_id) WHERE breach_day IS NULL OR day <= breach_day)",
-    "k2 AS (SELECT *, sum(1 - lo) OVER (PARTITION BY pattern_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS gr FROM k1), k3 AS (SELECT *, CAST(sum(lo) OVER (PARTITION BY pattern_id, gr) AS BIGINT) AS run FROM k2)",
-    "z AS (SELECT pattern_id, breach_day, min(CASE WHEN lo = 1 THEN day END) AS first_below, max(run) AS longest_below, max(b_high / upper - 1) AS g FROM k3 GROUP BY 1, 2)",
+    f"SELECT pattern_id, breach_day, first_below, longest_below, {cols('fwd_gain=g')}, CAST(quiet >= 2 AS INTEGER) AS anxious, CASE WHEN k5 = breach_day THEN 5 WHEN k4 = breach_day THEN 4 WHEN breach_day IS NOT NULL THEN 3 ELSE {gain_sql('g')} END AS label FROM z",
+    after_sql(40, 0), "k0 AS (SELECT *, least(k5, k4, k3) AS breach_day FROM (SELECT pattern_id, min(CASE WHEN b_low <= lower * 0.5 THEN day END) AS k5, min(CASE WHEN b_high / upper - 1 >= 0.75 THEN day END) AS k4, min(CASE WHEN b_high / upper - 1 >= 0.35 THEN day END) AS k3 FROM j GROUP BY 1))",
+    "k1 AS (SELECT j.*, k5, k4, breach_day, CAST(b_close < lower AS INTEGER) AS lo, CAST(b_low > lower * 0.5 AS INTEGER) AS sh FROM j JOIN k0 USING (pattern_id) WHERE breach_day IS NULL OR day <= breach_day)",
+    "k2 AS (SELECT *, sum(1 - lo) OVER (PARTITION BY pattern_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS gr FROM k1), k3 AS (SELECT *, CAST(sum(lo) OVER (PARTITION BY pattern_id, gr) AS BIGINT) AS run, CAST(sum(lo * sh) OVER (PARTITION BY pattern_id, gr) AS BIGINT) AS qu FROM k2)",
+    "z AS (SELECT pattern_id, k5, k4, breach_day, max(qu) AS quiet, min(CASE WHEN lo = 1 THEN day END) AS first_below, max(run) AS longest_below, max(b_high / upper - 1) AS g FROM k3 GROUP BY 1, 2, 3, 4)",
 )
 _group = "ticker || '-' || CAST(end_rn // 100 AS VARCHAR)"
 GROUPED = f"gl AS (SELECT *, {_group} AS grp FROM l), gg AS (SELECT *, CASE WHEN first_value(label) OVER (PARTITION BY grp ORDER BY end_rn) = 5 THEN 5 WHEN max(CASE WHEN label = 5 THEN -1 ELSE label END) OVER (PARTITION BY grp) = -1 THEN 5 ELSE max(CASE WHEN label = 5 THEN -1 ELSE label END) OVER (PARTITION BY grp) END AS group_label FROM gl)"
@@ -116,8 +116,11 @@ label(
     "lab23_re_entries", out.re_entries, f"SELECT pattern_id, count(*) FILTER (ins AND NOT was) AS re_entries, {cols('rows_outside=avg(day - ex - 1) FILTER (ins AND NOT was AND ex IS NOT NULL)')} FROM k1 GROUP BY 1",
     after_sql(60), "k0 AS (SELECT *, b_close BETWEEN lower AND upper AS ins FROM j), k1 AS (SELECT *, lag(ins) OVER (PARTITION BY pattern_id ORDER BY day) AS was, last_value(CASE WHEN ins THEN day END IGNORE NULLS) OVER (PARTITION BY pattern_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ex FROM k0)",
 )
-label("lab26_signed_class", lambda p, b: labelled(p, b).select("pattern_id", out.signed_class(F.col("g") - 0.5).alias("label")), "SELECT pattern_id, CASE WHEN g - 0.5 < -0.1 THEN 5 WHEN g - 0.5 < 0.05 THEN 0 WHEN g - 0.5 < 0.15 THEN 1 WHEN g - 0.5 < 0.35 THEN 2 WHEN g - 0.5 < 0.75 THEN 3 WHEN g IS NOT NULL THEN 4 END AS label FROM l", after_sql(20), LABELLED)
-label("lab27_risk_metrics", out.risk_metrics, f"SELECT pattern_id, {cols('fwd_max_r=max((b_high - close) / nullif(close - lower, 0));fwd_min_r=min((b_low - close) / nullif(close - lower, 0));fwd_final_r=arg_max((b_close - close) / nullif(close - lower, 0), day)')}, count(*) AS rows FROM j GROUP BY 1", after_sql(60))
+label("lab26_signed_class", lambda p, b: lab.horizons(p, b, (40,)).select("pattern_id", out.signed_class(F.col("fwd_max_40")).alias("label"), out.signed_class(F.col("fwd_close_40") / F.col("fwd_close_40") * F.col("fwd_min_40")).alias("worst")), "SELECT pattern_id, " + ", ".join(f"CASE WHEN {g} < -0.05 THEN 5 WHEN {g} < 0.05 THEN 0 WHEN {g} < 0.15 THEN 1 WHEN {g} < 0.35 THEN 2 WHEN {g} < 0.75 THEN 3 WHEN {g} IS NOT NULL THEN 4 END AS {n}" for g, n in (("g", "label"), ("w", "worst"))) + " FROM (SELECT pattern_id, max(b_high / close - 1) AS g, CASE WHEN max(day) = 40 THEN min(b_low / close - 1) END AS w FROM j GROUP BY 1)", after_sql(40))
+label(
+    "lab27_risk_metrics", out.risk_metrics, f"SELECT pattern_id, {cols('risk=greatest(r, 0);fwd_max_r=hi;fwd_min_r=lo;achieved_r=CASE WHEN lo < -1 THEN -1 ELSE hi END')}, n AS rows FROM (SELECT *, CASE WHEN r <= 0 THEN 0 ELSE (most - close) / r END AS hi, CASE WHEN r <= 0 THEN 0 ELSE (worst - close) / r END AS lo FROM (SELECT pattern_id, close, close - lower * 0.98 AS r, max(b_close) AS most, min(b_close) AS worst, count(*) AS n FROM j GROUP BY 1, 2, 3))",
+    after_sql(60),
+)
 label("lab28_merged_class", lambda p, b: labelled(p, b).groupBy(out.merged_class(F.col("label")).alias("merged")).agg(F.count("*").alias("n")), "SELECT CASE WHEN label IN (3, 4) THEN 3 WHEN label = 2 THEN 2 WHEN label IN (0, 1) THEN 1 WHEN label = 5 THEN 0 END AS merged, count(*) AS n FROM l GROUP BY 1", after_sql(20), LABELLED)
 label(
     "lab8_ripeness", lambda p, b: out.ripeness(p, REFERENCE, b.groupBy("ticker").agg(F.max("date").alias("last_date"))),

@@ -192,11 +192,12 @@ add(
     "flt14_oversampled", lambda s, d: flt.oversampled(patterns(s, d).withColumn("tight", -F.col("box_width")), "tight").select("pattern_id", "copy"),
     with_bars("SELECT pattern_id, unnest(range(1, k + 1)) AS copy FROM (SELECT pattern_id, CASE WHEN -box_width >= (SELECT quantile_cont(-box_width, 0.8) FROM p) THEN 3 ELSE 1 END AS k FROM p)", PATTERNS),
 )
-_flags = {k: "coalesce(regexp_matches(text, '" + p + "'), false)" for k, p in flt.FILING_PATTERNS.items()}
-_flags["toxic"] = f"({_flags['toxic']} AND doc_id % 2 = 0)"
+_kind = "CASE doc_id % 4 WHEN 0 THEN '8-K' WHEN 1 THEN '424B5' WHEN 2 THEN 'DEF 14A' END"
+_flags = {k: f"coalesce(regexp_matches(text, '{p}'){' AND filing_type IS DISTINCT FROM ' + chr(39) + 'DEF 14A' + chr(39) + ' AND filing_type IS NOT NULL' if k in flt.TERMS else ''}, false)" for k, p in flt.FILING_PATTERNS.items()}
+_filed = lambda: F.when(F.col("doc_id") % 4 == 0, "8-K").when(F.col("doc_id") % 4 == 1, "424B5").when(F.col("doc_id") % 4 == 2, "DEF 14A")
 add(
-    "flt19_filings", lambda s, d: flt.filings(tables.table(s, d, "documents").withColumn("filing_type", F.when(F.col("doc_id") % 2 == 0, "8-K").otherwise("10-K"))).select("doc_id", *flt.FILING_PATTERNS, "flags", "passes"),
-    "SELECT doc_id, " + ", ".join(f"CAST({x} AS INTEGER) AS {k}" for k, x in _flags.items()) + ", concat_ws(',', " + ", ".join(f"CASE WHEN {x} THEN '{k}' END" for k, x in _flags.items()) + f") AS flags, CAST(NOT ({_flags['toxic']} OR {_flags['lender']}) AS INTEGER) AS passes FROM documents",
+    "flt19_filings", lambda s, d: flt.filings(tables.table(s, d, "documents").withColumn("filing_type", _filed())).select("doc_id", *flt.FILING_PATTERNS, "flags", "passes"),
+    "SELECT doc_id, " + ", ".join(f"CAST({x} AS INTEGER) AS {k}" for k, x in _flags.items()) + ", concat_ws(',', " + ", ".join(f"CASE WHEN {x} THEN '{k}' END" for k, x in _flags.items()) + ") AS flags, CAST(NOT (" + " OR ".join(x for k, x in _flags.items() if k != "shell") + f") AS INTEGER) AS passes FROM (SELECT *, {_kind} AS filing_type FROM documents)",
 )
 
 # joins

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.functions.rolling import deviation, mean
 from tapewright.operators import filters as flt
 from tapewright.operators import joins as jon
 from tapewright.operators import regimes as reg
@@ -30,17 +31,20 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str) ->
 
 
 _l5 = over("min", "low", 5, back=1)
-ANCHORS = f"""{PATTERNS}, ev AS (SELECT *, low < ({_l5}) AND close > ({_l5}) AS spring, {div('volume', over('avg', 'volume', 20, back=1))} AS loudness FROM b),
+ANCHORS = f"""{PATTERNS}, ev AS (SELECT *, low < ({_l5}) AND close > ({_l5}) AS spring, coalesce(CASE WHEN ({over('avg', 'volume', 20, 5)}) > 0 THEN volume / ({over('avg', 'volume', 20, 5)}) END, 1) AS loudness FROM b),
 ij AS (SELECT p.*, y.date AS b_date, y.high AS b_high, y.low AS b_low, y.volume AS b_volume, y.spring, y.loudness FROM p JOIN ev AS y ON y.ticker = p.ticker AND y.date BETWEEN p.start_date AND p.end_date),
 ik AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY b_date) AS pl, count(*) OVER (PARTITION BY pattern_id) AS n FROM ij),
-an0 AS (SELECT pattern_id, max(CASE WHEN spring THEN pl END) AS s, max(CASE WHEN b_high >= 0.98 * upper AND loudness > 1.8 THEN pl END) AS i, max(n) AS n FROM ik GROUP BY 1),
-an AS (SELECT pattern_id, CASE WHEN s IS NOT NULL THEN 'spring' WHEN i IS NOT NULL THEN 'ignition' ELSE 'middle' END AS kind, coalesce(s, i, n // 2 + 1) AS place, CASE WHEN s IS NOT NULL THEN 3 WHEN i IS NOT NULL THEN 2 ELSE 1 END * 1000 + coalesce(s, i, n // 2 + 1) AS score FROM an0)"""
+an0 AS (SELECT pattern_id, max(CASE WHEN pl > 5 AND spring THEN pl END) AS s, max(CASE WHEN pl > 5 AND b_high >= 0.98 * upper AND loudness > 1.8 THEN pl END) AS i, max(n) AS n FROM ik GROUP BY 1),
+an AS (SELECT pattern_id, CASE WHEN s IS NOT NULL THEN 'spring' WHEN i IS NOT NULL THEN 'ignition' ELSE 'compression' END AS kind, coalesce(s, i, n // 2 + 1) AS place, CASE WHEN s IS NOT NULL THEN 3 WHEN i IS NOT NULL THEN 2 ELSE 1 END * 1000 + coalesce(s, i, n // 2 + 1) AS score FROM an0)"""
 add("flt3_event_anchors", lambda s, d: sel.event_anchors(patterns(s, d), bars(s, d)), with_bars("SELECT pattern_id, kind, place, score FROM an", ANCHORS))
 add("flt4_best_anchor", lambda s, d: sel.best_anchor(patterns(s, d), bars(s, d)).select("pattern_id", "cluster", "kind", "score"), with_bars("SELECT pattern_id, cluster, kind, score FROM (SELECT *, row_number() OVER (PARTITION BY ticker, cluster ORDER BY score DESC, pattern_id) AS rk FROM c JOIN an USING (pattern_id)) WHERE rk = 1", f"{ANCHORS}, {CHAINED}"))
 add("flt5_physics", lambda s, d: sel.physics(patterns(s, d), 5.0, 20.0, 50_000.0, F.col("mean_volume") / F.col("end_rn"), 0.02).select("pattern_id", "box_width"), with_bars(f"SELECT pattern_id, {cols('box_width=box_width')} FROM p WHERE box_width BETWEEN 5 AND 20 AND money >= 50000 AND coalesce(mean_volume / end_rn >= 0.02, true)", PATTERNS))
 add(
     "flt6_zombies", lambda s, d: sel.zombies(patterns(s, d), bars(s, d), extension=1.5),
-    with_bars(f"SELECT pattern_id, n AS rows, CAST(0 AS BIGINT) AS idle_run, {cols('extension=ext')}, CASE WHEN coalesce(n, 0) < 5 THEN 'few_rows' WHEN ext > 1.5 OR ext < 1 / 1.5 THEN 'extended' END AS reason FROM p LEFT JOIN (SELECT pattern_id, count(*) AS n FROM ij GROUP BY 1) USING (pattern_id) LEFT JOIN (SELECT ticker, rn AS end_rn, {div('close', over('avg', 'close', 200))} AS ext FROM b) USING (ticker, end_rn)", ANCHORS),
+    with_bars(f"""SELECT pattern_id, n AS rows, idle_run, {cols('extension=ext')}, CASE WHEN coalesce(n, 0) < 5 THEN 'few_rows' WHEN ghosts > 0 THEN 'ghosts' WHEN idle_run > 3 THEN 'idle' WHEN ext > 1.5 OR ext < 1 / 1.5 THEN 'extended' END AS reason
+      FROM p LEFT JOIN (SELECT pattern_id, CAST(sum(k) AS BIGINT) AS n, max(run) AS idle_run, sum(ghosts) AS ghosts FROM (SELECT pattern_id, gr, count(*) AS k, count(*) FILTER (b_volume <= 0) AS run, count(*) FILTER (b_volume <= 0 AND b_high <> b_low) AS ghosts
+        FROM (SELECT *, sum(CASE WHEN b_volume <= 0 THEN 0 ELSE 1 END) OVER (PARTITION BY pattern_id ORDER BY b_date ROWS UNBOUNDED PRECEDING) AS gr FROM (SELECT p.*, y.date AS b_date, y.high AS b_high, y.low AS b_low, y.volume AS b_volume FROM p JOIN b AS y ON y.ticker = p.ticker AND y.date BETWEEN p.start_date AND p.end_date)) GROUP BY 1, 2) GROUP BY 1) USING (pattern_id)
+      LEFT JOIN (SELECT ticker, rn AS end_rn, {div('close', over('avg', 'close', 200))} AS ext FROM b) USING (ticker, end_rn)""", PATTERNS),
 )
 add(
     "flt9_cross_ticker", lambda s, d: flt.cross_ticker(patterns(s, d).withColumn("end_date", F.trunc("end_date", "month")), 3.0).select("pattern_id", "ticker"),
@@ -97,16 +101,37 @@ add("reg3_plain_cross", lambda s, d: reg.plain_cross(bars(s, d)).select("ticker"
 TRANSITIONS = f"{PHASES}, t0 AS (SELECT ticker, date, phase FROM z WHERE phase IS NOT NULL AND coalesce(phase <> lp, true)), tr AS (SELECT ticker, date, phase, lag(phase) OVER w AS before, date_diff('day', date, lead(date) OVER w) AS days FROM t0 WINDOW w AS ({S.BY_DATE}))"
 add("reg2_transitions", lambda s, d: reg.transitions(reg.plain_cross(bars(s, d))), with_bars("SELECT ticker, CAST(date AS VARCHAR) AS since, phase, before, CAST(days AS INTEGER) AS days FROM tr", TRANSITIONS))
 add("reg2_phase_statistics", lambda s, d: reg.phase_statistics(reg.transitions(reg.plain_cross(bars(s, d)))), with_bars(f"SELECT phase, count(*) AS n, {cols('mean_days=avg(days)')}, CAST(max(days) AS INTEGER) AS longest FROM tr GROUP BY 1", TRANSITIONS))
+_to, _sl = "(close / m2 - 1) * 100", "(m2 / was - 1) * 100 * (252.0 / 20)"
+_score = f"CASE WHEN {_to} > 5 THEN 0.3 WHEN {_to} < -5 THEN -0.3 ELSE 0 END + CASE WHEN close > m1 AND m1 > m2 THEN 0.25 WHEN close < m1 AND m1 < m2 THEN -0.25 ELSE 0 END + CASE WHEN {_sl} > 10 THEN 0.25 WHEN {_sl} > 0 THEN 0.125 WHEN {_sl} < -10 THEN -0.25 WHEN {_sl} < 0 THEN -0.125 ELSE 0 END + CASE WHEN v < 15 THEN 0.2 WHEN v > 25 THEN -0.2 ELSE 0 END"
+_means = f"r0 AS (SELECT *, {over('avg', 'close', 50)} AS m1, {over('avg', 'close', 200)} AS m2, ({over('stddev_samp', 'ret', 20)}) * sqrt(252) * 100 AS v FROM b), r1 AS (SELECT *, {S.lag('m2', 19)} AS was FROM r0)"
 add(
-    "reg6_score", lambda s, d: reg.regime_score(bars(s, d)).select("ticker", "date", "points", "regime", "confidence"),
-    with_bars(f"SELECT ticker, {DAY}, pt AS points, CASE WHEN pt >= 2 THEN 'BULL' WHEN pt <= -2 THEN 'BEAR' WHEN pt IS NOT NULL THEN 'SIDEWAYS' END AS regime, {cols('confidence=abs(pt) / 3.0')} FROM (SELECT *, CASE WHEN m2 IS NOT NULL THEN CASE WHEN close > m2 THEN 1 ELSE -1 END + CASE WHEN m1 > m2 THEN 1 ELSE -1 END + CASE WHEN sl > 0 THEN 1 ELSE -1 END END AS pt FROM (SELECT *, {over('avg', 'close', 50)} AS m1, {over('avg', 'close', 200)} AS m2, {S.slope('close', 50)} AS sl FROM b))"),
+    "reg6_score", lambda s, d: reg.regime_score(bars(s, d)).select("ticker", "date", "score", "regime", "confidence"),
+    with_bars(f"SELECT ticker, {DAY}, {cols('score=s;confidence=CASE WHEN abs(s) > 0.3 THEN least(1, (abs(s) - 0.3) / 0.7 + 0.5) WHEN s IS NOT NULL THEN 1 - abs(s) / 0.3 ELSE 0 END')}, CASE WHEN s > 0.3 THEN 'BULL' WHEN s < -0.3 THEN 'BEAR' WHEN s IS NOT NULL THEN 'SIDEWAYS' ELSE 'UNKNOWN' END AS regime FROM (SELECT *, CASE WHEN rn >= 220 THEN round(CAST({_score} AS DOUBLE), 6) END AS s FROM r1)", _means),
+)
+
+
+def _volatility_regimes(s: SparkSession, d: str) -> DataFrame:
+    """A ticker's realised volatility, a year and in percent, as its volatility index."""
+    df = bars(s, d).withColumns({"v": deviation("ret", 20) * (252**0.5 * 100), "m1": mean("close", 50), "m2": mean("close", 200)})
+    v, level = F.col("v"), reg.volatility_level(F.col("v"))
+    return df.select("ticker", "date", "v", level["regime"].alias("regime"), level["confidence"].alias("confidence"), reg.barrier_regime(v).alias("barriers"), reg.trend_regime(F.col("close"), F.col("m1"), F.col("m2")).alias("trend"), reg.trend_regime(F.col("close"), F.col("m1"), F.col("m2"), v).alias("trend_of_calm"))
+
+
+_trend = "WHEN close > m1 AND m1 > m2 THEN 'bullish' WHEN close < m1 AND m1 < m2 THEN 'bearish' WHEN close > m2 THEN 'neutral' WHEN m2 IS NOT NULL THEN 'bearish' END"
+add(
+    "reg7_volatility_level", _volatility_regimes,
+    with_bars(f"SELECT ticker, {DAY}, {cols('v=v;confidence=CASE WHEN v < 15 THEN 0.9 WHEN v < 20 THEN 0.7 WHEN v < 25 THEN 0.6 WHEN v < 30 THEN 0.7 WHEN v IS NOT NULL THEN 0.9 END')}, CASE WHEN v < 20 THEN 'BULL' WHEN v < 25 THEN 'SIDEWAYS' WHEN v IS NOT NULL THEN 'BEAR' END AS regime, CASE WHEN v >= 35 THEN 'crisis' WHEN v >= 25 THEN 'high_volatility' WHEN v >= 18 THEN 'bearish' WHEN v >= 12 THEN 'neutral' WHEN v IS NOT NULL THEN 'bullish' END AS barriers, CASE {_trend} AS trend, CASE WHEN v >= 35 THEN 'crisis' WHEN v >= 25 THEN 'high_volatility' {_trend} AS trend_of_calm FROM r1", _means),
+)
+_three = lambda df: df.withColumn("cls", F.when(F.col("label") == 5, 0).when(F.col("label").isin(3, 4), 2).otherwise(1))
+add(
+    "reg8_danger_rate", lambda s, d: reg.danger_rate(_three(with_label(s, d)), "ticker", label="cls"),
+    with_bars(f"SELECT ticker, n, {cols('danger=dg;target=tg;confidence=CASE regime WHEN \'UNKNOWN\' THEN 0 WHEN \'BULL\' THEN least(1, (0.4 - dg) / 0.15 + 0.5) WHEN \'BEAR\' THEN least(1, (dg - 0.55) / 0.15 + 0.5) ELSE 0.5 END')}, regime FROM (SELECT *, CASE WHEN n < 10 THEN 'UNKNOWN' WHEN dg < 0.4 AND tg > 0.12 THEN 'BULL' WHEN dg > 0.55 THEN 'BEAR' ELSE 'SIDEWAYS' END AS regime FROM (SELECT ticker, count(*) AS n, avg(CAST(label = 5 AS INTEGER)) AS dg, avg(CAST(label IN (3, 4) AS INTEGER)) AS tg FROM wl GROUP BY 1))", WITH_LABEL),
 )
-add("reg7_volatility_level", lambda s, d: bars(s, d).select("ticker", "date", reg.volatility_level(F.col("volume")).alias("level")), with_bars(f"SELECT ticker, {DAY}, CASE WHEN volume < 15 THEN 'calm' WHEN volume < 25 THEN 'normal' WHEN volume < 35 THEN 'tense' WHEN volume IS NOT NULL THEN 'crisis' END AS level FROM b"))
-add("reg8_danger_rate", lambda s, d: reg.danger_rate(with_label(s, d), "ticker", 40, 0.5, 0.8), with_bars(f"SELECT ticker, n, {cols('danger=dg')}, CASE WHEN n < 40 THEN 'unknown' WHEN dg < 0.5 THEN 'good' WHEN dg < 0.8 THEN 'mixed' ELSE 'bad' END AS regime FROM (SELECT ticker, count(*) AS n, avg(CAST(label = 5 AS INTEGER)) AS dg FROM wl GROUP BY 1)", WITH_LABEL))
 add(
     "reg9_lagged_history", lambda s, d: reg.lagged_history(with_label(s, d), "1996-01-01", "1999-12-31"),
     with_bars(f"SELECT CAST(day AS VARCHAR) AS day, count(*) AS n, {cols('danger=avg(CAST(label = 5 AS INTEGER))')} FROM (SELECT dy.day, wl.label, row_number() OVER (PARTITION BY dy.day ORDER BY end_date DESC, pattern_id DESC) AS rk FROM (SELECT CAST(DATE '1996-01-01' + CAST(k * 7 AS INTEGER) AS DATE) AS day FROM range(0, 209) AS r(k)) AS dy JOIN wl ON wl.end_date + 100 <= dy.day WHERE dy.day <= DATE '1999-12-31') WHERE rk <= 50 GROUP BY day", WITH_LABEL),
 )
-add("reg10_index_features", lambda s, d: reg.index_features(bars(s, d)).select("ticker", "date", "to_200", "momentum_20", "above_50"), with_bars(f"SELECT ticker, {DAY}, {cols('to_200=coalesce(' + S.clip(div('close', over('avg', 'close', 200)) + ' - 1', -1, 1) + ', 0);momentum_20=coalesce(' + S.clip(div('close', S.lag('close', 20)) + ' - 1', -1, 1) + ', 0)')}, coalesce(CAST(close > ({over('avg', 'close', 50)}) AS INTEGER), 0) AS above_50 FROM b"))
+_ix = {"to_200": S.clip(div("close", over("avg", "close", 200)), 0.8, 1.3), "momentum_20": S.clip(div("close", S.lag("close", 19)) + " - 1", -0.15, 0.15), "above_50": f"CAST(close > ({over('avg', 'close', 50)}) AS INTEGER)"}
+add("reg10_index_features", lambda s, d: reg.index_features(bars(s, d)).select("ticker", "date", *_ix), with_bars(f"SELECT ticker, {DAY}, {cols(';'.join(f'{k}=CASE WHEN rn >= 200 THEN coalesce({x}, {n}) ELSE {n} END' for (k, x), n in zip(_ix.items(), (1, 0, 1), strict=True)))} FROM b"))
 _years = " ".join(f"WHEN {y} THEN '{n}'" for y, n in reg.YEAR_REGIMES.items())
 add("reg11_year_regime", lambda s, d: patterns(s, d).select("pattern_id", reg.year_regime(F.col("end_date")).alias("regime")), with_bars(f"SELECT pattern_id, CASE year(end_date) {_years} ELSE 'unknown' END AS regime FROM p", PATTERNS))

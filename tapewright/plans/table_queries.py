@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.operators import sequences as seq
+from tapewright.operators import statistics as st
 from tapewright.operators import tabulation as tab
 from tapewright.plans import sqltext as S
 from tapewright.plans.bar_queries import DAY, with_bars
@@ -36,7 +37,12 @@ PERFORMANCE = """g0 AS (SELECT *, ret AS g, quantile_cont(ret, 0.05) OVER (PARTI
 _shown = "mean=mean;sharpe=sharpe;sortino=sortino;var_5=var_5;cvar_5=cvar_5;rate=rate;win=win;loss=loss;expectancy=rate * coalesce(win, 0) - (1 - rate) * coalesce(loss, 0);kelly=least(greatest(rate - (1 - rate) / nullif(win / nullif(loss, 0), 0), 0), 0.25)"
 add("agg10_performance", lambda s, d: tab.performance(bars(s, d), [F.col("ticker")], "ret"), with_bars(f"SELECT key AS ticker, n, {cols(_shown)} FROM g1", PERFORMANCE.format(key="ticker")))
 add("agg12_monthly", lambda s, d: tab.performance(bars(s, d), [F.trunc("date", "month").alias("month")], "ret").select("month", "n", "mean", "rate", "kelly"), with_bars(f"SELECT CAST(key AS VARCHAR) AS month, n, {cols('mean=mean;rate=rate;kelly=least(greatest(rate - (1 - rate) / nullif(win / nullif(loss, 0), 0), 0), 0.25)')} FROM g1", PERFORMANCE.format(key="CAST(date_trunc('month', date) AS DATE)")))
-add("agg31_strategy_score", lambda s, d: tab.strategy_score(tab.performance(bars(s, d), [F.col("ticker")], "ret")).select("ticker", "score"), with_bars("SELECT key AS ticker, CASE WHEN sharpe > 0.1 THEN 2 ELSE 0 END + CASE WHEN rate > 0.45 THEN 2 ELSE 0 END + CASE WHEN rate * coalesce(win, 0) - (1 - rate) * coalesce(loss, 0) > 0 THEN 2 ELSE 0 END + CASE WHEN least(greatest(rate - (1 - rate) / nullif(win / nullif(loss, 0), 0), 0), 0.25) > 0.1 THEN 2 ELSE 0 END + CASE WHEN n >= 30 THEN 2 ELSE 0 END AS score FROM g1", PERFORMANCE.format(key="ticker")))
+add(
+    "agg31_strategy_score", lambda s, d: tab.strategy_score(st.risk_reward(bars(s, d), "ticker", "ret").join(tab.compounded_drawdown(bars(s, d), "ticker", "date", "ret"), "ticker")).select("ticker", "rate", "profit_factor", "score"),
+    with_bars(f"""SELECT ticker, {cols('rate=rate;profit_factor=pf')}, {' + '.join(f'CASE WHEN {c} > {x} THEN 2 WHEN {c} > {y} THEN 1 ELSE 0 END' for c, x, y in (('rate', 0.3, 0.2), ('sharpe', 1.5, 1.0), ('pf', 2.0, 1.5), ('dd', -0.15, -0.25), ('e', 0.05, 0.02)))} AS score FROM
+      (SELECT ticker, sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) / nullif(-sum(CASE WHEN ret < 0 THEN ret ELSE 0 END), 0) AS pf, avg(ret) AS e, avg(ret) / nullif(stddev_samp(ret), 0) AS sharpe, avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret <= 0 THEN 0 END) AS rate FROM b GROUP BY 1)
+      JOIN (SELECT ticker, min(exp(lg - greatest(mx, 0)) - 1) AS dd FROM (SELECT *, max(lg) OVER ({S.BY_DATE} ROWS UNBOUNDED PRECEDING) AS mx FROM (SELECT ticker, date, sum(ln(1 + ret)) OVER ({S.BY_DATE} ROWS UNBOUNDED PRECEDING) AS lg FROM b WHERE ret > -1)) GROUP BY 1) USING (ticker)"""),
+)
 add(
     "agg13_compounded", lambda s, d: tab.compounded_drawdown(bars(s, d), "ticker", "date", "ret"),
     with_bars(f"SELECT ticker, {cols('log_growth=arg_max(lg, date);max_drawdown=min(exp(lg - greatest(mx, 0)) - 1)')} FROM (SELECT *, max(lg) OVER ({S.BY_DATE} ROWS UNBOUNDED PRECEDING) AS mx FROM (SELECT ticker, date, sum(ln(1 + ret)) OVER ({S.BY_DATE} ROWS UNBOUNDED PRECEDING) AS lg FROM b WHERE ret > -1)) GROUP BY 1"),

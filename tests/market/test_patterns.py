@@ -53,7 +53,7 @@ def test_labels_on_hand_made_paths(spark):
     p = pattern(spark)
     assert outcomes.breakouts(p, rise).first().direction == 1 and outcomes.breakouts(p, fall).first().direction == -1
     assert outcomes.breakouts(p, rise).first().break_day == 2 and outcomes.breakouts(p, rise).first().confirmed
-    assert outcomes.graceful_breach(p, fall, drop=0.1).first().label == 5 and outcomes.graceful_breach(p, rise).first().label == 4
+    assert outcomes.graceful_breach(p, fall, drop=0.1).first().label == 5 and outcomes.graceful_breach(p, rise).first().label == 3  # 35 % come before 75 %
     assert labels.structural(p, fall).first().label == 0 and labels.structural(p, rise, times=2.0).first().label == 2
     assert outcomes.volume_confirmed(p, rise).first().confirmed is False
     assert outcomes.re_entries(p, spark.createDataFrame(prepared(spark.createDataFrame(series([10, 10, 10, 12, 12, 10, 10, 12, 10]), SCHEMA)).collect(), rise.schema)).first().re_entries == 2
@@ -75,7 +75,7 @@ def test_clusters_stay_together_and_folds_are_purged(spark):
 
 
 def test_filings_and_cross_ticker(spark):
-    docs = spark.createDataFrame([(1, "8-K", "an equity line of credit"), (2, "10-K", "an equity line of credit"), (3, "10-K", "sold to Alpha Capital LLC"), (4, "8-K", "a shell company"), (5, None, None)], "doc_id int, filing_type string, text string")
+    docs = spark.createDataFrame([(1, "8-K", "toxic convertible notes"), (2, "DEF 14A", "toxic convertible notes"), (3, "10-K", "sold to Auctus Fund LLC"), (4, "8-K", "a shell company"), (5, None, None)], "doc_id int, filing_type string, text string")
     assert {r.doc_id: r.passes for r in filters.filings(docs).collect()} == {1: False, 2: True, 3: False, 4: True, 5: True}
     p = pattern(spark)
     twin = p.withColumns({"ticker": F.lit("B"), "pattern_id": F.lit("B-3"), "upper": F.col("upper") * 1.0001, "money": F.lit(5000.0)})
