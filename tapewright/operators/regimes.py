@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.functions.positions import running
 from tapewright.functions.rolling import by_date, clip, deviation, lag, mean, ratio, slope
 
 
@@ -74,19 +75,61 @@ def danger_rate(labelled: DataFrame, key: str, least: int = 10, bull: float = 0.
     return out.withColumns({"regime": regime, "confidence": sure})
 
 
-def lagged_history(labelled: DataFrame, first: str, last: str, step: int = 7, lag_days: int = 100, most: int = 50) -> DataFrame:
-    """Every ``step`` days the share of failures of the last patterns whose outcome was known by then.
+#: Below .40 dangers and above .12 targets a market is a bull, surely so below .30 and above .15; above .55
+#: dangers it is a bear, surely so above .60. At least ten patterns must be known.
+LEAST, BULL, TARGETS, BEAR = 10, 0.4, 0.12, 0.55
 
-    A pattern asks for the days from its end plus the lag on, as far back as ``most`` patterns can reach: the counts by
-    date, a row a day, tell how far that is.
+
+def live_regime(n: Column, danger: Column, target: Column) -> Column:
+    """(regime, confidence) by how many of the last patterns there are and the shares of dangers and targets."""
+    bull, bear = (danger < BULL) & (target > TARGETS), danger > BEAR
+    regime = F.when(F.coalesce(n, F.lit(0)) < LEAST, "UNKNOWN").when(bull, "BULL").when(bear, "BEAR").otherwise("SIDEWAYS")
+    sure = F.when(F.coalesce(n, F.lit(0)) < LEAST, "NONE").when(bull & (danger < 0.3) & (target > 0.15), "HIGH").when(~bull & (danger > 0.6), "HIGH").otherwise("MEDIUM")
+    return F.struct(regime.alias("regime"), sure.alias("confidence"))
+
+
+def _known(labelled: DataFrame, lag_days: int, label: str, key: list[str]) -> DataFrame:
+    """Patterns with the first day on which their outcome counts, and running counts of them all, dangers and targets."""
+    df = labelled.withColumn("known", F.date_add("end_date", lag_days + 1))
+    return running(df, "known", ["pattern_id"], {"dangers": (F.col(label) == 0).cast("int"), "targets": (F.col(label) == 2).cast("int")}, key)
+
+
+def _rates(known: DataFrame, asked: DataFrame, most: int, key: list[str]) -> DataFrame:
+    """``asked`` (key, day, upto: how many outcomes are known) with the shares of the last ``most`` of them."""
+    at = known.select(*key, "place", "dangers", "targets")
+    last = at.select(*[F.col(k).alias(f"__l{k}") for k in key], F.col("place").alias("__last"), F.col("dangers").alias("__d1"), F.col("targets").alias("__t1"))
+    first = at.select(*[F.col(k).alias(f"__f{k}") for k in key], F.col("place").alias("__first"), F.col("dangers").alias("__d0"), F.col("targets").alias("__t0"))
+    same = lambda side: [F.col(k) == F.col(f"__{side}{k}") for k in key]
+    j = asked.join(last, [F.col("upto") == F.col("__last"), *same("l")], "left").join(first, [F.col("upto") - most == F.col("__first"), *same("f")], "left")
+    n = F.least("upto", F.lit(most))
+    share = lambda c: ratio((F.coalesce(f"__{c}1", F.lit(0)) - F.coalesce(f"__{c}0", F.lit(0))).cast("double"), n.cast("double"))
+    j = j.select(*key, "day", n.alias("n"), share("d").alias("danger"), share("t").alias("target"))
+    told = live_regime(F.col("n"), F.col("danger"), F.col("target"))
+    return j.withColumns({"regime": told["regime"], "confidence": told["confidence"]})
+
+
+def lagged_history(labelled: DataFrame, first: str, last: str, step: int = 7, lag_days: int = 60, most: int = 100, label: str = "label") -> DataFrame:
+    """Every ``step`` days the market by the last ``most`` patterns whose outcome was known: those that ended more than
+    ``lag_days`` before. Labels are 0 danger, 1 noise, 2 target.
+
+    Patterns get running counts by day and part of a day; a day then needs the counts at two places.
     """
-    days = labelled.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr(f"INTERVAL {step} DAYS"))).alias("day"))
-    known = labelled.withColumns({"known": F.date_add("end_date", lag_days), "place": F.row_number().over(Window.orderBy("end_date", "pattern_id"))})
-    counts = known.groupBy("known").agg(F.count("*").alias("k"))
-    upto = days.join(counts, F.col("known") <= F.col("day"), "left").groupBy("day").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("upto"))
-    asked = upto.withColumn("place", F.explode(F.sequence(F.greatest(F.col("upto") - most + 1, F.lit(1)), F.greatest("upto", F.lit(1))).cast("array<int>")))
-    j = asked.join(known.select("place", "label", "known"), "place").where("known <= day")
-    return j.groupBy("day").agg(F.count("*").alias("n"), F.avg((F.col("label") == 5).cast("double")).alias("danger"))
+    known = _known(labelled, lag_days, label, [])
+    days = labelled.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr(f"INTERVAL {step} DAYS"))).alias("day"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("k"))
+    counts = known.groupBy(F.col("known").alias("day")).agg(F.count("*").alias("k")).select("day", F.lit(0).alias("asks"), "k")
+    upto = F.sum("k").over(Window.orderBy("day", "asks"))  # a row for each date, and one for each that is asked for
+    return _rates(known, counts.unionByName(days).withColumn("upto", upto).where("asks = 1").select("day", "upto"), most, [])
+
+
+def regime_alerts(labelled: DataFrame, key: str, lag_days: int = 60, most: int = 100, label: str = "label") -> DataFrame:
+    """By key the days on which the market, by the last ``most`` outcomes known, is another than on the day before that
+    had outcomes: the one before, the new one, and whether trading opens or closes. A first day gives no alert."""
+    known = _known(labelled, lag_days, label, [key])
+    asked = known.groupBy(key, F.col("known").alias("day")).agg(F.max("place").alias("upto"))
+    was = F.lag("regime").over(Window.partitionBy(key).orderBy("day"))  # a row for each day of a key
+    out = _rates(known, asked, most, [key]).withColumn("before", was).where(F.col("before") != F.col("regime"))
+    window = F.when((F.col("regime") == "BULL") & F.col("before").isin("BEAR", "SIDEWAYS"), "OPEN").when((F.col("before") == "BULL") & F.col("regime").isin("BEAR", "SIDEWAYS"), "CLOSED")
+    return out.select(key, "day", "before", "regime", "n", "danger", "target", window.alias("trading"))
 
 
 def index_features(bars: DataFrame) -> DataFrame:

@@ -127,9 +127,19 @@ add(
     "reg8_danger_rate", lambda s, d: reg.danger_rate(_three(with_label(s, d)), "ticker", label="cls"),
     with_bars(f"SELECT ticker, n, {cols('danger=dg;target=tg;confidence=CASE regime WHEN \'UNKNOWN\' THEN 0 WHEN \'BULL\' THEN least(1, (0.4 - dg) / 0.15 + 0.5) WHEN \'BEAR\' THEN least(1, (dg - 0.55) / 0.15 + 0.5) ELSE 0.5 END')}, regime FROM (SELECT *, CASE WHEN n < 10 THEN 'UNKNOWN' WHEN dg < 0.4 AND tg > 0.12 THEN 'BULL' WHEN dg > 0.55 THEN 'BEAR' ELSE 'SIDEWAYS' END AS regime FROM (SELECT ticker, count(*) AS n, avg(CAST(label = 5 AS INTEGER)) AS dg, avg(CAST(label IN (3, 4) AS INTEGER)) AS tg FROM wl GROUP BY 1))", WITH_LABEL),
 )
+KNOWN = f"""{WITH_LABEL}, kn0 AS (SELECT *, end_date + 61 AS known, CASE WHEN label = 5 THEN 0 WHEN label IN (3, 4) THEN 2 ELSE 1 END AS cls FROM wl),
+kn AS (SELECT *, md5(pattern_id) AS mk FROM kn0)"""
+_told = "CASE WHEN n < 10 THEN 'UNKNOWN' WHEN danger < 0.4 AND target > 0.12 THEN 'BULL' WHEN danger > 0.55 THEN 'BEAR' ELSE 'SIDEWAYS' END AS regime"
+_sure = "CASE WHEN n < 10 THEN 'NONE' WHEN danger < 0.3 AND target > 0.15 THEN 'HIGH' WHEN danger > 0.6 AND NOT (danger < 0.4 AND target > 0.12) THEN 'HIGH' ELSE 'MEDIUM' END AS confidence"
+_lasts = "SELECT {k}day, count(mk) AS n, avg(CAST(cls = 0 AS INTEGER)) AS danger, avg(CAST(cls = 2 AS INTEGER)) AS target FROM (SELECT {a}dy.day, mk, cls, row_number() OVER (PARTITION BY {a}dy.day ORDER BY kn.known DESC, mk DESC) AS rk FROM {days} AS dy LEFT JOIN kn ON {on}kn.known <= dy.day) WHERE rk <= {most} GROUP BY ALL"
+_weeks = "(SELECT CAST(DATE '1996-01-01' + CAST(k * 7 AS INTEGER) AS DATE) AS day FROM range(0, 209) AS r(k))"
 add(
-    "reg9_lagged_history", lambda s, d: reg.lagged_history(with_label(s, d), "1996-01-01", "1999-12-31"),
-    with_bars(f"SELECT CAST(day AS VARCHAR) AS day, count(*) AS n, {cols('danger=avg(CAST(label = 5 AS INTEGER))')} FROM (SELECT dy.day, wl.label, row_number() OVER (PARTITION BY dy.day ORDER BY end_date DESC, pattern_id DESC) AS rk FROM (SELECT CAST(DATE '1996-01-01' + CAST(k * 7 AS INTEGER) AS DATE) AS day FROM range(0, 209) AS r(k)) AS dy JOIN wl ON wl.end_date + 100 <= dy.day WHERE dy.day <= DATE '1999-12-31') WHERE rk <= 50 GROUP BY day", WITH_LABEL),
+    "reg9_lagged_history", lambda s, d: reg.lagged_history(_three(with_label(s, d)), "1996-01-01", "1999-12-31", label="cls"),
+    with_bars(f"SELECT CAST(day AS VARCHAR) AS day, n, {cols('danger=danger;target=target')}, {_told}, {_sure} FROM ({_lasts.format(k='', a='', on='', days=_weeks, most=100)})", KNOWN),
+)
+add(
+    "reg12_regime_alerts", lambda s, d: reg.regime_alerts(_three(with_label(s, d)), "ticker", most=20, label="cls"),
+    with_bars(f"SELECT ticker, CAST(day AS VARCHAR) AS day, before, regime, n, {cols('danger=danger;target=target')}, CASE WHEN regime = 'BULL' AND before IN ('BEAR', 'SIDEWAYS') THEN 'OPEN' WHEN before = 'BULL' AND regime IN ('BEAR', 'SIDEWAYS') THEN 'CLOSED' END AS trading FROM (SELECT *, lag(regime) OVER (PARTITION BY ticker ORDER BY day) AS before FROM (SELECT *, {_told} FROM ({_lasts.format(k='ticker, ', a='dy.ticker, ', on='kn.ticker = dy.ticker AND ', days='(SELECT DISTINCT ticker, known AS day FROM kn)', most=20)}))) WHERE before <> regime", KNOWN),
 )
 _ix = {"to_200": S.clip(div("close", over("avg", "close", 200)), 0.8, 1.3), "momentum_20": S.clip(div("close", S.lag("close", 19)) + " - 1", -0.15, 0.15), "above_50": f"CAST(close > ({over('avg', 'close', 50)}) AS INTEGER)"}
 add("reg10_index_features", lambda s, d: reg.index_features(bars(s, d)).select("ticker", "date", *_ix), with_bars(f"SELECT ticker, {DAY}, {cols(';'.join(f'{k}=CASE WHEN rn >= 200 THEN coalesce({x}, {n}) ELSE {n} END' for (k, x), n in zip(_ix.items(), (1, 0, 1), strict=True)))} FROM b"))
