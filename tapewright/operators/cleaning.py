@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.functions.positions import percentiles
 from tapewright.functions.rolling import by_date, deviation, lag, mean, ratio
 
 #: Names that mean the same as a standard column, lower-cased and without blanks.
@@ -106,5 +107,5 @@ def made_up(bars: DataFrame) -> DataFrame:
 def statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: count, mean, deviation, extremes, quartiles."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
-    q = lambda p: F.percentile("value", F.lit(p))
-    return long.groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("least"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("value").alias("most"))
+    plain = long.groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return plain.join(percentiles(long, "value", ["column"], {"q25": 0.25, "q50": 0.5, "q75": 0.75}), "column", "left").select("column", "n", "mean", "std", "least", "q25", "q50", "q75", "most")

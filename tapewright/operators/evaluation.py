@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.functions.positions import cumulative, percentiles
 from tapewright.functions.rolling import ratio
 from tapewright.operators.labels import after, first_day
 
@@ -58,9 +59,10 @@ def at_thresholds(scored: DataFrame, hit: str, bounds: list[float]) -> DataFrame
 def ev_calibration(scored: DataFrame, actual: str, bins: int = 10) -> DataFrame:
     """Mean expected and actual value by bins of equal numbers of rows.
 
-    The bins' edges are exact quantiles, whose counts of distinct values are merged in one task.
+    The bins' edges are exact quantiles from counts of distinct values in parts.
     """
-    edges = scored.agg(F.array_distinct(F.percentile("ev", F.array(*[F.lit(i / bins) for i in range(1, bins)]))).alias("__e"))
+    edges = percentiles(scored, "ev", [], {f"e{i}": i / bins for i in range(1, bins)})  # one row
+    edges = edges.select(F.array_distinct(F.array(*[f"e{i}" for i in range(1, bins)])).alias("__e"))
     df = scored.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("__e", lambda e: e < F.col("ev"))))
     return df.groupBy("bin").agg(F.count("*").alias("n"), F.avg("ev").alias("mean_ev"), F.avg(actual).alias("mean_actual"))
 
@@ -109,10 +111,13 @@ def ensemble_uncertainty(members: DataFrame, key: str) -> DataFrame:
     p = [F.col(f"p{k}") for k in range(3)]
     best = F.when((p[0] >= p[1]) & (p[0] >= p[2]), 0).when(p[1] >= p[2], 1).otherwise(2)
     df = members.withColumns({"__ev": ev, "__h": entropy(*p), "__b": best})
-    out = df.groupBy(key).agg(*[F.avg(f"p{k}").alias(f"mean_{k}") for k in range(3)], *[F.stddev_pop(f"p{k}").alias(f"std_{k}") for k in range(3)], F.avg("__ev").alias("ev_mean"), F.stddev_pop("__ev").alias("ev_std"), F.percentile("__ev", F.lit(0.05)).alias("ev_low"), F.percentile("__ev", F.lit(0.95)).alias("ev_high"), F.avg("__h").alias("aleatoric"), F.mode("__b", True).alias("modal"), F.collect_list("__b").alias("__bs"))
-    agree = F.size(F.filter("__bs", lambda b: b == F.col("modal"))) / F.size("__bs")
+    out = df.groupBy(key).agg(*[F.avg(f"p{k}").alias(f"mean_{k}") for k in range(3)], *[F.stddev_pop(f"p{k}").alias(f"std_{k}") for k in range(3)], F.avg("__ev").alias("ev_mean"), F.stddev_pop("__ev").alias("ev_std"), F.percentile("__ev", F.lit(0.05)).alias("ev_low"), F.percentile("__ev", F.lit(0.95)).alias("ev_high"), F.avg("__h").alias("aleatoric"), *[F.count_if(F.col("__b") == k).alias(f"__n{k}") for k in range(3)])
+    n = [F.col(f"__n{k}") for k in range(3)]
+    most = F.greatest(*n)
+    out = out.withColumn("modal", F.when(n[0] == most, 0).when(n[1] == most, 1).otherwise(2))
+    agree = most / (n[0] + n[1] + n[2])
     epistemic = sum((F.col(f"std_{k}") * F.col(f"std_{k}") for k in (1, 2)), F.col("std_0") * F.col("std_0")) / 3
-    return out.withColumns({"agreement": agree, "epistemic": epistemic}).drop("__bs")
+    return out.withColumns({"agreement": agree, "epistemic": epistemic}).drop(*[f"__n{k}" for k in range(3)])
 
 
 def importance_ranks(runs: DataFrame) -> DataFrame:
@@ -140,3 +145,31 @@ def class_drift(labelled: DataFrame, early: Column, label: str) -> DataFrame:
     every = Window.partitionBy()  # one row a class
     p, q = F.greatest(F.col("a") / F.sum("a").over(every), F.lit(1e-6)), F.greatest(F.col("b") / F.sum("b").over(every), F.lit(1e-6))
     return n.select(p.alias("p"), q.alias("q")).agg((F.sum(F.col("q") * F.ln(F.col("q") / F.col("p")))).alias("kl"), F.count("*").alias("classes"))
+
+
+def normal_cdf(x: Column) -> Column:
+    """The standard normal distribution, by a rational approximation of the error function; to 1e-7."""
+    #: The approximation's coefficients.
+    a = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+    z = F.abs(x) / 2**0.5
+    t = 1 / (1 + 0.3275911 * z)
+    series = t * (a[0] + t * (a[1] + t * (a[2] + t * (a[3] + t * a[4]))))
+    half = 0.5 * (1 - series * F.exp(-z * z))
+    return 0.5 + F.signum(x) * half
+
+
+def normality(df: DataFrame, features: dict[str, tuple[float, float]], terms: int = 100) -> DataFrame:
+    """By feature: how far its values' distribution is from the normal one of a reference's mean and deviation.
+
+    The Kolmogorov-Smirnov distance, its asymptotic probability, and whether that is below .05. Places of all values
+    come from counts of distinct ones (nulls don't count), so that no task sees a feature's all.
+    """
+    each = [F.struct(F.lit(k).alias("feature"), ((F.col(k) - mu) / sd).cast("double").alias("z")) for k, (mu, sd) in features.items() if sd]
+    c = cumulative(df.select(F.explode(F.array(*each)).alias("x")).select("x.*"), "z", ["feature"])
+    phi, n = normal_cdf(F.col("z")), F.col("total")
+    away = F.greatest(F.abs((F.col("before") + F.col("count")) / n - phi), F.abs(F.col("before") / n - phi))
+    out = c.groupBy("feature").agg(F.max(n).alias("n"), F.max(away).alias("distance"))
+    x = F.col("n") * F.col("distance") * F.col("distance")
+    tail = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * x))
+    p = F.when(x < 0.04, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail)))
+    return out.withColumn("p_value", p).withColumn("drifts", F.col("p_value") < 0.05)

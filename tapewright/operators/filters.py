@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.functions.positions import percentiles
+
 #: Names of lenders, terms of financing and words of shells that a filing is screened for.
 LENDERS = (
     "streeterville capital", "jmj financial", r"st\.?\s*george investments", "auctus fund", "adar bays", "commonwealth investment", "crown bridge", "eagle equities", "ema financial", "firstfire",
@@ -86,7 +88,7 @@ def overlapping(patterns: DataFrame, days: int = 30) -> DataFrame:
 
 def oversampled(patterns: DataFrame, score: str, share: float = 0.2, copies: int = 3) -> DataFrame:
     """Each of the best ``share`` so many times, all others once."""
-    cut = patterns.agg(F.percentile(score, F.lit(1 - share)).alias("__cut"))  # one row
+    cut = percentiles(patterns, score, [], {"__cut": 1 - share})  # one row
     n = F.when(F.col(score) >= F.col("__cut"), copies).otherwise(1)
     return patterns.join(F.broadcast(cut)).withColumn("copy", F.explode(F.sequence(F.lit(1), n))).drop("__cut")
 

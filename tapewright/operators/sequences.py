@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.functions.positions import percentiles
 from tapewright.functions.rolling import quantile
 from tapewright.operators.joins import interval
 
@@ -44,16 +45,58 @@ def scaled(df: DataFrame, columns: list[str], train: str, method: str = "standar
     elif method == "minmax":
         low, span = (lambda c: F.min(on(c))), (lambda c: F.max(on(c)) - F.min(on(c)))
     else:
-        low, span = (lambda c: F.percentile(on(c), F.lit(0.5))), (lambda c: F.percentile(on(c), F.lit(0.75)) - F.percentile(on(c), F.lit(0.25)))
+        return scaled_by(df, columns, robust_parameters(df.where(F.col(train)), columns))
     params = df.agg(*[low(c).alias(f"__low_{c}") for c in columns], *[span(c).alias(f"__span_{c}") for c in columns])
     out = df.join(F.broadcast(params))
     safe = lambda c: F.when(F.col(f"__span_{c}") < 1e-6, 1.0).otherwise(F.col(f"__span_{c}"))
     return out.select(*[((F.col(c) - F.col(f"__low_{c}")) / safe(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def scaled_by(df: DataFrame, columns: list[str], params: DataFrame) -> DataFrame:
+    """Columns less their median, by their IQR: ``params`` has column, median and iqr, a row for each of ``columns``."""
+    one = params.agg(*[F.max(F.when(F.col("column") == c, F.col(x))).alias(f"__{x}_{c}") for c in columns for x in ("median", "iqr")])  # one row
+    out = df.join(F.broadcast(one))
+    return out.select(*[((F.col(c) - F.col(f"__median_{c}")) / F.col(f"__iqr_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def _long(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+    each = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+    return df.select(*keep, F.explode(F.array(*each)).alias("x")).select(*keep, "x.*").where("value IS NOT NULL AND NOT isnan(value)")
+
+
+def _parameters(quartiles: DataFrame) -> DataFrame:
+    """An IQR below a millionth counts as 1."""
+    iqr = F.col("q3") - F.col("q1")
+    return quartiles.withColumn("iqr", F.when(iqr < 1e-6, 1.0).otherwise(iqr))
+
+
+def robust_parameters(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Exact medians and IQRs of columns over all rows; values that are null or no number don't count."""
+    return _parameters(percentiles(_long(df, columns), "value", ["column"], {"q1": 0.25, "median": 0.5, "q3": 0.75})).select("column", "median", "iqr", "q1", "q3")
+
+
+def sketched(df: DataFrame, columns: list[str], by: list[str] | None = None, k: int = 800) -> DataFrame:
+    """A quantile sketch of each column (for each value of ``by``): a table of some kilobytes a row, made in one pass.
+
+    Sketches of new rows can be kept beside those of earlier ones, and are merged when parameters are asked for. Larger
+    ``k`` means closer ranks: 800 errs by about .4 %.
+    """
+    by = by or []
+    return _long(df, columns, *by).groupBy(*by, "column").agg(F.kll_sketch_agg_double("value", k).alias("sketch"))
+
+
+def sketched_parameters(sketches: DataFrame) -> DataFrame:
+    """Medians and IQRs of all that the sketches of a column have seen, and how many values that were."""
+    merged = sketches.groupBy("column").agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    q = lambda p: F.kll_sketch_get_quantile_double("sketch", F.lit(p))
+    return _parameters(merged.select("column", q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), F.kll_sketch_get_n_double("sketch").alias("n"))).select("column", "median", "iqr", "q1", "q3", "n")
+
+
 def padded(df: DataFrame, column: str, n: int, value: float = 0.0, front: bool = True) -> DataFrame:
     """Lists of exactly n values: the last n of longer ones, padded before (or after) the shorter."""
     size = F.size(column)
     cut = F.when(size > n, F.slice(column, size - n + 1, F.lit(n))).otherwise(F.col(column))
     pad = F.array_repeat(F.lit(value), F.greatest(F.lit(n) - size, F.lit(0)))
     return df.withColumn(column, F.concat(pad, cut) if front else F.concat(cut, pad))
+
+

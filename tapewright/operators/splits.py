@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.functions.positions import running
+
 
 def by_cutoffs(df: DataFrame, date: str, train_end: str, val_end: str) -> DataFrame:
     """train up to one date, val up to another, test after it."""
@@ -100,7 +102,12 @@ def unseen(split: DataFrame, key: str) -> DataFrame:
 
 
 def stratified(df: DataFrame, label: str, key: str, test_share: float = 0.2, val_share: float = 0.2) -> DataFrame:
-    """A draw by a hash of the key within each class, for where time plays no part."""
-    w = Window.partitionBy(label)
-    place = (F.row_number().over(w.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)) - 1) / F.count("*").over(w)
-    return df.withColumn("split", F.when(place < test_share, "test").when(place < test_share + val_share, "val").otherwise("train"))
+    """A draw by a hash of the key within each class, for where time plays no part.
+
+    Places in a class come from parts of it by the hash; classes' sizes are a row each.
+    """
+    placed = running(df, label, [key], {}, [label])
+    sizes = df.groupBy(F.col(label).alias("__class")).agg(F.count("*").alias("__n"))
+    df = placed.join(sizes, F.col(label).eqNullSafe(F.col("__class")))
+    place = (F.col("place") - 1) / F.col("__n")
+    return df.withColumn("split", F.when(place < test_share, "test").when(place < test_share + val_share, "val").otherwise("train")).drop("place", "__class", "__n")

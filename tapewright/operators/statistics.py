@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.functions.positions import percentiles
 from tapewright.functions.rolling import by_date, mean, ratio, rows
 
 
 def method_effectiveness(flagged: DataFrame, methods: tuple[str, ...], gain: str, success: float = 0.1) -> DataFrame:
     """Per method: flagged rows, mean and median gain after them, and how often it was a success."""
     long = flagged.select(F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("on")) for m in methods])).alias("x"), gain).where("x.on")
-    return long.groupBy("x.method").agg(F.count("*").alias("n"), F.avg(gain).alias("mean_gain"), F.percentile(gain, F.lit(0.5)).alias("median_gain"), F.avg((F.col(gain) >= success).cast("double")).alias("success"))
+    long = long.select(F.col("x.method").alias("method"), gain)
+    medians = percentiles(long, gain, ["method"], {"median_gain": 0.5})
+    return medians.join(long.groupBy("method").agg(F.count("*").alias("n"), F.avg(gain).alias("mean_gain"), F.avg((F.col(gain) >= success).cast("double")).alias("success")), "method", "right").select("method", "n", "mean_gain", "median_gain", "success")
 
 
 def method_agreement(flagged: DataFrame, methods: tuple[str, ...], gain: str) -> DataFrame:
@@ -119,7 +122,8 @@ def calibration(df: DataFrame, probability: str, hit: str, bins: int = 10) -> Da
 
 def stability_index(df: DataFrame, value: str, later: Column, bins: int = 10) -> DataFrame:
     """Population stability of a value, later rows against earlier ones, in bins of the earlier rows' quantiles."""
-    edges = df.where(~later).agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("edges"))
+    edges = percentiles(df.where(~later), value, [], {f"e{i}": i / bins for i in range(bins + 1)})  # one row
+    edges = edges.select(F.array(*[f"e{i}" for i in range(bins + 1)]).alias("edges"))
     inside = df.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(value))))
     kept = inside.withColumn("bin", F.when(F.col(value) == F.element_at("edges", -1), bins).otherwise(F.col("bin")))
     shares = kept.groupBy("bin").agg(F.count_if(~later).alias("a"), F.count_if(later).alias("b"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.functions.positions import percentiles
 from tapewright.functions.rolling import ratio
 
 
@@ -62,7 +63,8 @@ def winners_ranges(df: DataFrame, features: list[str], won: str) -> DataFrame:
     """Per feature: correlation with winning, and the middle half of the winners' values."""
     long = df.select(F.col(won).alias("won"), *[F.col(f).cast("double").alias(f) for f in features]).unpivot(["won"], features, "feature", "value")
     winner = F.when(F.col("won"), F.col("value"))
-    return long.groupBy("feature").agg(F.corr("value", F.col("won").cast("double")).alias("correlation"), F.percentile(winner, F.lit(0.25)).alias("q25"), F.percentile(winner, F.lit(0.75)).alias("q75"), F.avg(winner).alias("mean"))
+    middle = percentiles(long.where("won"), "value", ["feature"], {"q25": 0.25, "q75": 0.75})
+    return long.groupBy("feature").agg(F.corr("value", F.col("won").cast("double")).alias("correlation"), F.avg(winner).alias("mean")).join(middle, "feature", "left").select("feature", "correlation", "q25", "q75", "mean")
 
 
 def heat_map(df: DataFrame, x: str, y: str, xs: list[float], ys: list[float], value: str) -> DataFrame:
