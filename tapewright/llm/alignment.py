@@ -26,9 +26,9 @@ SPACES = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205
 CHUNK = re.compile(f"(?<=[^{SPACES}]) ")
 ODD = rf"^ |[\t-\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{180e}}\x{{2000}}-\x{{200b}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{2060}}\x{{3000}}\x{{feff}}] "
 #: Bytes of text that a slice has about, which is joined with the counts of its pairs as one.
-SLICE_BYTES = 12 << 20
-#: Chunks up to this length are remembered, this many at most; characters that are encoded at once.
-REMEMBER_LENGTH, REMEMBER, TOGETHER = 48, 150_000, 20_000
+SLICE_BYTES = 6 << 20
+#: Characters that are encoded at once.
+TOGETHER = 20_000
 ID_BITS = 24
 
 
@@ -39,6 +39,20 @@ def byte_level() -> dict[str, int]:
     return shown | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
+class Aligned:
+    """What is known of a list of chunks: counts (n_a, n_b, n_groups, n_links), whether the bytes of both id lists are
+    the chunk's, the groups as text, and the id pairs of all links one after another."""
+
+    def __init__(self, counts: np.ndarray, good: np.ndarray, texts: list[bytes], links: np.ndarray):
+        self.counts, self.good, self.texts, self.links = counts, good, texts, links
+
+    @classmethod
+    def joined(cls, parts: list[Aligned]) -> Aligned:
+        none = cls(np.zeros((0, 4), dtype="i8"), np.zeros(0, dtype=bool), [], np.zeros(0, dtype="i8"))
+        parts = [none, *parts]
+        return cls(np.concatenate([p.counts for p in parts]), np.concatenate([p.good for p in parts]), [t for p in parts for t in p.texts], np.concatenate([p.links for p in parts]))
+
+
 class Aligner:
     """Ids, groups and links of chunks; a chunk is a blank and what follows, up to the next one."""
 
@@ -50,112 +64,89 @@ class Aligner:
         self.a.encode_special_tokens = True  # their strings in a text are then ordinary text
         self.a.no_truncation()
         self.a.no_padding()
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
-        stands = byte_level()
-        self.a_bytes: dict[int, bytes] = {}
-        for piece, i in self.a.get_vocab(with_added_tokens=False).items():
+        self.b = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        stands, own = byte_level(), self.a.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(own.values()) + 1)
+        for piece, i in own.items():
             self.a_bytes[i] = bytes(stands[c] for c in piece)
-        sp = self.b
         byte = lambda i: bytes([int(sp.id_to_piece(i)[3:-1], 16)])
         self.b_bytes = [byte(i) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).replace("▁", " ").encode() for i in range(sp.get_piece_size())]
         self.b_bytes[sp.unk_id()] = b"\xff"  # its text isn't known
         # cutting at blanks is right only if no piece has one after another character
         if any("▁" in sp.id_to_piece(i).lstrip("▁") for i in range(sp.get_piece_size())):
             raise ValueError("the vocabulary has pieces across blanks")
-        self.known: dict[str, tuple] = {}
+        self.sizes = [np.array([len(x) for x in told], dtype="i8") for told in (self.a_bytes, self.b_bytes)]
+        # each id as it is written: before another of its side, or at the end of its side of a group
+        ends = [(len(self.a_bytes), b","), (len(self.a_bytes), b"|"), (len(self.b_bytes), b","), (len(self.b_bytes), b";")]
+        self.written = np.array([b"%d%s" % (i, end) for n, end in ends for i in range(n)], dtype=object)
 
     def alone(self, chunk: str) -> tuple[list[int], list[int]]:
         """Both id lists of a chunk. The second library puts a blank before each text but the empty one."""
         own = self.b.encode(chunk[1:], num_threads=1) if len(chunk) > 1 else [self.b.piece_to_id("▁")]
         return self.a.encode(chunk, add_special_tokens=False).ids, own
 
-    def encode(self, chunks: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Both id lists of each chunk: many chunks are encoded as one text, whose ids are cut by their lengths."""
-        begin, size, ends = 0, 0, []
-        for i, chunk in enumerate(chunks):
-            size += len(chunk)
-            if size >= TOGETHER or i + 1 == len(chunks):
-                ends.append(i + 1)
-                size = 0
-        for end in ends:
-            part = chunks[begin:end]
-            text, begin = "".join(part), end
-            a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:], num_threads=1)
-            cut_a, cut_b = self.cut(part, a, self.a_bytes), self.cut(part, b, self.b_bytes)
-            yield from zip(cut_a, cut_b, strict=True) if cut_a and cut_b else map(self.alone, part)
-
-    @staticmethod
-    def cut(chunks: list[str], ids: list[int], told) -> list[list[int]] | None:
-        """``ids`` by chunk; None if they don't end where the chunks do."""
-        out, at, place, end = [], 0, 0, 0
-        for chunk in chunks:
-            end += len(chunk.encode())
-            first = at
-            while place < end and at < len(ids):
-                place += len(told[ids[at]])
-                at += 1
-            if place != end:
-                return None
-            out.append(ids[first:at])
-        return out if at == len(ids) else None
-
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[int]]:
-        """(groups of both lists, id pairs of the links as numbers) of two lists whose bytes are the same."""
-        groups, links = [], []
-        end_a, end_b = {}, {}
-        for ids, ends, told in ((a, end_a, self.a_bytes), (b, end_b, self.b_bytes)):
-            place = 0
-            for i, x in enumerate(ids):
-                place += len(told[x])
-                ends[place] = i + 1
-        from_a = from_b = 0
-        for common in sorted(end_a.keys() & end_b.keys()):
-            to_a, to_b = end_a[common], end_b[common]
-            own, other = a[from_a:to_a], b[from_b:to_b]
-            groups.append((own, other))
-            if len(own) == 1:
-                links += [own[0] << ID_BITS | y for y in other]
-            elif len(other) == 1:
-                links += [x << ID_BITS | other[0] for x in own]
-            else:  # from both starts on, the token that ends first has no further links
-                i = j = 0
-                rest = len(self.a_bytes[own[0]]) - len(self.b_bytes[other[0]])
-                while True:
-                    links.append(own[i] << ID_BITS | other[j])
-                    if not rest:
-                        break
-                    if rest < 0:
-                        i += 1
-                        rest += len(self.a_bytes[own[i]])
-                    else:
-                        j += 1
-                        rest -= len(self.b_bytes[other[j]])
-            from_a, from_b = to_a, to_b
-        return groups, links
-
-    def told(self, chunk: str, a: list[int], b: list[int]) -> tuple:
-        """(n_a, n_b, n_groups, groups as text, links, whether the bytes of both lists are the chunk's).
+    def same(self, text: str, a: list[int], b: list[int]) -> bool:
+        data = text.encode()
+        return b"".join([self.a_bytes[i] for i in a]) == data == b"".join([self.b_bytes[i] for i in b])
+
+    def aligned(self, chunks: list[str], a_ids: list[int], b_ids: list[int]) -> Aligned | None:
+        """Groups and links of consecutive chunks whose bytes both lists have; None if a list doesn't end with a chunk."""
+        a, b = np.array(a_ids, dtype="i8"), np.array(b_ids, dtype="i8")
+        ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        end_a, end_b = dict(zip(ends_a.tolist(), range(1, len(a) + 1), strict=True)), dict(zip(ends_b.tolist(), range(1, len(b) + 1), strict=True))
+        common = sorted(end_a.keys() & end_b.keys())
+        ends = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), "i8", len(chunks)))
+        if not all(e in end_a and e in end_b for e in ends.tolist()):
+            return None
+        # the common ends slice both lists into groups
+        upto_a, upto_b = np.array([end_a[e] for e in common]), np.array([end_b[e] for e in common])
+        group_a, group_b = (np.repeat(np.arange(len(common)), np.diff(upto, prepend=0)) for upto in (upto_a, upto_b))
+        # inside a slice each end of either list closes one overlap
+        closes = np.sort(np.fromiter(end_a.keys() | end_b.keys(), "i8"))
+        links = a[np.searchsorted(ends_a, closes)] << ID_BITS | b[np.searchsorted(ends_b, closes)]
+        last_a, last_b = np.zeros(len(a), dtype="i8"), np.zeros(len(b), dtype="i8")
+        last_a[upto_a - 1], last_b[upto_b - 1] = 1, 1
+        code = np.concatenate([a + len(self.a_bytes) * last_a, 2 * len(self.a_bytes) + b + len(self.b_bytes) * last_b])
+        written = self.written[code[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")]].tolist()
+        n_a, n_b, n_groups, n_links = (np.diff(np.searchsorted(x, ends, side="right"), prepend=0) for x in (ends_a, ends_b, common, closes))
+        cuts = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        texts = [b"".join(written[i:j])[:-1] for i, j in zip(cuts, cuts[1:], strict=False)]
+        return Aligned(np.stack([n_a, n_b, n_groups, n_links], axis=1), np.ones(len(chunks), dtype=bool), texts, links)
+
+    def one(self, chunk: str) -> Aligned:
+        """The chunk alone: nothing, if its bytes aren't those of both lists.
 
         Tokens leave out or change what they don't know, but never add anything: no other chunk makes up for one.
         """
-        data = chunk.encode()
-        if b"".join([self.a_bytes[x] for x in a]) != data or b"".join([self.b_bytes[x] for x in b]) != data:
-            return 0, 0, 0, b"", [], False
-        groups, links = self.align(a, b)
-        text = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups])
-        return len(a), len(b), len(groups), text.encode(), links, True
-
-    def of(self, chunks: list[str]) -> list[tuple]:
-        """What :meth:`told` says of each of the distinct ``chunks``."""
-        known = self.known
-        if len(known) + len(chunks) > REMEMBER:
-            known.clear()
-        joined = [c for c in chunks if c not in known and c[-1] not in " \t\n\r\v\f" and not c.startswith("  ")]
-        apart = [c for c in chunks if c not in known and (c[-1] in " \t\n\r\v\f" or c.startswith("  "))]
-        now = {c: self.told(c, *ids) for c, ids in zip(joined, self.encode(joined), strict=True)}
-        now |= {c: self.told(c, *self.alone(c)) for c in apart}
-        known.update((c, x) for c, x in now.items() if len(c) <= REMEMBER_LENGTH)
-        return [now.get(c) or known[c] for c in chunks]
+        a, b = self.alone(chunk)
+        found = self.aligned([chunk], a, b) if self.same(chunk, a, b) else None
+        return found or Aligned(np.zeros((1, 4), dtype="i8"), np.zeros(1, dtype=bool), [b""], np.zeros(0, dtype="i8"))
+
+    def of(self, chunks: list[str]) -> Aligned:
+        """What is known of the distinct ``chunks``, in their order. Many are encoded as one text, where that is safe."""
+        parts, waiting, size = [], [], 0
+
+        def flush() -> None:
+            if waiting:
+                text = "".join(waiting)
+                a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:], num_threads=1)
+                found = self.aligned(waiting, a, b) if self.same(text, a, b) else None
+                parts.extend([found] if found else map(self.one, waiting))
+                waiting.clear()
+
+        for c in chunks:
+            if c[-1] in " \t\n\r\v\f" or c.startswith("  "):
+                flush()
+                parts.append(self.one(c))
+                size = 0
+                continue
+            waiting.append(c)
+            size += len(c)
+            if size >= TOGETHER:
+                flush()
+                size = 0
+        flush()
+        return Aligned.joined(parts)
 
 
 def chunked(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -194,21 +185,17 @@ def _slice(aligner: Aligner, texts: pa.Array, number: int) -> tuple[list[pa.Arra
     """(the columns of a slice's rows, its pairs and which chunk has them)."""
     chunks, codes, ends = chunked(texts)
     told = aligner.of(chunks)
-    each = np.array([(x[0], x[1], x[2], len(x[4])) for x in told], dtype="i8").reshape(-1, 4)
-    begins = np.concatenate([[0], ends[:-1]])
-    bad = np.fromiter((not x[5] for x in told), bool, len(told))
-    wrong = np.diff(np.concatenate([[0], np.cumsum(bad[codes])])[np.concatenate([[0], ends])]) > 0 if bad.any() else np.zeros(len(ends), dtype=bool)
-    shown, listed, digests = [x[3] for x in told], codes.tolist(), []
+    begins, sizes = np.concatenate([[0], ends[:-1]]), told.counts[:, 3]
+    bad = np.concatenate([[0], np.cumsum(~told.good[codes])])
+    wrong = bad[ends] > bad[begins]
+    digests = []
     for begin, end, lost in zip(begins.tolist(), ends.tolist(), wrong.tolist(), strict=True):
-        digests.append("" if lost or begin == end else hashlib.sha256(b";".join([shown[c] for c in listed[begin:end]])).hexdigest())
-    total = np.concatenate([np.zeros((1, 4), dtype="i8"), np.cumsum(each[codes], axis=0)])
+        digests.append("" if lost or begin == end else hashlib.sha256(b";".join([told.texts[c] for c in codes[begin:end].tolist()])).hexdigest())
+    total = np.concatenate([np.zeros((1, 4), dtype="i8"), np.cumsum(told.counts[codes], axis=0)])
     sums = np.where(wrong[:, None], 0, total[ends] - total[begins])
     counts = ends - begins
     codes, counts = codes[~np.repeat(wrong, counts)], np.where(wrong, 0, counts)
-    by_chunk = [np.array(x[4], dtype="i8") for x in told]
-    times = np.bincount(codes, minlength=len(by_chunk))
-    flat = np.concatenate([*by_chunk, np.zeros(0, dtype="i8")])
-    sizes = np.fromiter(map(len, by_chunk), "i8", len(by_chunk))
+    times, flat = np.bincount(codes, minlength=len(chunks)), told.links
     pairs, which = np.unique(flat, return_inverse=True)
     weight = np.bincount(which, weights=np.repeat(times, sizes), minlength=len(pairs)).astype("i8")
     lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int64()), pa.array(codes, pa.int32())).cast(pa.list_(pa.int32()))

@@ -78,7 +78,7 @@ def expected(texts, tokens):
 @pytest.mark.parametrize("size", [alignment.SLICE_BYTES, 300])
 def test_alignment_is_brute_forces(spark, libraries, monkeypatch, size):
     monkeypatch.setattr(alignment, "SLICE_BYTES", size)
-    monkeypatch.setattr(alignment, "REMEMBER", 40 if size < 1000 else alignment.REMEMBER)
+    monkeypatch.setattr(alignment, "TOGETHER", 25 if size < 1000 else alignment.TOGETHER)
     texts = TEXTS + made_up(150) + TEXTS[13:19]
     docs = spark.createDataFrame([(i, t, "s", i) for i, t in enumerate(texts)] + [(None, None, None, None)], "doc_id long, text string, slice string, n_a long").repartition(3)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000" if size > 1000 else "7")
