@@ -169,6 +169,12 @@ def test_shards_move_rows_only_into_the_new_one(spark):
     assert min(map(len, slots.values())) > 100 and sharding.number_slots(sharding.assign_shards(df.limit(0), sharding.topology(16))).count() == 0
 
 
+def test_slots_of_columns_named_like_helpers(spark):
+    df = spark.createDataFrame([(i, 7, 8, 9, 1, 2, 3) for i in range(20)], "doc_id long, __of int, __task int, __place int, n int, task int, own_shard int")
+    out = sharding.number_slots(sharding.assign_shards(df, sharding.topology(4))).collect()
+    assert len(out) == 20 and all(tuple(r)[1:7] == (7, 8, 9, 1, 2, 3) for r in out)
+
+
 def test_weights_confine_movement(spark):
     N = sharding.Node
     tree = lambda w: N("root", tuple(N(f"r{r}", tuple(N(f"r{r}k{k}", tuple(N(f"s{r}{k}{i}", shard=100 * r + 10 * k + i, leaf_weight=w if (r, k, i) == (1, 0, 0) else 1.0) for i in range(2))) for k in range(2))) for r in range(2)))
@@ -217,7 +223,7 @@ def test_neighbours_recall(spark):
     vectors = [(i, (centres[i % 10] * 0.3 + rng.normal(size=64)).tolist()) for i in range(6000)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").where("vec_id % 20 <> 0 OR vec_id < 1000")
     assert recall(df) >= 0.9
-    assert recall(df, share=0.02, least=40) < 0.9  # the ranking leaves most vectors out
+    assert recall(df, share=0.02) < 0.9  # the ranking leaves most vectors out
 
 
 def test_most_vectors_are_ranked_out_and_layout_changes_nothing(spark):
@@ -316,8 +322,8 @@ def test_the_draws_of_the_tree_decide_what_is_taken(spark):
             assert [(c.turn, c.words, c.shard) for c in out[i].copies] == want and out[i].taken == sum(w for _, w, _ in want)
     other = {r.doc_id: r.taken for r in mixing.mix(df, shards=1).collect()}
     assert other != {i: r.taken for i, r in out.items()}  # without the tree other documents are taken
-    shown = mixing.expand(mixing.mix(df, shards=5, whole=True)).withColumn("part", F.spark_partition_id()).groupBy("shard").agg(F.countDistinct("part").alias("n")).collect()
-    assert len(shown) == 5 and all(r.n == 1 for r in shown)
+    sizes = [r["count"] for r in mixing.expand(mixing.mix(df, shards=5, whole=True), blocks=3).groupBy("shard").count().collect()]
+    assert len(sizes) == 5 and sum(sizes) == mixing.expand(mixing.mix(df, shards=5, whole=True), blocks=1).count()
     texts = {i: t for i, _, t in rows}
     assert all(r.text == texts[r.doc_id] for r in mixing.expand(mixing.mix(df, whole=True)).collect())
 
@@ -424,6 +430,40 @@ def test_model_sums_to_one_and_scores_as_written_out(spark):
         lm.Settings(most_rows=1 << 17)
 
 
+def test_an_update_is_the_one_written_out():
+    rng = np.random.default_rng(5)
+    branch, levels, rows = 2, 3, 8
+    bias = [rng.normal(size=(branch**k, branch + (k == 0))).astype("f4") for k in range(levels)]
+    tables = [rng.normal(size=(rows, k)).astype("f4") for k in (branch + 1, branch)]
+    model = lm.Model(lm.Settings(branch=branch, levels=levels, least_rows=8, most_rows=8), levels, rows, {}, {}, 1.0, 0.1, bias, *(t.copy() for t in tables))
+    ids, features = np.array([5, -1, 0, 7, 5, 2]), rng.integers(0, 1 << 32, size=(3, 6)).astype("u4")
+    squares, seen = tuple(np.full(t.shape, 1.0, "f4") for t in tables), tuple(np.zeros(rows, "i8") for _ in range(2))
+    expected, total, counts = [t.astype("f8") for t in tables], [np.ones(t.shape) for t in tables], [np.zeros(rows, int) for _ in range(2)]
+    for level in range(levels):  # one choice of all tokens after another, as one batch
+        slopes, found = [], []
+        for t, rank in enumerate(ids.tolist()):
+            if level and rank < 0:
+                continue
+            node = rank >> (levels - level) if level else 0
+            at = model.root_rows(features[:, t]) if not level else model.node_rows(features[:, t], np.full(3, node + branch**level))
+            score = bias[level][node] + sum(expected[bool(level)][r] for r in at)
+            slope = np.exp(score) / np.exp(score).sum()
+            slope[(rank >> (levels - level - 1)) % 2 if rank >= 0 else branch] -= 1
+            slopes.append(slope)
+            found.append(at)
+        for f in range(3):  # features in turn, of rows that several tokens share the sum
+            sums = {}
+            for slope, at in zip(slopes, found, strict=True):
+                sums[at[f]] = sums.get(at[f], 0) + slope
+                counts[bool(level)][at[f]] += 1
+            for r, g in sums.items():
+                total[bool(level)][r] += g * g
+                expected[bool(level)][r] -= model.settings.rate * g / np.sqrt(total[bool(level)][r])
+    model.train(ids, features, squares, seen)
+    assert np.allclose(model.root_weights, expected[0], atol=1e-4) and np.allclose(model.weights, expected[1], atol=1e-4)
+    assert (seen[0] == counts[0]).all() and (seen[1] == counts[1]).all()
+
+
 def test_scores_of_no_rows_very_long_texts_and_clashing_names(spark):
     assert lm.fit_and_score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "a b " * 100_000, 1, 2, 3), (2, None, 1, 2, 3), (3, "b a", 1, 2, 3)], "doc_id long, text string, s int, row int, kept int")

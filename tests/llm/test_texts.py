@@ -7,6 +7,7 @@ import zlib
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tapewright.llm import packing, pii, quality, tokens
 
@@ -196,6 +197,15 @@ def test_the_best_of_overlapping_proposals_stays(spark):
     assert spans[2] == [("card", 0, 19)]  # inside the base span nothing is added
 
 
+def test_a_lost_proposal_gives_way_to_none_that_it_hid(spark):
+    rows = [(0, 10, 1.0), (8, 20, 2.0), (18, 30, 3.0), (40, 50, 2.0), (45, 55, 2.0), (54, 60, 1.0), (70, 75, 1.0)]
+    made = "array(" + ", ".join(f"CAST(struct({a}L, 1, {b}L, 0, {s}D) AS {pii.CANDIDATE})" for a, b, s in rows) + ")"
+    stay = lambda sql: [(c.start, c.end) for c in spark.range(1).select(F.expr(sql).alias("c")).first().c]
+    assert sorted(stay(pii._chosen(made))) == [(0, 10), (18, 30), (40, 50), (54, 60), (70, 75)]
+    base = f"array_sort(concat({made}, array(CAST(struct(38L, 0, 56L, 0, 0D) AS {pii.CANDIDATE}))))"
+    assert [x for x in stay(pii._outside(base)) if x[0] >= 38] == [(54, 60), (70, 75)]
+
+
 def test_planted_loose_forms_are_found_and_others_left(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
