@@ -130,7 +130,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int = 256, depth: int = 64, cells: float = 0.75, share: float = 0.2, least: int = 320, sample: int = 2048, group_rows: int = 16384, unit_rows: int = 65536) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int = 256, depth: int = 64, cells: float = 0.75, share: float = 0.2, sample: int = 2048, group_rows: int = 16384, unit_rows: int = 65536) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its ``k`` nearest other rows by inner product.
 
     ``is_query`` is a condition on column vec_id. Every usable row is indexed. The index is fitted on the ``sample`` rows
@@ -138,8 +138,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     vector's cell is that of its nearest pivot. Cells lie together in groups of about ``group_rows`` rows, and groups of more than ``unit_rows``,
     as of a vector that very many rows have, in several units. A query visits the units of its nearest ``cells`` (a share of
     all), reads there the files of its first ``depth`` pivots, and compares what is as near by footrule as the best
-    ``share`` of the sample are. Both shares are raised to that of ``least`` rows in all rows, if they are less. What is found depends on neither units nor
-    partitions. Rows that share the query's id are its own. Vectors of another length than most have take no part.
+    ``share`` of the sample are. Tables of so few rows that this could be less than ``k`` are compared whole. What is found
+    depends on neither units nor partitions. Rows that share the query's id are its own. Vectors of another length than most have take no part.
     Fewer candidates than ``k`` give fewer rows, an empty table none; rows repeated as candidates are each found.
     ``cells`` = ``share`` = 1 compares every pair.
     """
@@ -154,9 +154,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     sampled = _matrix(drawn.column(0).combine_chunks()) if drawn.num_rows else np.zeros((0, length))
     chosen = sampled[np.sort(np.unique(sampled, axis=0, return_index=True)[1])[:pivots]] if len(sampled) else sampled
     index = spark.sparkContext.broadcast((chosen, float(facts["longest"] or 1.0) ** 0.5, sampled))
-    visits = max(1, int(np.ceil(min(1.0, max(cells, least / max(facts["n"], 1))) * len(chosen))))
+    few = facts["n"] * share * cells < 2 * k  # else a query could find fewer rows than there are
+    visits = max(1, int(np.ceil((1.0 if few else cells) * len(chosen))))
     groups = int(min(max(facts["n"] // group_rows, 1), max(len(chosen), 1)))
-    part = min(1.0, max(share, least / max(facts["n"], 1)))
+    part = 1.0 if few else share
 
     @F.arrow_udf("long")
     def group_of(vector: pa.Array) -> pa.Array:

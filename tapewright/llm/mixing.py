@@ -219,20 +219,22 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     return out.select(*kept, F.col(size).alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"), taken.alias("taken"), "copies")
 
 
-def expand(mixed: DataFrame, text: str = "text") -> DataFrame:
-    """The mixed corpus: a row per copy, with its shard. The copies of a shard lie in one partition, shuffled there.
+def expand(mixed: DataFrame, text: str = "text", blocks: int = 16) -> DataFrame:
+    """The mixed corpus: a row per copy, with its shard, shuffled. A shard's copies lie in ``blocks`` partitions by the
+    first digits of the order that they are drawn in, so that one after another these are the shard in that order.
 
     A copy of fewer words than its document has that many of its first words, joined by single blanks. Column shard is
     replaced, other columns are kept, whatever their names.
     """
     kept = [c for c in mixed.columns if c not in ("copies", "shard", text)]
-    one, order = (fresh([*mixed.columns, "shard"], n) for n in ("copy", "order"))
+    one, order, block = (fresh([*mixed.columns, "shard"], n) for n in ("copy", "order", "block"))
     copy = F.col(one)
     part = F.array_join(F.slice(words(F.col(f"`{text}`")), F.lit(1), copy["words"].cast("int")), " ")
     copies = mixed.select(*[F.col(f"`{c}`") for c in [*kept, text]], F.explode("copies").alias(one))
     cut_text = F.when(copy["words"] < F.col("size"), part).otherwise(F.col(f"`{text}`")).alias(text)
     rows = copies.select(*[F.col(f"`{c}`") for c in kept], cut_text, copy["shard"].alias("shard"), copy["order"].alias(order))
-    return rows.repartition("shard").sortWithinPartitions("shard", order).drop(order)
+    rows = rows.withColumn(block, F.floor(F.col(order) / float(1 << 60) * blocks).cast("int"))
+    return rows.repartition("shard", block).sortWithinPartitions("shard", order).drop(order, block)
 
 
 __all__ = ["draw", "expand", "mix", "plan", "shares", "source_targets", "split_quotas", "thresholds"]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import cut, md5_long
+from tapewright.llm.common import cut, fresh, md5_long
 
 
 @dataclass(frozen=True)
@@ -89,12 +89,13 @@ def number_slots(rows: DataFrame, shard: str = "shard", out: str = "slot") -> Da
     the same. Each (task, shard) then numbers its own rows, after those of the tasks before it; no group is larger
     than what one task has read, however rows are spread over shards and keys. An empty table stays empty.
     """
-    placed = cut(rows.withColumn("__task", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id()))
-    counts = placed.groupBy(F.col(f"`{shard}`").alias("__shard"), F.col("__task").alias("__of")).count()
-    before = Window.partitionBy("__shard").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__shard", "__of", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("__task", f"`{shard}`").orderBy("__place")
-    numbered = placed.withColumn("__n", F.row_number().over(within) - 1)
-    joined = numbered.join(starts, (F.col("__task") == F.col("__of")) & F.col(f"`{shard}`").eqNullSafe(F.col("__shard")))
-    kept = [F.col(f"`{c}`") for c in rows.columns if c != out]
-    return joined.select(*kept, (F.col("__n") + F.col("__start")).cast("long").alias(out))
+    kept = [c for c in rows.columns if c != out]
+    task, place, n, own, of, start = (fresh([*kept, out], name) for name in ("task", "place", "n", "own_shard", "of_task", "start"))
+    placed = cut(rows.withColumns({task: F.spark_partition_id(), place: F.monotonically_increasing_id()}))
+    counts = placed.groupBy(F.col(f"`{shard}`").alias(own), F.col(task).alias(of)).agg(F.count("*").alias(n))
+    before = Window.partitionBy(own).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(own, of, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(task, f"`{shard}`").orderBy(place)
+    numbered = placed.withColumn(n, F.row_number().over(within) - 1)
+    joined = numbered.join(starts, (F.col(task) == F.col(of)) & F.col(f"`{shard}`").eqNullSafe(F.col(own)))
+    return joined.select(*[F.col(f"`{c}`") for c in kept], (F.col(n) + F.col(start)).cast("long").alias(out))
