@@ -26,7 +26,7 @@ SPACES = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205
 CHUNK = re.compile(f"(?<=[^{SPACES}]) ")
 ODD = rf"^ |[\t-\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{180e}}\x{{2000}}-\x{{200b}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{2060}}\x{{3000}}\x{{feff}}] "
 #: Bytes of text that a slice has about, which is joined with the counts of its pairs as one.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 #: Characters that are encoded at once.
 TOGETHER = 20_000
 ID_BITS = 24
@@ -234,11 +234,15 @@ def _sliced(docs: DataFrame, kept: list[str], text: str, a_path: str, b_path: st
             yield pa.RecordBatch.from_arrays(own, names=names)
 
         for batch in (b for b in batches if b.num_rows):
-            waiting.append(batch)
-            size += batch.column("text").nbytes
-            if size >= SLICE_BYTES:
-                yield from flush()
-                number, waiting, size = number + 1, [], 0
+            upto, begin = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)), 0
+            while begin < batch.num_rows:  # as many rows as the slice has room for, and one at least
+                before = int(upto[begin - 1]) if begin else 0
+                end = max(begin + 1, int(np.searchsorted(upto, before + SLICE_BYTES - size, side="right")))
+                waiting.append(batch.slice(begin, end - begin))
+                size, begin = size + int(upto[end - 1]) - before, end
+                if begin < batch.num_rows or size >= SLICE_BYTES:
+                    yield from flush()
+                    number, waiting, size = number + 1, [], 0
         if waiting:
             yield from flush()
 
