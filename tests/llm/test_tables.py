@@ -430,6 +430,14 @@ def test_model_sums_to_one_and_scores_as_written_out(spark):
         lm.Settings(most_rows=1 << 17)
 
 
+def test_only_ascii_letters_are_lowered():
+    import pyarrow as pa
+
+    texts = ["ÀÉ Ab", "", "ЖZ 中Q", " "]
+    found = [(words, codes, counts) for _, words, codes, counts in lm._tokens(pa.array(["x", *texts, None])[1:])]
+    assert [w for words, codes, _ in found for w in [words[c] for c in codes]] == ["ÀÉ", "ab", lm.END, lm.END, "Жz", "中q", lm.END, lm.END, lm.END]
+
+
 def test_an_update_is_the_one_written_out():
     rng = np.random.default_rng(5)
     branch, levels, rows = 2, 3, 8
