@@ -120,3 +120,43 @@ def accumulation_score(bars: DataFrame) -> DataFrame:
 def is_domestic(ticker: Column) -> Column:
     """Whether a ticker has no exchange suffix."""
     return ~ticker.rlike(r"\.[A-Z]{1,3}$")
+
+
+def multi_duration(bars: DataFrame, shortest: int = 10, longest: int = 60, every: int = 5, first: int = 60, after: int = 30, power: float = 1.005, bbw: float = 0.3, volume: float = 0.35, width: float = 0.65, trend: float = 32.0, least: float = 0.6) -> DataFrame:
+    """From every few rows on the shortest window, its length growing by ``every``, in which at least ``least`` of four
+    checks hold: a small median of ``bbw``, small means of ``volume_ratio``, ``range_ratio`` and ``adx``.
+
+    Starts lie every max(5, shortest // 2) rows after the first ``first`` ones, and ``after`` rows follow each window.
+    Means come from running sums, bounds from minima and maxima over powers of two rows: one order of a ticker's rows
+    serves all lengths.
+    """
+    step, lengths = max(5, shortest // 2), list(range(shortest, longest + 1, every))
+    ordered = by_date()
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    means = ("volume_ratio", "range_ratio", "adx")
+    df = bars.withColumns({f"__s_{c}": F.sum(F.coalesce(c, F.lit(0.0))).over(upto) for c in means} | {f"__n_{c}": F.count(c).over(upto) for c in means} | {"__rows": F.count("*").over(whole())})
+    df = df.withColumns({"__hi0": F.col("high"), "__lo0": F.col("low"), "__bbw": F.collect_list(F.struct("rn", "bbw")).over(ordered.rowsBetween(0, longest - 1))})
+    for k in range(1, longest.bit_length()):
+        half = 1 << (k - 1)
+        df = df.withColumns({f"__hi{k}": F.greatest(f"__hi{k - 1}", F.lead(f"__hi{k - 1}", half).over(ordered)), f"__lo{k}": F.least(f"__lo{k - 1}", F.lead(f"__lo{k - 1}", half).over(ordered))})
+    made = {}
+    for d in lengths:
+        k = d.bit_length() - 1
+        rest = d - (1 << k)
+        made[f"__u{d}"], made[f"__l{d}"] = F.greatest(f"__hi{k}", F.lead(f"__hi{k}", rest).over(ordered)), F.least(f"__lo{k}", F.lead(f"__lo{k}", rest).over(ordered))
+        made[f"__e{d}"] = F.lead("date", d - 1).over(ordered)
+        for c in means:
+            total, n = F.lead(f"__s_{c}", d - 1).over(ordered) - F.coalesce(F.lag(f"__s_{c}").over(ordered), F.lit(0.0)), F.lead(f"__n_{c}", d - 1).over(ordered) - F.coalesce(F.lag(f"__n_{c}").over(ordered), F.lit(0))
+            made[f"__m{d}_{c}"] = ratio(total, n.cast("double"))
+    starts = df.withColumns(made).where((F.col("rn") > first) & ((F.col("rn") - 1 - first) % step == 0) & (F.col("rn") - 1 < F.col("__rows") - after))
+    windows = []
+    for d in lengths:
+        seen = F.array_sort(F.filter(F.transform(F.slice("__bbw", 1, d), lambda x: x.bbw), lambda x: x.isNotNull()))
+        size = F.size(seen)
+        median = F.when(size > 0, (F.get(seen, F.floor((size - 1) / 2).cast("int")) + F.get(seen, F.floor(size / 2).cast("int"))) / 2)
+        checks = [median < bbw, F.col(f"__m{d}_volume_ratio") < volume, F.col(f"__m{d}_range_ratio") < width, F.col(f"__m{d}_adx") < trend]
+        quality = sum((F.coalesce(c.cast("int"), F.lit(0)) for c in checks[1:]), F.coalesce(checks[0].cast("int"), F.lit(0))) / 4
+        fits = F.lit(d) <= F.col("__rows") - (F.col("rn") - 1) - after
+        windows.append(F.when(fits & (quality >= least), F.struct(F.lit(d).alias("duration"), F.col(f"__e{d}").alias("end_date"), F.col(f"__u{d}").alias("upper"), F.col(f"__l{d}").alias("lower"), median.alias("mean_bbw"), *[F.col(f"__m{d}_{c}").alias(f"mean_{c}") for c in means], quality.alias("quality"))))
+    found = starts.select("ticker", F.col("date").alias("start_date"), F.col("rn").alias("start_rn"), F.coalesce(*windows).alias("w")).where("w IS NOT NULL")
+    return found.select("ticker", "start_date", "start_rn", "w.*", (F.col("w.upper") * power).alias("power"), (ratio(F.col("w.upper") - F.col("w.lower"), "w.lower") * 100).alias("range_pct"))

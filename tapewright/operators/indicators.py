@@ -234,3 +234,33 @@ def obv_divergence(bars: DataFrame, n: int = 21) -> DataFrame:
     df = volume_lines(bars)
     norm = lambda c: ratio(slope(c, n), spread(c, n))
     return df.withColumn("obv_divergence", clip(F.when(norm("obv").isNotNull() & norm("close").isNotNull(), log_ratio(norm("obv"), norm("close"))), -5.0, 5.0)).drop("ad_line", "vpt")
+
+
+def parabolic_stop(bars: DataFrame, step: float = 0.02, most: float = 0.2) -> DataFrame:
+    """The parabolic stop-and-reverse of each row, and whether the close is above it; null in the first row.
+
+    Long or short, a stop moves towards the extreme price so far by an acceleration that grows with each new extreme,
+    never past the last two rows; where a row crosses it, sides change and the extreme becomes the stop. A row's state
+    depends on all before, so that a ticker's rows are folded in order, inside the JVM. Starts short if the second row
+    falls by more than it rises.
+    """
+    state = "struct<long: boolean, sar: double, ep: double, af: double, hi: double, lo: double, out: array<double>>"
+    make = lambda long, sar, ep, af, out: f"CAST(named_struct('long', {long}, 'sar', {sar}, 'ep', {ep}, 'af', {af}, 'hi', x.high, 'lo', x.low, 'out', {out}) AS {state})"
+    up = lambda sar: f"greatest({sar}, s.hi, x.high)"
+    down = lambda sar: f"least({sar}, s.lo, x.low)"
+    bind = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    turn_short = bind(up("s.ep"), "t", make("false", up(f"t + {step}D * (x.low - t)"), "x.low", f"{step}D", "concat(s.out, array(t))"))
+    turn_long = bind(down("s.ep"), "t", make("true", down(f"t + {step}D * (x.high - t)"), "x.high", f"{step}D", "concat(s.out, array(t))"))
+    faster = f"least(s.af + {step}D, {most}D)"
+    go = lambda new, ep, keep: bind(f"struct(IF({new}, {ep}, s.ep) AS ep, IF({new}, {faster}, s.af) AS af)", "e", make("s.long", keep("s.sar + e.af * (e.ep - s.sar)"), "e.ep", "e.af", "concat(s.out, array(s.sar))"))
+    long = f"IF(x.low <= s.sar, {turn_short}, {go('x.high > s.ep', 'x.high', down)})"
+    short = f"IF(x.high >= s.sar, {turn_long}, {go('x.low < s.ep', 'x.low', up)})"
+    a, b = "series[0]", "series[1]"
+    falls = f"({a}.low - {b}.low > 0 AND {a}.low - {b}.low > {b}.high - {a}.high)"
+    begin = f"CAST(named_struct('long', NOT {falls}, 'sar', IF({falls}, {a}.high, {a}.low), 'ep', IF({falls}, {b}.low, {b}.high), 'af', {step}D, 'hi', {b}.high, 'lo', {b}.low, 'out', array(CAST(NULL AS DOUBLE))) AS {state})"
+    fold = f"IF(size(series) > 1, aggregate(slice(series, 2, size(series)), {begin}, (s, x) -> IF(s.long, {long}, {short}), s -> s.out), array(CAST(NULL AS DOUBLE)))"
+    series = F.array_sort(F.collect_list(F.struct(F.col("rn").cast("int").alias("rn"), F.col("high").cast("double").alias("high"), F.col("low").cast("double").alias("low"))))
+    made = bars.groupBy("ticker").agg(series.alias("series")).select("ticker", F.posexplode(F.expr(fold)).alias("__i", "sar"))
+    made = made.select(F.col("ticker").alias("__t"), (F.col("__i") + 1).alias("__rn"), "sar")
+    out = bars.join(made, (F.col("ticker") == F.col("__t")) & (F.col("rn") == F.col("__rn"))).drop("__t", "__rn", "__i")
+    return out.withColumn("sar_position", F.when(F.col("sar").isNotNull(), F.when(F.col("close") > F.col("sar"), 1).otherwise(-1)))

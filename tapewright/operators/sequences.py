@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.positions import percentiles
-from tapewright.functions.rolling import quantile
+from tapewright.functions.rolling import by_date, quantile
 from tapewright.operators.joins import interval
 
 PRICES = ("open", "high", "low", "close")
@@ -100,3 +100,34 @@ def padded(df: DataFrame, column: str, n: int, value: float = 0.0, front: bool =
     return df.withColumn(column, F.concat(pad, cut) if front else F.concat(cut, pad))
 
 
+def look_back(snapshots: DataFrame, bars: DataFrame, columns: list[str], days: int = 50, warm_up: int = 20) -> DataFrame:
+    """Each snapshot's last ``days`` calendar days, the snapshot's included: ``steps``, a list of values a day, and ``mask``.
+
+    A day has the values of the last bar up to it; it is masked (0, with zeros) before the ticker has ``warm_up`` bars
+    and where its values sum to 0; null values are 0. Snapshots have pattern_id, ticker and snapshot_date; one without
+    bars is masked whole. No bar after a snapshot is read.
+
+    A bar stands for the days up to the next one, so that a snapshot meets bars, not days, by ticker and block of days;
+    then each bar is spread over its days.
+    """
+    until = snapshots.agg(F.max("snapshot_date").alias("__until"))  # one row
+    day = F.unix_date("date")
+    values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    known = (F.col("rn") >= warm_up) & (total != 0)
+    zeros = F.array(*[F.lit(0.0)] * len(columns))
+    b = bars.join(F.broadcast(until)).select(
+        F.col("ticker").alias("b_ticker"), day.alias("b_from"), F.coalesce(F.lead(day).over(by_date()) - 1, F.greatest(F.unix_date("__until"), day)).alias("b_to"), F.when(known, values).otherwise(zeros).alias("b_values"), known.cast("int").alias("b_mask")
+    )
+    b = b.withColumn("b_block", F.explode(F.sequence(F.floor(F.col("b_from") / days), F.floor(F.col("b_to") / days))))
+    last = F.unix_date("snapshot_date")
+    asked = snapshots.select("pattern_id", "ticker", last.alias("s_to")).withColumn("s_block", F.explode(F.sequence(F.floor((F.col("s_to") - days + 1) / days), F.floor(F.col("s_to") / days))))
+    first, end = F.greatest("b_from", F.col("s_to") - days + 1), F.least("b_to", "s_to")
+    # a bar and a snapshot may share two blocks: they meet in the first
+    both = F.greatest(F.floor(F.col("b_from") / days), F.floor((F.col("s_to") - days + 1) / days))
+    met = asked.join(b, (F.col("ticker") == F.col("b_ticker")) & (F.col("s_block") == F.col("b_block")) & (first <= end) & (F.col("s_block") == both))
+    spread = met.select("pattern_id", F.explode(F.sequence(first, end)).alias("d"), "b_values", "b_mask")
+    found = spread.groupBy("pattern_id").agg(F.array_sort(F.collect_list(F.struct("d", "b_values", "b_mask"))).alias("__f"))
+    out = snapshots.join(found, "pattern_id", "left").withColumn("__f", F.coalesce("__f", F.expr("CAST(array() AS array<struct<d: int, b_values: array<double>, b_mask: int>>)")))
+    missing = F.lit(days) - F.size("__f")  # days before the first bar
+    return out.withColumns({"steps": F.concat(F.array_repeat(zeros, missing), F.col("__f.b_values")), "mask": F.concat(F.array_repeat(F.lit(0), missing), F.col("__f.b_mask"))}).drop("__f")
