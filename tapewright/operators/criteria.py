@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.rolling import by_date, deviation, high, lag, low, mean, quantile, ratio, rolling, rows, spread, total
+from tapewright.functions.rolling import by_date, deviation, lag, mean, quantile, ratio, rolling, rows, spread, total
 from tapewright.operators.indicators import adx, average_rank, percentile_rank
 from tapewright.operators.labels import after
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.rolling import by_date, deviation, lag, mean, ratio, rows
+from tapewright.functions.rolling import deviation, lag, mean, ratio, rows
 from tapewright.operators.labels import after, by_pattern, first_day, gain_class
 
 NEVER = 1 << 30

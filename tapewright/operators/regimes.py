@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.positions import running
-from tapewright.functions.rolling import by_date, clip, deviation, lag, mean, ratio, slope
+from tapewright.functions.rolling import by_date, clip, deviation, lag, mean, ratio
 
 
 def transitions(phases: DataFrame) -> DataFrame:

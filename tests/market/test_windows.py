@@ -4,7 +4,6 @@ import datetime as dt
 import random
 import statistics
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
