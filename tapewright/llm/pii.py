@@ -2,9 +2,9 @@
 
 Base spans have an exact form and pass its check. Beside them, generators of high recall propose spans of looser form,
 which may overlap; boosted trees score these by their format and context, a threshold for each kind, calibrated on
-held-out candidates, selects, and of selected ones that overlap the best stays. The trees are fitted by Spark on a
-bounded sample and compiled into one SQL expression, so that a document's spans, scores and redaction are made in
-projections of its own row: nothing is exploded or shuffled.
+held-out candidates, selects, and of selected ones that overlap the best stays. The trees are fitted by Spark on the
+candidates of all texts, counted by their features, and compiled into one SQL expression, so that a document's spans,
+scores and redaction are made in projections of its own row: only candidates for the fit are exploded and shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import cut, fresh, md5_long
@@ -204,7 +204,7 @@ def _united(spans: str) -> str:
 
 
 def _training(texts: DataFrame, text: str) -> DataFrame:
-    """Labelled candidates (kind, m, before, after, label) by distant supervision.
+    """Labelled candidates (kind, m, before, after, n, label) by distant supervision; n texts' places have the same.
 
     Base spans are personal data, as are phone numbers without their prefix and assigned values that mix letters and
     digits. The same spans made invalid are not: cards of a wrong check digit, addresses with a number above 255 or no
@@ -214,7 +214,7 @@ def _training(texts: DataFrame, text: str) -> DataFrame:
     t = f"coalesce(`{text}`, '')"
     secrets = f"filter({_loose(t, 'secret')}, c -> c.m RLIKE '[0-9]' AND c.m RLIKE '[A-Za-z]')"
     spans = F.expr("concat(" + ", ".join([*(told(k, _base(t, k)) for k in BASE_KINDS), told("secret", secrets)]) + ")")
-    good = cut(texts.select(F.explode(spans).alias("c")).select("c.*"))
+    good = cut(texts.select(F.explode(spans).alias("c")).select("c.*").groupBy("kind", "m", "before", "after").agg(F.count("*").alias("n")))
     short = good.where("kind = 'phone'").withColumn("m", F.regexp_replace("m", r"^\+[0-9]+[ ().-]*", ""))
     digits, shifted = "0123456789", "1234567890"
     broken = F.when(F.col("kind") == "card", F.translate("m", digits, shifted)).when(F.col("kind") == "ip", F.regexp_replace("m", r"^[0-9]+", "300"))
@@ -224,33 +224,36 @@ def _training(texts: DataFrame, text: str) -> DataFrame:
     return good.unionByName(short).withColumn("label", F.lit(1.0)).unionByName(bad.withColumn("label", F.lit(0.0)))
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = 20_000, precision: float = 0.95, trees: int = 10, depth: int = 3) -> Model:
-    """Boosted trees fitted on the candidates of about ``sample`` distinct texts, chosen by their hash.
+def fit(docs: DataFrame, text: str = "text", sample: int | None = None, precision: float = 0.95, trees: int = 10, depth: int = 3) -> Model:
+    """Boosted trees fitted on the candidates of all texts; with ``sample``, of about so many distinct ones by their hash.
 
-    The table is read twice, by as many tasks as it has splits: for its number of rows, and for the sample. Four fifths
-    of the candidates fit the trees; on the others each kind's threshold is the least score above which at least
-    ``precision`` of the candidates are personal data. Kinds, or samples, without both labels add nothing. Null texts are
+    Candidates of equal features are one row that weighs as many as there are, so that trees, each candidate's part in
+    them and thresholds are those of the whole table, and what is fitted on grows with the distinct features only. Four
+    fifths of the candidates fit the trees; on the others each kind's threshold is the least score above which at least
+    ``precision`` of the candidates are personal data. Kinds, or tables, without both labels add nothing. Null texts are
     empty; very long ones are looked through whole.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    n = max(docs.count(), 1)
-    chosen = docs.where(F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(n)) < sample).select(F.col(f"`{text}`")).distinct()
+    chosen = docs.select(F.col(f"`{text}`"))
+    if sample is not None:
+        chosen = docs.where(F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(max(docs.count(), 1))) < sample).select(F.col(f"`{text}`")).distinct()
     names = [f"f{i}" for i in range(len(features("kind", "m", "before", "after")))]
     row = F.expr(f"array({', '.join(features('kind', 'm', 'before', 'after'))})").alias("f")
-    labelled = _training(chosen, text).select("kind", "label", F.pmod(md5_long("m", "before", "after"), F.lit(5)).alias("fold"), row)
-    labelled = cut(labelled.select("kind", "label", "fold", *[F.col("f")[i].alias(name) for i, name in enumerate(names)]).repartition(8, "fold", *names))
+    labelled = _training(chosen, text).select("kind", "label", F.pmod(md5_long("m", "before", "after"), F.lit(5)).alias("fold"), "n", row)
+    labelled = labelled.select("kind", "label", "fold", "n", *[F.col("f")[i].alias(name) for i, name in enumerate(names)])
+    labelled = cut(labelled.groupBy("kind", "label", "fold", *names).agg(F.sum("n").cast("double").alias("n")))
     counts = {r["label"]: r["count"] for r in labelled.where("fold > 0").groupBy("label").count().collect()}
     if len(counts) < 2:
         return Model(None, {})
     ready = VectorAssembler(inputCols=names, outputCol="features").transform(labelled)
-    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, seed=1, maxBins=32).fit(ready.where("fold > 0"))
+    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, seed=1, maxBins=32, weightCol="n").fit(ready.where("fold > 0"))
     score = compile_trees(fitted.toDebugString, list(fitted.treeWeights))
-    scored = labelled.where("fold = 0").select("kind", "label", F.expr(_bind(f"array({', '.join(names)})", "f", score)).alias("score"))
-    levels = scored.groupBy("kind", "score").agg(F.sum("label").alias("good"), F.count("*").alias("n"))
-    above = levels.alias("a").join(levels.alias("b"), F.expr("a.kind = b.kind AND b.score >= a.score")).groupBy("a.kind", "a.score")
-    passed = above.agg((F.sum("b.good") / F.sum("b.n")).alias("precision")).where(F.col("precision") >= precision)
+    scored = labelled.where("fold = 0").select("kind", "label", "n", F.expr(_bind(f"array({', '.join(names)})", "f", score)).alias("score"))
+    levels = scored.groupBy("kind", "score").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n"))
+    above = Window.partitionBy("kind").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)  # a row for each score
+    passed = levels.withColumn("precision", F.sum("good").over(above) / F.sum("n").over(above)).where(F.col("precision") >= precision)
     return Model(score, {r["kind"]: r["least"] for r in passed.groupBy("kind").agg(F.min("score").alias("least")).collect()})
 
 

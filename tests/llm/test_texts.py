@@ -239,3 +239,17 @@ def test_packing_leaves_little_padding(spark):
     df = spark.createDataFrame([(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(int(rng.paretovariate(1.1) * 60) % 9000))) for i in range(1500)] + [(None, "")] * 300, "doc_id long, text string")
     packed = packing.pack(df.repartition(3), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False, drop_text=True).collect()
     assert sum(r.length for r in packed) / (4096 * len({r.sequence_id for r in packed})) > 0.9
+
+
+def test_the_fit_reads_all_texts(spark, monkeypatch):
+    given, training = [], pii._training
+    monkeypatch.setattr(pii, "_training", lambda texts, text: given.append(texts.count()) or training(texts, text))
+    assert pii.fit(spark.range(40_000).select(F.concat(F.lit("word "), "id").alias("text"))).score is None
+    assert given == [40_000]
+
+
+def test_copies_weigh_as_many_as_there_are(spark):
+    """Equal candidates are one row, with their number."""
+    rows = [(t,) for i in range(40) for t in [f"write to user{i}@mail{i}.example.com now"] * 3]
+    found = pii._training(spark.createDataFrame(rows, "text string"), "text")
+    assert found.where("label = 1").groupBy().sum("n").first()[0] == 120 and found.where("label = 1").count() == 40
