@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.functions import positions
-from tapewright.operators import evaluation, models, sequences
+from tapewright.operators import evaluation, models, sequences, tabulation
 
 DAY = dt.date(2020, 1, 1)
 
@@ -146,3 +146,23 @@ def test_sketches_merge_and_stay_near(spark):
     assert exact["v"].median == pytest.approx(np.median(ordered)) and exact["flat"].iqr == 1.0
     scaled = sequences.scaled_by(df, ["v"], sequences.robust_parameters(df, ["v"])).where("v IS NOT NULL AND NOT isnan(v)").agg(F.percentile("v", F.lit(0.5))).first()[0]
     assert scaled == pytest.approx(0, abs=1e-12)
+
+
+def counted_rows(spark, n, columns):
+    """(``n`` rows of ``columns``, by their id; how often one of them was computed)."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def once(x):
+        seen.add(1)
+        return x
+
+    once = once.asNondeterministic()  # else the optimizer may copy it
+    return spark.range(n).select(once("id").alias("id")).select(F.col("id").cast("string").alias("pattern_id"), *columns), seen
+
+
+def test_winners_ranges_compute_their_input_once(spark):
+    df, seen = counted_rows(spark, 40, [F.col("id").alias("x"), (F.col("id") % 4).alias("y"), (F.col("id") % 2 == 0).alias("won")])
+    found = {r["feature"]: r for r in tabulation.winners_ranges(df, ["x", "y"], "won").collect()}
+    assert (found["x"]["q25"], found["x"]["q75"], found["x"]["mean"]) == (9.5, 28.5, 19.0) and found["y"]["q75"] == 2.0
+    assert seen.value == 40
