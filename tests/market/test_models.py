@@ -161,6 +161,13 @@ def counted_rows(spark, n, columns):
     return spark.range(n).select(once("id").alias("id")).select(F.col("id").cast("string").alias("pattern_id"), *columns), seen
 
 
+def test_clusters_compute_their_input_once(spark):
+    df, seen = counted_rows(spark, 60, [(F.col("id") % 3 * 10.0 + F.col("id") / 100).alias("a"), (F.col("id") % 3 * -7.0).alias("b")])
+    rows, shown = models.cluster_profiles(df, ["a", "b"], most=4)
+    assert shown.agg(F.sum("n")).first()[0] == 60 and rows.count() == 60
+    assert seen.value == 60
+
+
 def test_winners_ranges_compute_their_input_once(spark):
     df, seen = counted_rows(spark, 40, [F.col("id").alias("x"), (F.col("id") % 4).alias("y"), (F.col("id") % 2 == 0).alias("won")])
     found = {r["feature"]: r for r in tabulation.winners_ranges(df, ["x", "y"], "won").collect()}
