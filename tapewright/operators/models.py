@@ -94,12 +94,12 @@ def fit_isotonic(df: DataFrame, probabilities: list[str], label: str, grid: int
     Probabilities count to 1 / ``grid``, and rows of one count as one weighted row: whatever the number of rows, a
     regression sees ``grid`` + 1 of them at most. Outside what it saw it stays at its ends.
     """
-    out = {}
-    for k, p in enumerate(probabilities):
-        rows = df.where(F.col(p).isNotNull() & F.col(label).isNotNull()).groupBy((F.floor(F.col(p) * grid + 0.5) / grid).alias("__p"))
-        rows = rows.agg(F.avg((F.col(label) == k).cast("double")).alias("__y"), F.count("*").cast("double").alias("__w"))
-        out[p] = IsotonicRegression(featuresCol="__p", labelCol="__y", weightCol="__w").fit(rows)
-    return out
+    each = F.array(*[F.struct(F.lit(k).alias("k"), (F.floor(F.col(p) * grid + 0.5) / grid).alias("p"), (F.col(label) == k).cast("double").alias("y")) for k, p in enumerate(probabilities)])
+    rows = df.where(F.col(label).isNotNull()).select(F.explode(each).alias("e")).where("e.p IS NOT NULL")
+    rows = rows.groupBy(F.col("e.k").alias("__k"), F.col("e.p").alias("__p")).agg(F.avg("e.y").alias("__y"), F.count("*").cast("double").alias("__w"))
+    rows = cut_table(rows)  # one pass over ``df`` for all classes; a regression reads its rows several times
+    model = IsotonicRegression(featuresCol="__p", labelCol="__y", weightCol="__w")
+    return {p: model.fit(rows.where(F.col("__k") == k)) for k, p in enumerate(probabilities)}
 
 
 def calibrate(df: DataFrame, fitted: dict, grid: int = 10_000, least: float = 1e-8) -> DataFrame:

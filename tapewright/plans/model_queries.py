@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.functions.stored import cut_table
 from tapewright.operators import evaluation as evl
 from tapewright.operators import features as fea
 from tapewright.operators import models
@@ -57,7 +58,7 @@ add("ml2_profiles", lambda s, d: models.cluster_profiles(fea.context_vector(patt
 
 
 def _calibrated(s: SparkSession, d: str) -> DataFrame:
-    df = scored(s, d).select("pattern_id", "p0", "p1", "p2", "cls")
+    df = cut_table(scored(s, d).select("pattern_id", "p0", "p1", "p2", "cls"))  # fitted, then calibrated
     return models.calibrate(df, models.fit_isotonic(df, ["p0", "p1", "p2"], "cls")).drop("cls")
 
 

@@ -168,6 +168,12 @@ def test_clusters_compute_their_input_once(spark):
     assert seen.value == 60
 
 
+def test_calibration_computes_its_input_once(spark):
+    df, seen = counted_rows(spark, 40, [(F.col("id") / 50).alias("p0"), (1 - F.col("id") / 50).alias("p1"), (F.col("id") % 2).cast("int").alias("cls")])
+    assert set(models.fit_isotonic(df, ["p0", "p1"], "cls")) == {"p0", "p1"}
+    assert seen.value == 40
+
+
 def test_winners_ranges_compute_their_input_once(spark):
     df, seen = counted_rows(spark, 40, [F.col("id").alias("x"), (F.col("id") % 4).alias("y"), (F.col("id") % 2 == 0).alias("won")])
     found = {r["feature"]: r for r in tabulation.winners_ranges(df, ["x", "y"], "won").collect()}
