@@ -40,6 +40,7 @@ class WordIds:
         self.tokenizer.no_padding()
         self.latin_parts = latin_parts
         self.known: dict[str, bytes] = {}
+        self.seen: dict[str, bytes] = {}
         if latin_parts:
             # the same merges for parts that are lower case and split already: blanks are all that is left to look for
             spec = json.loads(tokenizer_json)
@@ -64,7 +65,24 @@ class WordIds:
         return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def of(self, words: list[str]) -> list[bytes]:
-        """The ids of each of the distinct ``words``, as little-endian unsigned 32-bit numbers."""
+        """The ids of each of the distinct ``words``, as little-endian unsigned 32-bit numbers.
+
+        Words of earlier slices are found as they are written, before anything else is asked of them.
+        """
+        out = list(map(self.seen.get, words))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        if new:
+            fresh_words = [words[i] for i in new]
+            ids = self.found(fresh_words)
+            for i, x in zip(new, ids, strict=True):
+                out[i] = x
+            if len(self.seen) + len(new) > REMEMBER:
+                self.seen.clear()
+            self.seen.update(x for x in zip(fresh_words, ids, strict=True) if len(x[0]) <= REMEMBER_LENGTH)
+        return out
+
+    def found(self, words: list[str]) -> list[bytes]:
+        """The ids of words, by their parts where these are known."""
         known, keys, parts, whole = self.known, [], set(), []
         for w in words:
             if not self.latin_parts:
@@ -106,7 +124,7 @@ class WordIds:
             end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + SLICE_BYTES)))
             split = pc.ascii_split_whitespace(pc.fill_null(texts[begin:end].cast(pa.large_string()), ""))
             coded = split.flatten().dictionary_encode()
-            ids = self.of(coded.dictionary.to_pylist())
+            ids = self.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
             each = np.fromiter((len(x) // 4 for x in ids), "i8", len(ids))
             flat = np.frombuffer(b"".join(ids), "<u4")
             codes = coded.indices.to_numpy(zero_copy_only=False)

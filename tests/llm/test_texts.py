@@ -253,3 +253,13 @@ def test_copies_weigh_as_many_as_there_are(spark):
     rows = [(t,) for i in range(40) for t in [f"write to user{i}@mail{i}.example.com now"] * 3]
     found = pii._training(spark.createDataFrame(rows, "text string"), "text")
     assert found.where("label = 1").groupBy().sum("n").first()[0] == 120 and found.where("label = 1").count() == 40
+
+
+def test_words_met_again_are_remembered_as_written(monkeypatch):
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        ids = packing.WordIds(f.read(), True)
+    first, asked = ids.of(["Some", "words,", "here"]), []
+    found = ids.found
+    monkeypatch.setattr(ids, "found", lambda words: asked.append(words) or found(words))
+    assert ids.of(["here", "Some", "others"]) == [first[2], first[0], *ids.encode(["others"])]
+    assert asked == [["others"]]
