@@ -543,3 +543,11 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert texts <= set(good) and docs.where("doc_id IS NULL").select("text").distinct().count() <= 1
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert len(packed) >= docs.count() and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), "").count() == 0
+
+
+def test_words_beyond_the_broadcast_ones_are_counted_exactly(spark):
+    rows = [(i, " ".join(f"w{(i * j) % 37}" for j in range(1, 9 + i % 5))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few, all_ = ({r.doc_id: r for r in lm.fit_and_score(df, settings=lm.Settings(known=k, branch=2, levels=2, least_count=1)).collect()} for k in (3, 1000))
+    assert all(few[i].n_known == all_[i].n_known and few[i].base_score == pytest.approx(all_[i].base_score, abs=1e-9) for i in all_)
+    assert all(r.score < 0 for r in few.values())
