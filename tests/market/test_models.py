@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.functions import positions
-from tapewright.operators import evaluation, models, sequences, tabulation
+from tapewright.functions.rolling import correlation, prepared
+from tapewright.operators import cleaning, evaluation, features, indicators, models, sequences, splits, tabulation
 
 DAY = dt.date(2020, 1, 1)
 
@@ -179,3 +180,37 @@ def test_winners_ranges_compute_their_input_once(spark):
     found = {r["feature"]: r for r in tabulation.winners_ranges(df, ["x", "y"], "won").collect()}
     assert (found["x"]["q25"], found["x"]["q75"], found["x"]["mean"]) == (9.5, 28.5, 19.0) and found["y"]["q75"] == 2.0
     assert seen.value == 40
+
+
+def test_winners_ranges_without_winners_or_losers(spark):
+    ranges = lambda won, n=40: {r["feature"]: r for r in tabulation.winners_ranges(spark.range(n).select(F.col("id").alias("x"), F.lit(2.5).alias("flat"), won.alias("won")), ["x", "flat"], "won").collect()}
+    none, every = ranges(F.lit(False)), ranges(F.lit(True))
+    assert math.isnan(none["x"]["correlation"]) and (none["x"]["q25"], none["x"]["q75"], none["x"]["mean"]) == (None, None, None)
+    assert math.isnan(every["x"]["correlation"]) and (every["x"]["q25"], every["x"]["q75"], every["x"]["mean"]) == (9.75, 29.25, 19.5)
+    some = ranges(F.col("id") >= 20)
+    assert some["x"]["correlation"] == pytest.approx(np.corrcoef(range(40), [i >= 20 for i in range(40)])[0][1]) and math.isnan(some["flat"]["correlation"])
+    assert {f: (r["correlation"], r["q25"], r["mean"]) for f, r in ranges(F.lit(True), 0).items()} == {"x": (None, None, None), "flat": (None, None, None)}
+
+
+def test_correlations_of_values_that_do_not_vary(spark):
+    rows = [("both", 1.0, 2.0), ("both", 2.0, 5.0), ("both", 4.0, 6.0), ("both", None, 9.0), ("flat", 1.0, 3.0), ("flat", 2.0, 3.0), ("one", 1.0, 2.0), ("one", 7.0, None), ("none", None, 1.0)]
+    df = spark.createDataFrame(rows, "ticker string, ev double, actual double")
+    got = {r["ticker"]: r["r"] for r in df.groupBy("ticker").agg(correlation("ev", "actual").alias("r")).collect()}
+    assert got["both"] == pytest.approx(np.corrcoef([1, 2, 4], [2, 5, 6])[0][1]) and got["none"] is None
+    assert math.isnan(got["flat"]) and math.isnan(got["one"])
+    by_key = {r.ticker: r.pearson for r in evaluation.ev_correlation(df.where("ev IS NOT NULL AND actual IS NOT NULL"), "actual", "ticker").collect()}
+    assert by_key["both"] == pytest.approx(got["both"]) and math.isnan(by_key["flat"]) and math.isnan(by_key["one"])
+    flat = df.where("ticker = 'flat'")
+    assert math.isnan(tabulation.correlations(flat, ["ev", "actual"]).first().correlation)
+    assert math.isnan(splits.leaks(flat, ["ev"], "actual").first().correlation)
+    assert math.isnan(features.interaction_importance(flat, ["actual"], "ev").first().importance)
+
+
+def test_prices_that_stand_still_have_no_autocorrelation(spark):
+    bars = prepared(spark.createDataFrame([("A", DAY + dt.timedelta(i), 10.0, 10.0, 10.0, 10.0 + max(0, i - 29) ** 2, 5.0) for i in range(40)], "ticker string, date date, open double, high double, low double, close double, volume double"))
+    got = [r.autocorr_1 for r in indicators.autocorrelation(bars).orderBy("date").collect()]
+    assert got[:20] == [None] * 20 and all(math.isnan(r) for r in got[20:30])  # 19 pairs end at the 21st row
+    ret = [None] + [(10 + max(0, i - 29) ** 2) / (10 + max(0, i - 30) ** 2) - 1 for i in range(1, 40)]
+    assert got[39] == pytest.approx(np.corrcoef(ret[21:40], ret[20:39])[0][1])
+    flat = cleaning.made_up(bars.where("rn <= 20")).first()
+    assert flat.flat_price and flat.linear  # as in SQL, where NaN is more than any number
